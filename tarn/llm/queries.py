@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import bpe, exact_dedup, packing, secrets, simhash, token_counts, toxicity
+from tarn.llm import bpe, embedding_dedup, exact_dedup, line_dedup, packing, secrets, simhash, suffix_dedup, token_counts, toxicity
 from tarn.llm.common import table
 
 
@@ -16,8 +16,15 @@ def byte_bpe() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def toxicity_folds() -> tuple[F.Column, F.Column, F.Column]:
+    """Predicates on ``key``: rows whose labels the models count, rows the logistic function is fitted to, rows held out."""
+    fold = F.crc32(F.col("key").cast("string")) % 4
+    return fold.isin(0, 1), fold == 3, fold == 2
+
+
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(F.col("key").alias("doc_id"), "fingerprint", "component_id", "kept")
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,9 +50,22 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select(F.col("key").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fold = F.crc32(F.col("key").cast("string")) % 4
-    counted, fitted, held_out = fold.isin(0, 1), fold == 3, fold == 2
+    counted, fitted, held_out = toxicity_folds()
     found = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "toxic"), counted, fitted)
     return found.select(F.col("key").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
 
@@ -54,9 +74,20 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), byte_bpe())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op2_packing, op4_token_counts, op5_exact_dedup, op6_secret_scans, op9_toxicity, op10_bpe)
-}
+OPERATORS = (
+    op1_simhash_near_dedup,
+    op2_packing,
+    op3_line_dedup,
+    op4_token_counts,
+    op5_exact_dedup,
+    op6_secret_scans,
+    op7_suffix_array_dedup,
+    op8_embedding_near_dedup,
+    op9_toxicity,
+    op10_bpe,
+)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in OPERATORS}
 
 ORACLES: dict[str, str] = {
     "op5_exact_dedup": r"""

@@ -212,12 +212,21 @@ def link_edges(items: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return cold.unionByName(hot)
 
 
-def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, fingerprint, component_id) of every row: the smallest key reachable over links."""
-    rows = cut(fingerprints(docs, shingle, key, text))
-    items = cut(rows.groupBy("fp").agg(F.min("key").alias("least")))
+def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, key: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+    """(row, key, fingerprint, component_id, kept) of every row.
+
+    component_id is the smallest key reachable over links; kept is the row with the smallest
+    key (null keys last) and row number of its component.  row names a column of row numbers,
+    else the place in the scan is taken.
+    """
+    number = docs[row] if row else F.monotonically_increasing_id()
+    source = docs.select(F.struct(number.alias("row"), docs[key].alias("key")).alias("id"), docs[text].alias("text"))
+    rows = cut(fingerprints(source, shingle, "id", "text").select("key.*", "fp"))
+    first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "row"))
+    items = cut(rows.groupBy("fp").agg(first.alias("least")))
     parts = components(link_edges(items, distance))
     labelled = items.join(parts, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_fp = labelled.join(least, "component").select("fp", "component_id")
-    return rows.join(by_fp, "fp").select("key", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    least = labelled.groupBy("component").agg(F.min("least").alias("least"))
+    by_fp = labelled.drop("least").join(least, "component").select("fp", "least")
+    fingerprint = F.lpad(F.lower(F.hex("fp")), 16, "0")
+    return rows.join(by_fp, "fp").select("row", "key", fingerprint.alias("fingerprint"), F.col("least.key").alias("component_id"), (F.col("least.row") == F.col("row")).alias("kept"))
