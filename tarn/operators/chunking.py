@@ -63,7 +63,7 @@ def cut_text(text: str, target: int, overlap: int, next_from_trimmed: bool) -> l
 def _spans(docs: DataFrame, key: str, text: str, cutter) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(k, i, a, b, t[a:b]) for k, t in zip(frame[key], frame["text"], strict=True) for i, (a, b) in enumerate(cutter(t or ""))]
+            rows = [(k, i, a, b, t[a:b]) for k, t in zip(frame[key], frame["text"], strict=True) for t in [t if isinstance(t, str) else ""] for i, (a, b) in enumerate(cutter(t))]
             yield pd.DataFrame(rows, columns=[key, "chunk_index", "start_char", "end_char", "content"])
 
     kind = docs.schema[key].dataType.simpleString()

@@ -96,7 +96,7 @@ def dia_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dia.outcome(_identities(spark, sf_dir).withColumn("app", F.col("pid") % 20), ["app"])
 
 
-@query(S + ", g as (select "at", count(*) as processes, round(sum(memory), 4) as memory, bool_or(not responding) as any_not_responding, string_agg(distinct pid, ',' order by pid) as pids from s group by 1) select *, epoch("at" - lag("at") over (order by "at"))::bigint as since from g")
+@query(S + ''', g as (select "at", count(*) as processes, round(sum(memory), 4) as memory, bool_or(not responding) as any_not_responding, string_agg(distinct pid, ',' order by pid) as pids from s group by 1) select *, epoch("at" - lag("at") over (order by "at"))::bigint as since from g''')
 def dia_sample_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-13, WIN-7: one row a sample, so the window over all samples is small."""
     g = dia.sample_totals(samples(spark, sf_dir), "at")
