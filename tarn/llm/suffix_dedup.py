@@ -10,9 +10,11 @@ prefixes: each run is a maximal repeat (its common left context can't grow, as t
 before it differ) with all its occurrences, and what a member covers is its longest left
 context in the run and the depth.
 
-Texts that are equal as a whole enter once.  An anchor whose context repeats in its own text
-enters once.  A hash with more occurrences than ``CHUNK`` is split into chunks, and every two
-chunks are scanned together, so no group is gathered in one task and none is cut short.
+Texts that are equal as a whole enter once.  Contexts of anchors that are equal to the byte
+are counted by their digests: they are repeated from end to end, and one of them stands for
+all in the scan.  A hash with more different contexts than ``CHUNK`` is split into chunks, and
+every two chunks are scanned together, so no group is gathered in one task and none is cut
+short.
 
 A null or empty text has no bytes and the digest of the empty string; repeated rows are rows
 of their own and repeat each other; a null key stays null; other columns are ignored.
@@ -28,11 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import cut, map_groups
+from tarn.llm.common import cut, cut_table, map_groups
 
 LENGTH = 400
-GRAM = 32
-CHUNK = 8192
+#: A power of two.  Lines shorter than this that many texts share make no group.
+GRAM = 128
+CHUNK = 32_768
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -91,12 +94,12 @@ def sketch(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def contexts(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """From (row, text, anchors array<struct<place, hash, n>>): one row per anchor context of a text, or per interval.
+    """From (row, text, anchors array<struct<place, hash>>): one row per anchor context of a text, or per interval.
 
-    kind 0: an anchor with what lies left and right of it.  kind 1: the bytes from place to
-    stop are repeated, as their anchor's whole context occurs twice in the text.
+    kind 0: an anchor with what lies left and right of it, from start to stop.  kind 1: the
+    bytes from start to stop are repeated, as they occur twice in the text.
     """
-    names = ["kind", "row", "hash", "n", "place", "stop", "left", "right"]
+    names = ["kind", "row", "hash", "digest", "place", "start", "stop", "left", "right"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,11 +113,12 @@ def contexts(texts: DataFrame, length: int, gram: int) -> DataFrame:
                     context = raw[max(0, p - (length - gram)) : p], raw[p : p + length]
                     if (first := seen.get(context)) is None:
                         seen[context] = [p]
-                        out.append((0, row, a["hash"], a["n"], p, 0, *context))
+                        digest = hashlib.blake2b(b"%d:" % len(context[0]) + context[0] + context[1], digest_size=16).digest()
+                        out.append((0, row, a["hash"], digest, p, p - len(context[0]), p + len(context[1]), *context))
                         size += len(context[0]) + len(context[1])
                     elif len(context[0]) + len(context[1]) >= length:
                         for q in ([first.pop(), p] if first else [p]):
-                            out.append((1, row, 0, 0, q - len(context[0]), q + len(context[1]), b"", b""))
+                            out.append((1, row, 0, b"", q, q - len(context[0]), q + len(context[1]), b"", b""))
                     if size > 4_000_000:
                         yield as_batch(out)
                         out, size = [], 0
@@ -122,10 +126,10 @@ def contexts(texts: DataFrame, length: int, gram: int) -> DataFrame:
                 yield as_batch(out)
 
     def as_batch(out: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    return texts.mapInArrow(run, "kind int, row long, hash long, n long, place int, stop int, left binary, right binary")
+    return texts.mapInArrow(run, "kind int, row long, hash long, digest binary, place int, start int, stop int, left binary, right binary")
 
 
 def common(a: bytes, b: bytes) -> int:
@@ -205,7 +209,7 @@ def repeats(left: list[bytes], right: list[bytes], length: int) -> Iterator[tupl
 
 
 def cover(length: int):
-    """For map_groups over (hash, i, j): (row, start, stop) that the group's repeats cover."""
+    """For map_groups over (hash, i, j), all contexts different: (row, start, stop) that the group's repeats cover."""
 
     def run(rows: pa.Table, bounds: np.ndarray) -> pa.Table | None:
         row, place = rows.column("row").to_numpy(), rows.column("place").to_numpy()
@@ -214,26 +218,16 @@ def cover(length: int):
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             if b - a < 2:
                 continue
-            index: dict[tuple[bytes, bytes], int] = {}
-            at = [index.setdefault(c, len(index)) for c in zip(lefts[a:b], rights[a:b], strict=True)]
-            left, right = [c[0][::-1] for c in index], [c[1] for c in index]
-            most_left, most_right = np.zeros(len(index), np.int64), np.zeros(len(index), np.int64)
-            many = np.bincount(at) > 1
-            if many.any():
-                for i in np.flatnonzero(many).tolist():
-                    if len(left[i]) + len(right[i]) >= length:
-                        most_left[i], most_right[i] = len(left[i]), len(right[i])
-            if len(index) > 1:
-                for depth, members, best in repeats(left, right, length):
-                    np.maximum.at(most_left, members, best)
-                    np.maximum.at(most_right, members, depth)
-            kinds = np.array(at)
-            hit = np.flatnonzero(most_right[kinds] > 0)
+            most_left, most_right = np.zeros(b - a, np.int64), np.zeros(b - a, np.int64)
+            for depth, members, best in repeats([x[::-1] for x in lefts[a:b]], rights[a:b], length):
+                np.maximum.at(most_left, members, best)
+                np.maximum.at(most_right, members, depth)
+            hit = np.flatnonzero(most_right)
             if len(hit):
                 p = place[a + hit].astype(np.int64)
                 out_row.append(row[a + hit])
-                out_start.append(p - most_left[kinds[hit]])
-                out_stop.append(p + most_right[kinds[hit]])
+                out_start.append(p - most_left[hit])
+                out_stop.append(p + most_right[hit])
         if not out_row:
             return None
         return pa.table({"row": np.concatenate(out_row), "start": np.concatenate(out_start).astype(np.int32), "stop": np.concatenate(out_stop).astype(np.int32)})
@@ -251,20 +245,25 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chun
     copies = rows.where(F.col("n_bytes") >= length).groupBy("digest").agg(F.min("row").alias("row"), F.count("*").alias("copies"))
     single = cut(rows.join(copies.drop("digest"), "row").select("row", "copies", F.arrays_zip("hashes", "places").alias("found")))
     places = single.select("row", F.explode("found").alias("a")).select("row", F.col("a.hashes").alias("hash"), F.col("a.places").alias("place"))
-    shared = places.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
-    wanted = places.join(shared, "hash").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("place", "hash", "n"))).alias("anchors"))
-    texts = cut(docs.select("row", "text").join(wanted, "row"))
-    found = cut(contexts(texts, length, gram))
-    chunks = F.ceil(F.col("n") / chunk).cast("int")
-    own = F.pmod(F.xxhash64("row", "place"), F.col("c")).cast("int")
+    shared = places.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    wanted = places.join(shared, "hash", "left_semi").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("place", "hash"))).alias("anchors"))
+    texts = cut_table(docs.select("row", "text").join(wanted, "row"))
+    found = cut_table(contexts(texts, length, gram))
+    anchored = found.where("kind = 0")
+    kinds = cut(anchored.groupBy("hash", "digest").agg(F.count("*").alias("k")))
+    equal = anchored.where(F.col("stop") - F.col("start") >= length).select("hash", "digest", "row", "start", "stop").join(kinds.where("k > 1").select("hash", "digest"), ["hash", "digest"], "left_semi")
+    chunks = kinds.groupBy("hash").agg(F.count("*").alias("m")).where("m > 1").select("hash", F.ceil(F.col("m") / chunk).cast("int").alias("c"))
+    one = F.min_by(F.struct("row", "place", "left", "right"), F.struct("row", "place")).alias("one")
+    different = anchored.join(chunks, "hash").groupBy("hash", "digest", "c").agg(one).select("hash", "c", F.pmod(F.xxhash64("digest"), F.col("c")).cast("int").alias("s"), "one.*")
     # Every two chunks meet once: chunk s meets those before it as their second, and those behind it as their first.
     pairs = F.when(F.col("c") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
         F.transform(F.filter(F.sequence(F.lit(0), F.col("c") - 1), lambda t: t != F.col("s")), lambda t: F.struct(F.least(t, F.col("s")).alias("i"), F.greatest(t, F.col("s")).alias("j")))
     )
-    grouped = found.where("kind = 0").withColumn("c", chunks).withColumn("s", own).select("hash", F.explode(pairs).alias("p"), "row", "place", "left", "right")
-    spans = map_groups(grouped.select("hash", "p.i", "p.j", "row", "place", "left", "right"), ["hash", "i", "j"], cover(length), "row long, start int, stop int", rows=8192)
-    local = found.where("kind = 1").select("row", F.col("place").alias("start"), "stop")
-    return rows.select("row", "key", "n_bytes", "digest").join(copies.select("digest", "copies"), "digest", "left"), texts, spans.unionByName(local)
+    grouped = different.select("hash", F.explode(pairs).alias("p"), "row", "place", "left", "right").select("hash", "p.i", "p.j", "row", "place", "left", "right")
+    spans = map_groups(grouped, ["hash", "i", "j"], cover(length), "row long, start int, stop int", rows=8192)
+    local = found.where("kind = 1").select("row", "start", "stop")
+    spans = spans.unionByName(local).unionByName(equal.select("row", "start", "stop"))
+    return rows.select("row", "key", "n_bytes", "digest").join(copies.select("digest", "copies"), "digest", "left"), texts, spans
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chunk: int = CHUNK, key: str = "doc_id", text: str = "text") -> DataFrame:
