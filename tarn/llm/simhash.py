@@ -181,7 +181,8 @@ def block_links(distance: int):
                 continue
             pairs = []
             for at in range(0, len(x), 256):
-                near = np.bitwise_count(x[at : at + 256, None] ^ y[None, :]) <= distance
+                # Of signed numbers bitwise_count counts the absolute value's bits.
+                near = np.bitwise_count((x[at : at + 256, None] ^ y[None, :]).view(np.uint64)) <= distance
                 i, j = np.nonzero(near)
                 i, j = x[at + i], y[j]
                 pairs.append(forest(i[i != j], j[i != j]))
