@@ -81,8 +81,11 @@ def align(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def blocks(a: list[tuple[int, int, int]], b: list[tuple[int, int, int]], min_words: int) -> list[int]:
-    """Places of lines (place, hash, words) of a that lie in aligned common blocks of enough words."""
+Line = tuple[int, int, int]  # place, hash, words
+
+
+def aligned_blocks(a: list[Line], b: list[Line], min_words: int) -> list[int]:
+    """Places of lines of a that lie in aligned common blocks of enough words."""
     matched = align([x[1] for x in a], [x[1] for x in b])
     out: list[int] = []
     run: list[int] = []
@@ -101,6 +104,16 @@ def blocks(a: list[tuple[int, int, int]], b: list[tuple[int, int, int]], min_wor
     return out
 
 
+def blocks(a: list[Line], b: list[Line], min_words: int) -> list[int]:
+    """The blocks of a that b holds: what an alignment leaves is aligned anew, so blocks in another order are found too."""
+    out: list[int] = []
+    while found := aligned_blocks(a, b, min_words):
+        out += found
+        gone = set(found)
+        a = [x for x in a if x[0] not in gone]
+    return out
+
+
 def overlaps(lines: DataFrame, rare: int) -> tuple[DataFrame, DataFrame]:
     """From (row, rank, place, hash, words): the pairs (later, earlier), and each row's shared lines."""
     once = lines.groupBy("hash", "row").agg(F.first("rank").alias("rank"))
@@ -115,7 +128,11 @@ def overlaps(lines: DataFrame, rare: int) -> tuple[DataFrame, DataFrame]:
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, rare: int = RARE, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows with aligned common blocks deleted from later texts, and n_lines and n_removed (lines)."""
+    """The rows with aligned common blocks deleted from later texts, and n_lines and n_removed (lines).
+
+    Columns of those two names are replaced.
+    """
+    docs = docs.drop("n_lines", "n_removed")
     numbered = docs.withColumn("__row", F.monotonically_increasing_id())
     rank = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("__row").alias("row"))
     trimmed = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: F.btrim(x, F.lit(WHITE))), lambda x: x != "")
