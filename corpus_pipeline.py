@@ -25,6 +25,7 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the class-conditional models reject go."""
+    ship(spark)
     counted, fitted, _ = toxicity_folds()
     found = toxicity.score(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"), counted, fitted)
     bad = found.where("predicted = 1").select(F.col("row").alias("__row"))
@@ -33,12 +34,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Aligned common blocks go from later documents; a document of which no line is left goes."""
+    ship(spark)
     found = line_dedup.dedup_lines(docs)
     return _sized(found.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines"))).select(*docs.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: the one with the smallest doc_id (of equal ids the first)."""
+    ship(spark)
     found = simhash.near_duplicates(docs.withColumn("__row", F.monotonically_increasing_id()), row="__row")
     gone = found.where("not kept").select(F.col("row").alias("__row"))
     return docs.withColumn("__row", F.monotonically_increasing_id()).join(gone, "__row", "left_anti").select(*docs.columns)
@@ -46,11 +49,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Reported spans are masked in the texts."""
+    ship(spark)
     return _sized(secrets.redact(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the packed sequences."""
+    ship(spark)
     return packing.pack_documents(docs, byte_bpe())
 
 
@@ -67,7 +72,6 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):

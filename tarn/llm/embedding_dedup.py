@@ -211,7 +211,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float =
     items = cut(usable.groupBy("label", "vector").agg(F.min("row").alias("item"), F.count("*").alias("copies")))
     sizes = items.groupBy(F.size("vector").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
     fitted = items.where(F.size("vector") == (sizes["dim"] if sizes else 0)).orderBy(F.xxhash64("item")).limit(sample).select("vector").toPandas()["vector"]
-    index = Index(np.array([np.asarray(v, np.float64) for v in fitted]).reshape(len(fitted), -1), sizes["n"] if sizes else 0, cosine, recall)
+    index = Index(np.array([np.asarray(v, np.float64) for v in fitted]).reshape(len(fitted), sizes["dim"] if sizes else 0), sizes["n"] if sizes else 0, cosine, recall)
     filed = file_and_probe(items, index)
     keys = ["label", "size", "cell"]
     counts = cut(
