@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from tarn.plans import diagnostics, inventory, memory, retrieval, storage, streams, tools, xref
+from tarn.plans import diagnostics, inventory, lookups, memory, retrieval, storage, streams, tools, xref
 from tarn.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "diagnostics", "inventory", "memory", "retrieval", "storage", "streams", "tools", "xref"]
+__all__ = ["ORACLES", "QUERIES", "diagnostics", "inventory", "lookups", "memory", "retrieval", "storage", "streams", "tools", "xref"]
