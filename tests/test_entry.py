@@ -1,9 +1,10 @@
 """The driver's contract, with and without the numbered operators."""
 
+import os
 import subprocess
 import sys
 
-from conftest import ROOT
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 def test_entry(spark):
