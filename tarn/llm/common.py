@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Text a Python task works on at once; one longer text is a piece of its own.
 PIECE_CHARS = 2_000_000
+#: A key with more than one in so many rows is joined by broadcast; there are fewer than this.
+HEAVY = 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,13 +22,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that the session names; only where it names none, one of our own."""
+    """The checkpoint folder that the session names; only a local session that names none gets one of our own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return sc.getCheckpointDir()
 
 
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Delete a table of the shared folder once nothing reads it any more."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, or one made from it that no column has (names are equal whatever their case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
@@ -54,6 +74,25 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tu
             yield batch.slice(start), texts[start:]
 
 
+def join_counted(big: DataFrame, small: DataFrame, keys: list[str], n: str, spread: str) -> DataFrame:
+    """The inner join of ``big`` with ``small``, whose keys are unique; no key's rows meet in one task.
+
+    ``n`` of small says how many rows of big hold the key; small must be cheap to read twice.
+    Keys that hold more than one row in ``HEAVY`` are fewer than ``HEAVY``, whatever the data,
+    so they are broadcast; the rows that they settle are dealt over all tasks by ``spread``.
+    """
+    total, most = small.agg(F.sum(n), F.max(n)).first()
+    if not total or most <= max(total // HEAVY, HEAVY):
+        return big.join(small, keys)
+    value = F.struct(*[c for c in small.columns if c not in keys])
+    heavy = F.col(n) > max(total // HEAVY, HEAVY)
+    first = big.join(F.broadcast(small.where(heavy).select(*keys, value.alias("heavy_value"))), keys, "left")
+    salted = first.withColumn("salt", F.when(F.col("heavy_value").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(1 << 20))).cast("int"))
+    light = small.where(~heavy).select(*keys, F.lit(0).alias("salt"), value.alias("light_value"))
+    both = salted.join(light, [*keys, "salt"], "left").withColumn("value", F.coalesce("heavy_value", "light_value"))
+    return both.where("value is not null").select(*big.columns, "value.*")
+
+
 def arrow_schema(ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import DataType, StructType

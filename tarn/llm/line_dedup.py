@@ -1,16 +1,26 @@
 """Operator 3: line dedup by pairwise alignment.
 
-Documents overlap if they share a line.  A line of few documents (at most ``RARE``) pairs all
-of them; a line of more pairs each with the first document that holds it, so the number of
-pairs is linear in the lines and none is left out.  Of a pair the shared lines are aligned
-with patience diff: lines unique on both sides are matched along their longest increasing
-chain, the gaps between are aligned in turn.  Aligned lines that follow each other on both
-sides form a block; blocks of at least ``MIN_WORDS`` words are deleted from the later
-document, the one with the larger key.  The first document keeps its lines.
+A block is a run of adjacent lines with at least ``MIN_WORDS`` words.  Documents overlap if
+they share a block.  They are found through the hashes of the shortest blocks: from every
+line forward, and from every line back, just as many lines as reach ``MIN_WORDS`` words.  These
+hashes are rare where single lines are not, every block is a union of such shortest blocks,
+and each document is paired with the first holder of each of its hashes.  So the pairs are
+linear in the lines, whatever many documents share, and no block is missed.
+
+Of a pair the shared lines are aligned with patience diff: lines unique on both sides are
+matched along their longest increasing chain, the gaps between are aligned in turn, and what
+an alignment leaves is aligned again, so moved blocks are found.  Aligned blocks are deleted
+from the later document, the one with the larger key.  An exact check follows: shortest
+blocks that both sides hold but no alignment reached (no line of them is unique) go too.  So
+a line goes if and only if it lies in a block that an earlier document holds.  The first
+document keeps its lines.
 
 Lines are compared without the white space around them, by a 64-bit hash; blank lines never
-match and lie in no block.  A null text stays null, an empty one empty.  Null keys come
-last, equal keys in the order of the scan.  Columns beside key and text are kept.
+match and lie in no block.  A null text stays null, an empty one empty; a very long text is a
+longer list of hashes, and only the lists of the documents in a pair are held.  Null keys come
+last, equal keys in the order of the scan; repeated rows are earlier and later documents like
+any others.  An empty table gives no rows.  Columns beside key and text are kept, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -20,13 +30,15 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from tarn.llm.common import cut
+from tarn.llm.common import cut, fresh, join_counted
 
-RARE = 8
 MIN_WORDS = 8
+#: Later documents that one task aligns with the same earlier one.
+PARTNERS = 2048
 #: The white space that ends words and lines' edges.
 WHITE = " \t\n\r\x0b\x0c"
 
@@ -104,63 +116,132 @@ def aligned_blocks(a: list[Line], b: list[Line], min_words: int) -> list[int]:
     return out
 
 
-def blocks(a: list[Line], b: list[Line], min_words: int) -> list[int]:
-    """The blocks of a that b holds: what an alignment leaves is aligned anew, so blocks in another order are found too."""
-    out: list[int] = []
-    while found := aligned_blocks(a, b, min_words):
-        out += found
-        gone = set(found)
-        a = [x for x in a if x[0] not in gone]
-    return out
+def shortest_blocks(hashes: list[int], words: list[int], min_words: int) -> Iterator[tuple[int, int]]:
+    """(start, stop) of the shortest blocks that begin or end at some line."""
+    stop = total = start = 0
+    for start in range(len(hashes)):
+        while stop < len(hashes) and total < min_words:
+            total += words[stop]
+            stop += 1
+        if total < min_words:
+            break
+        yield start, stop
+        total -= words[start]
+    start = total = 0
+    for stop in range(1, len(hashes) + 1):
+        total += words[stop - 1]
+        while total - words[start] >= min_words:
+            total -= words[start]
+            start += 1
+        if total >= min_words:
+            yield start, stop
+
+
+class Earlier:
+    """The earlier document of pairs: its lines, and where each hash stands."""
+
+    def __init__(self, hashes: list[int], words: list[int], min_words: int) -> None:
+        self.hashes, self.words, self.min_words = hashes, words, min_words
+        self.places: dict[int, list[int]] = {}
+        for k, h in enumerate(hashes):
+            self.places.setdefault(h, []).append(k)
+        self.held: set[tuple[int, ...]] | None = None
+
+    def holds(self, block: tuple[int, ...]) -> bool:
+        if self.held is None:
+            self.held = {tuple(self.hashes[i:j]) for i, j in shortest_blocks(self.hashes, self.words, self.min_words)}
+        return block in self.held
+
+    def blocks(self, hashes: list[int], words: list[int]) -> list[int]:
+        """Places of the lines of a later document that lie in blocks held here."""
+        a = [(k, h, n) for k, (h, n) in enumerate(zip(hashes, words, strict=True)) if h in self.places]
+        spots = sorted(p for h in {x[1] for x in a} for p in self.places[h])
+        b = [(p, self.hashes[p], self.words[p]) for p in spots]
+        gone: set[int] = set()
+        while found := aligned_blocks(a, b, self.min_words):
+            gone.update(found)
+            a = [x for x in a if x[0] not in gone]
+        if a:
+            for i, j in shortest_blocks(hashes, words, self.min_words):
+                if not all(k in gone for k in range(i, j)) and self.holds(tuple(hashes[i:j])):
+                    gone.update(range(i, j))
+        return sorted(gone)
+
+
+def block_hashes(lines: Column, min_words: int) -> Column:
+    """The distinct hashes of the shortest blocks of an array of (hash, words)."""
+
+    def folded(part: Column, seed: int) -> Column:
+        start = F.struct(F.lit(0).alias("words"), F.lit(seed).cast("long").alias("hash"))
+        longer = lambda a, x: F.struct((a["words"] + x["words"]).alias("words"), F.xxhash64(a["hash"], x["hash"]).alias("hash"))
+        return F.aggregate(part, start, lambda a, x: F.when(a["words"] >= min_words, a).otherwise(longer(a, x)), lambda a: F.when(a["words"] >= min_words, a["hash"]))
 
+    alone = lambda x: x["words"] >= min_words
+    forward = F.transform(lines, lambda x, i: F.when(alone(x), x["hash"]).otherwise(folded(F.slice(lines, i + 1, F.lit(min_words)), 1)))
+    back = F.transform(lines, lambda x, i: F.when(~alone(x), folded(F.reverse(F.slice(lines, F.greatest(i + 2 - min_words, F.lit(1)), F.least(i + 1, F.lit(min_words)))), 2)))
+    return F.array_distinct(F.array_compact(F.concat(forward, back)))
 
-def overlaps(lines: DataFrame, rare: int) -> tuple[DataFrame, DataFrame]:
-    """From (row, rank, place, hash, words): the pairs (later, earlier), and each row's shared lines."""
-    once = lines.groupBy("hash", "row").agg(F.first("rank").alias("rank"))
-    held = once.groupBy("hash").agg(F.count("*").alias("n"), F.min("rank").alias("first")).where("n > 1")
-    held = cut(held)
-    members = once.join(held, "hash")
-    star = members.where((F.col("n") > rare) & (F.col("row") != F.col("first.row"))).select(F.col("row").alias("later"), F.col("first.row").alias("earlier"))
-    few = members.where(F.col("n") <= rare).groupBy("hash").agg(F.sort_array(F.collect_list("rank")).alias("all"))
-    every = few.select("all", F.posexplode("all").alias("k", "one")).select(F.col("one.row").alias("later"), F.explode(F.expr("slice(all, 1, k)")).alias("e")).select("later", F.col("e.row").alias("earlier"))
-    shared = lines.join(held.select("hash"), "hash", "left_semi").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("place", "hash", "words"))).alias("lines"))
-    return star.unionByName(every).distinct(), shared
 
+def overlaps(sketch: DataFrame) -> DataFrame:
+    """(later, earlier): every row with the first holders of its shortest blocks, from (row, rank, blocks)."""
+    once = sketch.select("row", "rank", F.explode("blocks").alias("hash"))
+    held = cut(once.groupBy("hash").agg(F.count("*").alias("n"), F.min("rank")["row"].alias("earlier")).where("n > 1"))
+    return join_counted(once.select("hash", "row"), held, ["hash"], "n", "row").where("row <> earlier").select(F.col("row").alias("later"), "earlier").distinct()
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, rare: int = RARE, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows with aligned common blocks deleted from later texts, and n_lines and n_removed (lines).
 
-    Columns of those two names are replaced.
+def align_pairs(pairs: DataFrame, lines: DataFrame, min_words: int, partners: int) -> DataFrame:
+    """(later, gone): the places to delete, from pairs and (row, lines).
+
+    An earlier document's lines go once to every task that aligns some of its partners, ahead
+    of them; partners stream past it, so a document paired with very many is no hot key.
     """
-    docs = docs.drop("n_lines", "n_removed")
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    rank = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("__row").alias("row"))
-    trimmed = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: F.btrim(x, F.lit(WHITE))), lambda x: x != "")
-    sketch = numbered.select(
-        F.col("__row").alias("row"),
-        rank.alias("rank"),
-        F.transform(trimmed, lambda x: F.struct(F.xxhash64(x).alias("hash"), F.size(F.split(x, r"[\x20\x09-\x0D]+")).alias("words"))).alias("lines"),
-    )
-    sketch = cut(sketch)
-    lines = sketch.select("row", "rank", F.posexplode("lines").alias("place", "line")).select("row", "rank", "place", "line.*")
-    pairs, shared = overlaps(lines, rare)
-    shared = cut(shared)
-    joined = pairs.join(shared.select(F.col("row").alias("earlier"), F.col("lines").alias("b")), "earlier").join(shared.select(F.col("row").alias("later"), F.col("lines").alias("a")), "later").select("later", "a", "b")
+    counts = cut(pairs.groupBy("earlier").agg(F.count("*").alias("n")).withColumn("salts", F.ceil(F.col("n") / partners).cast("int")))
+    dealt = join_counted(pairs, counts, ["earlier"], "n", "later").select("earlier", F.pmod(F.xxhash64("later"), F.col("salts")).cast("int").alias("salt"), "later")
+    second = dealt.join(lines.select(F.col("row").alias("later"), "lines"), "later").select("earlier", "salt", "later", "lines")
+    first = counts.join(lines.select(F.col("row").alias("earlier"), "lines"), "earlier").select("earlier", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(-1).cast("long").alias("later"), "lines")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                sides = [[[(x["place"], x["hash"], x["words"]) for x in row] for row in batch.column(k).to_pylist()] for k in (1, 2)]
-                gone = [blocks(a, b, min_words) for a, b in zip(*sides, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gone, pa.list_(pa.int32()))], names=["later", "gone"])
-
-    removed = joined.mapInArrow(run, "later long, gone array<int>").where(F.size("gone") > 0)
-    removed = removed.groupBy("later").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("__gone"))
-    counted = sketch.select(F.col("row").alias("__row"), F.size("lines").cast("long").alias("__lines"))
-    joined = numbered.join(counted.join(removed.withColumnRenamed("later", "__row"), "__row", "left"), "__row", "left").drop("__row")
-    width = len(docs.columns)
-    spot = docs.columns.index(text)
+        now: Earlier | None = None
+        for batch in batches:
+            later = batch.column(0).to_numpy()
+            ends = batch.column(1).offsets.to_numpy().tolist()
+            hashes, words = (batch.column(1).values.field(k).to_numpy().tolist() for k in (0, 1))
+            rows: list[int] = []
+            gone: list[list[int]] = []
+            for row, a, b in zip(later.tolist(), ends, ends[1:], strict=False):
+                if row < 0:
+                    now = Earlier(hashes[a:b], words[a:b], min_words)
+                elif now is not None and (found := now.blocks(hashes[a:b], words[a:b])):
+                    rows.append(row)
+                    gone.append(found)
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], names=["later", "gone"])
+
+    together = first.unionByName(second).repartition("earlier", "salt").sortWithinPartitions("earlier", "salt", "later")
+    return together.select("later", "lines").mapInArrow(run, "later long, gone array<int>")
+
+
+def dedup_lines(
+    docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id", text: str = "text", counts: tuple[str, str] = ("n_lines", "n_removed"), partners: int = PARTNERS
+) -> DataFrame:
+    """The rows with common blocks deleted from later texts, and two counts of lines: all that are not blank, and removed.
+
+    ``counts`` names these two columns; columns that already have the names are replaced.
+    """
+    docs = docs.drop(*counts)
+    row, width, spot = fresh(docs, "row"), len(docs.columns), docs.columns.index(text)
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    rank = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col(row).alias("row"))
+    trimmed = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: F.btrim(x, F.lit(WHITE))), lambda x: x != "")
+    lines = F.transform(trimmed, lambda x: F.struct(F.xxhash64(x).alias("hash"), F.size(F.split(x, r"[\x20\x09-\x0D]+")).alias("words")))
+    sketch = cut(numbered.select(F.col(row).alias("row"), rank.alias("rank"), lines.alias("lines")))
+    pairs = cut(overlaps(sketch.select("row", "rank", block_hashes(F.col("lines"), min_words).alias("blocks"))))
+    gone = align_pairs(pairs, sketch.select("row", "lines"), min_words, partners)
+    gone = gone.groupBy("later").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
+    found = sketch.select("row", F.size("lines").cast("long").alias("all")).join(gone, F.col("row") == F.col("later"), "left")
+    names = fresh(numbered, "lines_all"), fresh(numbered, "lines_gone")
+    found = found.select(F.col("row").alias(row), F.col("all").alias(names[0]), F.col("gone").alias(names[1]))
+    joined = numbered.join(found, row, "left").select(*docs.columns, *names)
 
     def delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,11 +258,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, rare: int = RARE, k
                 out.append(t)
             columns = list(batch.columns[:width])
             columns[spot] = pa.array(out, pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [*columns, batch.column(width), pa.array([len(g or []) for g in gone], pa.int64())], names=[*batch.schema.names[:width], "n_lines", "n_removed"]
-            )
-
-    from pyspark.sql.types import LongType, StructField, StructType
+            yield pa.RecordBatch.from_arrays([*columns, batch.column(width), pa.array([len(g or []) for g in gone], pa.int64())], names=[*batch.schema.names[:width], *counts])
 
-    schema = StructType([*docs.schema.fields, StructField("n_lines", LongType()), StructField("n_removed", LongType())])
+    schema = StructType([*docs.schema.fields, *(StructField(c, LongType()) for c in counts)])
     return joined.mapInArrow(delete, schema)

@@ -161,11 +161,60 @@ def test_lines(documents):
     assert line_dedup.dedup_lines(documents([])).collect() == []
 
 
-def test_many_copies_of_a_line(documents):
-    line = prose(20)
-    texts = [f"{prose(9)}\n{line}\n{prose(9)}" for _ in range(40)]
+def kept_lines(texts, min_words=8):
+    """What is left of each text by the definition alone: all blocks of a text against all earlier texts."""
+    white = " \t\n\r\x0b\x0c"
+    lines = [[x.strip(white) for x in (t or "").split("\n") if x.strip(white)] for t in texts]
+    held, out = set(), []
+    for t, own in zip(texts, lines, strict=True):
+        blocks = {(i, j): tuple(own[i:j]) for i in range(len(own)) for j in range(i + 1, len(own) + 1) if len(" ".join(own[i:j]).split()) >= min_words}
+        gone = {k for (i, j), b in blocks.items() if b in held for k in range(i, j)}
+        held |= set(blocks.values())
+        k, kept = -1, []
+        for x in (t or "").split("\n"):
+            k += bool(x.strip(white))
+            if not (x.strip(white) and k in gone):
+                kept.append(x)
+        out.append((None if t is None else "\n".join(kept), len(own), len(gone)))
+    return out
+
+
+def check_lines(documents, texts, **options):
+    got = {x["doc_id"]: (x["text"], x["n_lines"], x["n_removed"]) for x in line_dedup.dedup_lines(documents(texts), **options).collect()}
+    assert [got[i] for i in range(len(texts))] == kept_lines(texts)
+
+
+def test_lines_against_brute_force(documents):
+    """Few kinds of lines, so blocks repeat, move, overlap and have no unique line; and many holders of each."""
+    r = random.Random(9)
+    for kinds in (4, 12, 60):
+        lines = ["".join(r.choice("ab ") for _ in range(3)) + "x " + " ".join(r.choice(WORDS) for _ in range(r.choice([1, 1, 2, 3, 4, 8, 9]))) for _ in range(kinds)]
+        texts = [None, "", "\n"] + ["\n".join(r.choice([*lines, ""]) for _ in range(r.randint(0, 14))) for _ in range(60)]
+        for partners in (2048, 3):
+            check_lines(documents, texts, partners=partners)
+
+
+def test_block_of_frequent_lines(documents):
+    """Two documents share adjacent lines; each of the lines has ten earlier holders of its own."""
+    lines = [prose(4) for _ in range(3)]
+    texts = [f"{prose(9)}\n{x}\n{prose(9)}" for x in lines for _ in range(10)] + ["\n".join([prose(9), *lines, prose(9)]) for _ in range(2)]
+    check_lines(documents, texts)
     got = {x["doc_id"]: x["n_removed"] for x in line_dedup.dedup_lines(documents(texts)).collect()}
-    assert got == {i: int(i > 0) for i in range(40)}
+    assert got[30] == 0 and got[31] == 3
+
+
+def test_line_of_a_third_of_all_documents(documents, monkeypatch):
+    from tarn.llm import common
+
+    monkeypatch.setattr(common, "HEAVY", 4)  # the key is broadcast, its rows are dealt out
+    line = prose(20)
+    check_lines(documents, [f"{prose(9)}\n{line}\n{prose(9)}" if k % 3 else prose(30) for k in range(60)], partners=5)
+
+
+def test_line_dedup_keeps_other_columns(documents, clash):
+    docs = documents(["a " * 9, "a " * 9]).drop("n_lines")
+    for x in line_dedup.dedup_lines(docs, counts=("found", "removed")).collect():
+        assert {k: x[k] for k in clash if k != "n_lines"} == {k: v for k, v in clash.items() if k != "n_lines"} and (x["found"], x["removed"]) == (1, x["doc_id"])
 
 
 def test_patience():
