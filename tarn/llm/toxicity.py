@@ -1,19 +1,33 @@
 """Operator 9: toxicity by class-conditional Kneser-Ney models.
 
 Two models of the bytes within words, one of toxic and one of ordinary labelled texts, are
-counted over all labelled training rows.  The class-conditional highest order backs off to
-shared interpolated Kneser-Ney orders, whose continuation counts come from both classes, so
-a rare expression says little on its own.  What scoring needs, the log ratio of the two
-models for each n-gram of the highest order seen in training, goes into a table of fixed
-size (``slots``): that bounds the broadcast whatever the corpus holds.
-
-A text's features are length-normalised: the mean log ratio over its words, and that of its
-most toxic words.  A logistic function, fitted on at most ``fit_rows`` labelled training
-rows, maps them to a score from 0 to 1.
-
-A null or empty text has no words and gets the score of features 0.  Repeated rows give
-repeated results, null keys stay null and never carry a label, labels that are null are left
-out, other columns are ignored.  With no labelled rows, or one class only, every score is 0.
+counted over all labelled training rows.  They share their backoff: the orders below the
+highest are interpolated Kneser-Ney with continuation counts from both classes, and the
+weight given to them after a context comes from both classes' counts too.  What follows a
+context in one class is smoothed by what follows it in both, with the weight of ``PRIOR``
+observations, so a rare expression says little on its own:
+
+    p_c(b | h) = (1 - w_h) (n_c(h b) + PRIOR q(b | h)) / (n_c(h) + PRIOR) + w_h p(b | h')
+
+with w_h = discount x kinds(h) / n(h), q the discounted distribution of both classes after h
+and h' the context without its first byte.  After a context that training never saw, or for a
+byte never seen after it, both classes give the same backed-off probability, so the ratio of
+the two is 1 to the last digit; the table holds the log ratio of every n-gram that training saw.
+
+A text's two features are normalised by its length: the mean log ratio over its n-grams, and
+the share of its words whose toxic log-likelihood is more than ``VOTE`` above the ordinary
+one.  A logistic function, fitted on at most ``fit_rows`` labelled training rows, maps them to
+a score from 0 to 1.
+
+The table grows with the corpus.  Up to ``table_rows`` n-grams it is broadcast; a longer one
+stays distributed: each word kind of the texts gets its log ratio by a join on its n-grams,
+and each text by a join on its words.  The scores are the same either way.
+
+A null or empty text has no words and gets the score of features 0.  A very long text is read
+whole; of a run of bytes without white space every ``WORD_BYTES`` are a word.  Repeated rows
+give repeated results, null keys stay null and never carry a label, labels that are null are
+left out, other columns are ignored, an empty table gives no rows.  With no labelled rows, or
+one class only, every score is 0.
 """
 
 from __future__ import annotations
@@ -26,16 +40,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import cut, pieces
+from tarn.llm.common import cut, join_counted, pieces
 
 #: Bytes of the highest order's n-grams; seven or fewer fit a long without its sign.
 ORDER = 6
 DISCOUNT = 0.75
-SLOTS = 1 << 21
+#: Observations that both classes together count for after a context of one class.
+PRIOR = 4.0
+#: A word is an expression of toxicity beyond this log ratio.
+VOTE = 3.0
+#: A longer table of log ratios is not broadcast.
+TABLE_ROWS = 1 << 21
 FIT_ROWS = 20_000
 #: Of a word's bytes, so many at most enter a model; the rest of a longer run is read as further words.
 WORD_BYTES = 48
-FEATURES = ["mean", "top1", "top3", "share", "size"]
+FEATURES = ["mean", "share"]
 
 
 def grams(words: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -121,78 +140,93 @@ def shared_orders(counts: DataFrame, order: int, discount: float) -> DataFrame:
     return below
 
 
-def slot_of(code: np.ndarray, slots: int) -> np.ndarray:
-    return ((code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - (slots.bit_length() - 1))).astype(np.int64)
-
-
-def ratios(counts: DataFrame, order: int = ORDER, discount: float = DISCOUNT) -> DataFrame:
-    """(gram, ratio, weight): log of toxic over ordinary probability of the last byte after the others."""
+def ratios(counts: DataFrame, order: int = ORDER, discount: float = DISCOUNT, prior: float = PRIOR) -> DataFrame:
+    """(gram, toxic, ordinary, ratio): the last byte's probability after the others in both classes, and the log of their ratio."""
     mask = (1 << (8 * (order - 1))) - 1
     level = counts.withColumn("context", F.shiftrightunsigned("gram", 8)).withColumn("low", F.col("gram").bitwiseAND(F.lit(mask)))
-    classes = ["toxic", "ordinary"]
-    totals = level.groupBy("context").agg(*[f(c) for c in classes for f in (lambda c: F.sum(c).alias(f"{c}_n"), lambda c: F.count_if(F.col(c) > 0).alias(f"{c}_types"))])
+    totals = level.groupBy("context").agg(F.sum("toxic").alias("toxic_n"), F.sum("ordinary").alias("ordinary_n"), F.count("*").alias("kinds"))
     joined = level.join(totals, "context").join(shared_orders(counts, order, discount), "low")
+    n = F.col("toxic_n") + F.col("ordinary_n")
+    weight = discount * F.col("kinds") / n
+    both = (F.col("toxic") + F.col("ordinary") - discount) / n
 
     def p(c: str) -> F.Column:
-        seen = F.greatest(F.col(c) - discount, F.lit(0.0)) / F.col(f"{c}_n") + discount * F.col(f"{c}_types") / F.col(f"{c}_n") * F.col("p")
-        return F.when(F.col(f"{c}_n") > 0, seen).otherwise(F.col("p"))
+        return ((1 - weight) * F.col(c) + prior * both) / (F.col(f"{c}_n") + prior) + weight * F.col("p")
 
-    return joined.select("gram", F.log(p("toxic") / p("ordinary")).alias("ratio"), (F.col("toxic") + F.col("ordinary")).alias("weight"))
+    return joined.select("gram", p("toxic").alias("toxic"), p("ordinary").alias("ordinary")).withColumn("ratio", F.log(F.col("toxic") / F.col("ordinary")))
 
 
-def ratio_table(found: DataFrame, slots: int = SLOTS) -> tuple[np.ndarray, np.ndarray]:
-    """Of the n-grams that fall into a slot the most telling one's number and ratio; at most ``slots`` rows reach the driver."""
+def word_ratios(kinds: list[bytes], gram: np.ndarray, ratio: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The log ratio of each word, and its number of n-grams; ``gram`` is sorted."""
+    code, size = grams(kinds, order)
+    if not len(code):
+        return np.zeros(len(kinds)), size
+    at = np.minimum(np.searchsorted(gram, code), len(gram) - 1)
+    return np.add.reduceat(np.where(gram[at] == code, ratio[at], 0.0), np.cumsum(size) - size), size
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(slot_of(b.column(0).to_numpy(), slots)), *b.columns], names=["slot", *b.schema.names])
 
-    best = (
-        found.where(F.abs("ratio") > 0.05)
-        .mapInArrow(place, "slot long, gram long, ratio double, weight long")
-        .groupBy("slot")
-        .agg(F.max(F.struct(F.abs(F.col("ratio") * F.col("weight")).alias("w"), "gram", "ratio")).alias("b"))
-        .select("slot", "b.gram", F.col("b.ratio").cast("float").alias("ratio"))
-    )
-    rows = best.toArrow()
-    gram, ratio = np.full(slots, -1, np.int64), np.zeros(slots, np.float32)
-    at = rows.column("slot").to_numpy()
-    gram[at], ratio[at] = rows.column("gram").to_numpy(), rows.column("ratio").to_numpy()
-    return gram, ratio
+def text_sums(owner: np.ndarray, n: int, by_word: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """Per text: the sum of its words' log ratios, their n-grams, the words beyond VOTE, the words."""
+    add = lambda values: np.bincount(owner, weights=values, minlength=n).astype(float)
+    return [add(by_word), add(size), add(by_word > VOTE), add(np.ones(len(owner)))]
 
 
-def text_features(texts: list[str], gram: np.ndarray, ratio: np.ndarray, order: int) -> np.ndarray:
-    words, each = text_words(texts)
-    kinds, at = distinct(words)
-    code, size = grams(kinds, order)
-    slot = slot_of(code, len(gram))
-    value = np.where(gram[slot] == code, ratio[slot], 0.0)
-    by_word = np.zeros(len(kinds))
-    if len(code):
-        by_word = np.add.reduceat(value, np.cumsum(size) - size)
-    all_words = by_word[at]
-    out = np.zeros((len(texts), len(FEATURES)))
-    ends = np.cumsum(each)
-    for i, (a, b) in enumerate(zip((ends - each).tolist(), ends.tolist(), strict=True)):
-        if a < b:
-            w = all_words[a:b]
-            top = np.sort(np.partition(w, max(0, len(w) - 3))[-3:])
-            out[i] = w.mean(), top[-1], top.sum() / 3, (w > 3).mean(), np.log1p(b - a)
-    return out
-
-
-def features(docs: DataFrame, gram: np.ndarray, ratio: np.ndarray, order: int = ORDER) -> DataFrame:
-    """(row, key, features) from (row, key, text); a map without shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast((gram, ratio))
-    names = ["row", "key", *FEATURES]
+SUMS = ["ratio", "grams", "votes", "words"]
+
+
+def normalised(sums: DataFrame) -> DataFrame:
+    """The two features of each row from its sums; 0 where there are no words."""
+    share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    return sums.select("row", "key", share("ratio", "grams").alias("mean"), share("votes", "words").alias("share"))
+
+
+def features(docs: DataFrame, table: DataFrame, order: int = ORDER) -> DataFrame:
+    """(row, key, features) from (row, key, text) with the whole table broadcast; a map without shuffle."""
+    rows = table.select("gram", "ratio").orderBy("gram").toArrow()
+    shared = docs.sparkSession.sparkContext.broadcast((rows.column("gram").to_numpy(), rows.column("ratio").to_numpy()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in pieces(batches, "text"):
-            x = text_features(texts, *shared.value, order)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x[:, k]) for k in range(len(FEATURES)))], names=names)
+            words, each = text_words(texts)
+            kinds, at = distinct(words)
+            by_word, size = word_ratios(kinds, *shared.value, order)
+            owner = np.repeat(np.arange(len(texts)), each)
+            sums = text_sums(owner, len(texts), by_word[at], size[at])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, sums)], names=["row", "key", *SUMS])
 
     kind = docs.schema["key"].dataType.simpleString()
-    return docs.select("row", "key", "text").mapInArrow(run, f"row long, key {kind}, " + ", ".join(f"{f} double" for f in FEATURES))
+    return normalised(docs.select("row", "key", "text").mapInArrow(run, f"row long, key {kind}, " + ", ".join(f"{f} double" for f in SUMS)))
+
+
+def features_by_joins(docs: DataFrame, table: DataFrame, order: int = ORDER) -> DataFrame:
+    """The same with the table left distributed: n-grams of word kinds meet the table, words of texts meet their kinds."""
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in pieces(batches, "text"):
+            rows = batch.column(0).to_numpy()
+            words, each = text_words(texts)
+            kinds, at = distinct(words)
+            code = np.repeat(np.arange(len(texts)), each) * max(len(kinds), 1) + at
+            pair, count = np.unique(code, return_counts=True)
+            text, kind = np.divmod(pair, max(len(kinds), 1))
+            yield pa.RecordBatch.from_arrays([pa.array(rows[text]), pa.array(kinds, pa.binary()).take(pa.array(kind)), pa.array(count)], names=["row", "word", "times"])
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            code, size = grams(batch.column(0).to_pylist(), order)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(size)), size))), pa.array(code)], names=["word", "gram"])
+
+    spelled = cut(docs.select("row", "text").mapInArrow(spell, "row long, word binary, times long"))
+    kinds = spelled.groupBy("word").agg(F.count("*").alias("n"))
+    parts = cut(kinds.select("word").mapInArrow(split, "word binary, gram long"))
+    wanted = cut(parts.groupBy("gram").agg(F.count("*").alias("n")).join(table.select("gram", "ratio"), "gram"))
+    by_word = join_counted(parts, wanted, ["gram"], "n", "word").groupBy("word").agg(F.sum("ratio").alias("ratio"))
+    known = cut(kinds.join(by_word, "word", "left").select("word", "n", F.coalesce("ratio", F.lit(0.0)).alias("ratio")))
+    own = lambda c: F.sum(c * F.col("times")).cast("double")
+    sums = join_counted(spelled, known, ["word"], "n", "row").groupBy("row").agg(
+        own(F.col("ratio")).alias("ratio"), own(F.length("word") + 1).alias("grams"), own((F.col("ratio") > VOTE).cast("int")).alias("votes"), own(F.lit(1)).alias("words")
+    )
+    return normalised(docs.select("row", "key").join(sums, "row", "left"))
 
 
 def fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
@@ -210,7 +244,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     return w[:-1] / scale, float(w[-1] - (w[:-1] * mean / scale).sum())
 
 
-def score(docs: DataFrame, labels: DataFrame, counted: F.Column, fitted: F.Column, key: str = "doc_id", text: str = "text", threshold: float = 0.3, fit_rows: int = FIT_ROWS, slots: int = SLOTS) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, counted: F.Column, fitted: F.Column, key: str = "doc_id", text: str = "text", threshold: float = 0.3, fit_rows: int = FIT_ROWS, table_rows: int = TABLE_ROWS) -> DataFrame:
     """(row, key, score, predicted) of every row.
 
     labels: (key, label); several labels of a key count as toxic if any is.  counted and
@@ -228,8 +262,8 @@ def score(docs: DataFrame, labels: DataFrame, counted: F.Column, fitted: F.Colum
     seen = counts.agg(F.sum("toxic"), F.sum("ordinary")).first()
     if not seen[0] or not seen[1]:
         return source.select("row", "key", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
-    gram, ratio = ratio_table(ratios(counts), slots)
-    found = cut(features(source, gram, ratio))
+    model = cut(ratios(counts))
+    found = cut((features if model.count() <= table_rows else features_by_joins)(source, model))
     sample = found.where(fitted).join(known, F.col("key") == F.col("label_key")).orderBy(F.xxhash64(F.col("key").cast("string")), "row").limit(fit_rows).select(*FEATURES, "label").toPandas()
     if sample["label"].nunique() < 2:
         return source.select("row", "key", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))

@@ -1,8 +1,10 @@
 """Operators 6 and 9, and the pipeline."""
 
 import hashlib
+import math
 import re
 import zlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -84,12 +86,80 @@ def test_toxicity_edges(spark, documents):
     assert toxicity.score(documents([]), labelled(spark, labels), fold != 3, fold == 3).collect() == []
 
 
-def test_kneser_ney_sums_to_one(spark, documents):
-    """The shared probabilities of what followed a context sum to at most one, and to nearly one where much is seen."""
-    labels = [(f"{a}{b}{c} word", 0) for a in "abc" for b in "abc" for c in "abc"]
-    counts = toxicity.count_grams(spark.createDataFrame(labels, "text string, label int"), 3)
-    p = toxicity.shared_orders(counts, 3, 0.75).withColumn("context", F.shiftrightunsigned("low", 8)).groupBy("context").agg(F.sum("p").alias("s")).collect()
-    assert all(0 < x["s"] <= 1 + 1e-9 for x in p)
+def plain_kneser_ney(rows, order, discount=0.75, prior=toxicity.PRIOR):
+    """p(label, context, byte) from (text, label) rows by dictionaries alone."""
+    counts = [Counter(), Counter()]
+    for text, label in rows:
+        for w in text.lower().encode().split():
+            padded = b" " * (order - 1) + w + b" "
+            counts[label].update(padded[i : i + order] for i in range(len(w) + 1))
+    both = counts[0] + counts[1]
+    levels = {order: both}
+    for k in range(order - 1, 0, -1):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
+
+    def shared(context, byte):
+        k = len(context) + 1
+        lower = shared(context[1:], byte) if k > 1 else 1 / 256
+        after = {g: c for g, c in levels[k].items() if g[:-1] == context}
+        n = sum(after.values())
+        return max(after.get(context + byte, 0) - discount, 0) / n + discount * len(after) / n * lower if n else lower
+
+    def p(label, context, byte):
+        after = {g: c for g, c in both.items() if g[:-1] == context}
+        low = shared(context[1:], byte)
+        n = sum(after.values())
+        if not n:
+            return low
+        w = discount * len(after) / n
+        own = {g: c for g, c in counts[label].items() if g[:-1] == context}
+        q = max(after.get(context + byte, 0) - discount, 0) / n / (1 - w)
+        return (1 - w) * (own.get(context + byte, 0) + prior * q) / (sum(own.values()) + prior) + w * low
+
+    return p, both
+
+
+CORPUS = [(f"{a}{b}{c} word", 0) for a in "abc" for b in "abc" for c in "abc"] + [("vile scum abc", 1), ("scum bca vile", 1), ("ab ab scumword", 1), ("é word", 0)]
+
+
+def test_kneser_ney_against_plain_python(spark):
+    p, both = plain_kneser_ney(CORPUS, 3)
+    counts = toxicity.count_grams(spark.createDataFrame(CORPUS, "text string, label int"), 3)
+    got = {x["gram"].to_bytes(3, "big"): x for x in toxicity.ratios(counts, 3).collect()}
+    assert set(got) == set(both)
+    for g, x in got.items():
+        want = [p(label, g[:-1], g[-1:]) for label in (0, 1)]
+        assert (x["ordinary"], x["toxic"]) == pytest.approx(want, rel=1e-12) and x["ratio"] == pytest.approx(math.log(want[1] / want[0]), abs=1e-12)
+    for context in {g[:-1] for g in both} | {b"zz"}:  # probabilities sum to one, and what training never saw tells nothing
+        for label in (0, 1):
+            assert sum(p(label, context, bytes([b])) for b in range(256)) == pytest.approx(1)
+        assert p(0, context, b"\xff") == p(1, context, b"\xff")
+
+
+def test_text_features_against_plain_python(spark, documents):
+    """Both ways of scoring give the length-normalised difference of the two log-likelihoods, backed off to the end."""
+    p, _ = plain_kneser_ney(CORPUS, 3)
+    model = toxicity.ratios(toxicity.count_grams(spark.createDataFrame(CORPUS, "text string, label int"), 3), 3)
+    texts = [None, "", " ", "scum", "Scum vile word", "unseen ÿ qqq", "abc " * 500, "w" * 200 + " scum", "scum"]
+    docs = documents(texts).select(F.col("doc_id").alias("row"), F.col("doc_id").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    for way in (toxicity.features, toxicity.features_by_joins):
+        got = {x["row"]: (x["mean"], x["share"]) for x in way(docs, model, 3).collect()}
+        for i, t in enumerate(texts):
+            words = [w[k : k + toxicity.WORD_BYTES] for w in (t or "").lower().encode().split() for k in range(0, len(w), toxicity.WORD_BYTES)]
+            each = []
+            for w in words:
+                padded = b"  " + w + b" "
+                each.append([math.log(p(1, padded[j : j + 2], padded[j + 2 : j + 3]) / p(0, padded[j : j + 2], padded[j + 2 : j + 3])) for j in range(len(w) + 1)])
+            grams = sum(map(len, each))
+            want = (sum(map(sum, each)) / grams if grams else 0, sum(sum(e) > toxicity.VOTE for e in each) / len(each) if each else 0)
+            assert got[i] == pytest.approx(want, abs=1e-9), (way, t)
+
+
+def test_scores_do_not_depend_on_the_way(spark, documents):
+    fold = F.crc32(F.col("key").cast("string")) % 4
+    docs, labels = documents(["good calm day", "vile scum here", "calm scum"] * 20), labelled(spark, [(i, int(i % 3 == 1)) for i in range(60)])
+    one, two = ({x["key"]: x["score"] for x in toxicity.score(docs, labels, fold != 3, fold == 3, table_rows=n).collect()} for n in (10**6, 0))
+    assert one == pytest.approx(two, abs=1e-9) and len(set(one.values())) > 1
 
 
 @pytest.fixture(scope="module")
