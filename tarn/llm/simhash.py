@@ -4,8 +4,8 @@ Fingerprints are 64 bits, the majority over the hashes of word shingles.  Equal
 are one item.  To find all pairs within ``distance`` bits, correlated bits are grouped into
 partitions; a partition i gets a threshold t_i, the sum of t_i + 1 being distance + 1, so any
 linked pair differs by at most t_i bits in some partition.  Thresholds, and the number of
-partitions, come from dynamic programming on the candidate counts expected from the bits'
-frequencies over all fingerprints.  Each fingerprint is filed under its value in every
+partitions, come from dynamic programming on expected candidate counts; what is expected
+follows from the frequencies of all bits and pairs of bits over all fingerprints.  Each fingerprint is filed under its value in every
 partition and probes all values within the partition's threshold; candidates are verified.
 
 A value that many fingerprints share goes another way: its fingerprints and probes are split
@@ -14,12 +14,14 @@ forest of the links it found.  So the output is linear in the fingerprints, and
 gathered whole or listed as pairs.  Links are exact either way.
 
 Null and empty texts have fingerprint zero and are linked like others; repeated rows and null
-keys are rows of their own (a null key never names a component); other columns are ignored.
+keys are rows of their own (a null key never names a component); very long texts are read whole,
+their hashes 65,536 at a time; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import components, cut, forest, map_groups, pieces
+from tarn.llm.common import components, cut, forest, join_counted, map_groups, pieces
 
 SEED = 42
 SHINGLE = 4
@@ -110,25 +112,51 @@ def group_bits(n: int, both: np.ndarray, parts: int) -> list[list[int]]:
     return out
 
 
-def within(p: np.ndarray, most: int) -> list[float]:
-    """For t up to ``most``: the chance that two fingerprints differ in at most t of bits with frequencies p."""
-    ways = np.zeros(most + 2)
-    ways[0] = 1
-    for q in 2 * p * (1 - p):
-        ways[1:] = ways[1:] * (1 - q) + ways[:-1] * q
-        ways[0] *= 1 - q
-    return np.minimum(np.cumsum(ways)[: most + 1], 1).tolist()
+def differing(n: int, both: np.ndarray, bits: list[int]) -> tuple[float, float]:
+    """Mean and variance of the number of the bits in which two fingerprints, drawn by the same frequencies, differ.
+
+    Two bits differ together if one fingerprint holds 11 and the other 00 there, or one 10 and
+    the other 01: so the variance has the correlations of all pairs of bits.
+    """
+    p11 = both[np.ix_(bits, bits)] / max(n, 1)
+    p = np.diag(p11)
+    p10, p01 = p[:, None] - p11, p[None, :] - p11
+    together = 2 * (p11 * (1 - p[:, None] - p[None, :] + p11) + p10 * p01)
+    q = 2 * p * (1 - p)
+    np.fill_diagonal(together, q)
+    return float(q.sum()), float((together - np.outer(q, q)).sum())
+
+
+def within(n: int, both: np.ndarray, bits: list[int], most: int) -> list[float]:
+    """For t up to ``most``: the chance that two fingerprints differ in at most t of the bits.
+
+    A beta-binomial distribution with the mean and the variance that ``differing`` gives: bits
+    that go together make both few and many differences likelier than bits on their own would.
+    """
+    m = len(bits)
+    mean, variance = differing(n, both, bits)
+    rate = mean / m
+    if not 0 < rate < 1:
+        return [float(rate <= 0)] * (most + 1)
+    shared = 0.0 if m == 1 else min(max((variance / (m * rate * (1 - rate)) - 1) / (m - 1), 0.0), 0.999)
+    if shared < 1e-6:
+        chance = [math.comb(m, t) * rate**t * (1 - rate) ** (m - t) for t in range(min(most, m) + 1)]
+    else:
+        a, b = rate * (1 - shared) / shared, (1 - rate) * (1 - shared) / shared
+        beta = lambda x, y: math.lgamma(x) + math.lgamma(y) - math.lgamma(x + y)
+        chance = [math.comb(m, t) * math.exp(beta(t + a, m - t + b) - beta(a, b)) for t in range(min(most, m) + 1)]
+    total = np.minimum(np.cumsum(chance), 1).tolist()
+    return total + [total[-1]] * (most + 1 - len(total))
 
 
 def allocate(n: int, both: np.ndarray, distance: int = DISTANCE, probe_cost: float = 4.0) -> list[tuple[list[int], int]]:
     """Partitions with their thresholds (-1: not probed), the cheapest over 2 to distance + 2 partitions."""
     best: tuple[float, list[tuple[list[int], int]]] | None = None
-    p = np.diag(both) / max(n, 1)
     for parts in range(2, distance + 3):
         groups = group_bits(n, both, parts)
         cost = []
         for g in groups:
-            chance = within(p[g], distance)
+            chance = within(n, both, g, distance)
             probes = np.cumsum([float(len(list(itertools.combinations(range(len(g)), t)))) if t < 4 else 1e9 for t in range(distance + 1)])
             cost.append([0.0, *(n * (n * c / 2 + probe_cost * w) for c, w in zip(chance, probes, strict=True))])
         # cheapest[s]: cost and choices of the groups so far with thresholds plus one summing to s
@@ -224,10 +252,10 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SH
     source = docs.select(F.struct(number.alias("row"), docs[key].alias("key")).alias("id"), docs[text].alias("text"))
     rows = cut(fingerprints(source, shingle, "id", "text").select("key.*", "fp"))
     first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "row"))
-    items = cut(rows.groupBy("fp").agg(first.alias("least")))
+    items = cut(rows.groupBy("fp").agg(first.alias("least"), F.count("*").alias("n")))
     parts = components(link_edges(items, distance))
-    labelled = items.join(parts, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    least = labelled.groupBy("component").agg(F.min("least").alias("least"))
-    by_fp = labelled.drop("least").join(least, "component").select("fp", "least")
+    labelled = cut(items.join(parts, F.col("fp") == F.col("node"), "left").select("fp", "n", "least", F.coalesce("component", "fp").alias("component")))
+    least = cut(labelled.groupBy("component").agg(F.min("least").alias("least"), F.count("*").alias("k")))
+    by_fp = cut(join_counted(labelled.select("fp", "n", "component"), least, ["component"], "k", "fp").select("fp", "n", "least"))
     fingerprint = F.lpad(F.lower(F.hex("fp")), 16, "0")
-    return rows.join(by_fp, "fp").select("row", "key", fingerprint.alias("fingerprint"), F.col("least.key").alias("component_id"), (F.col("least.row") == F.col("row")).alias("kept"))
+    return join_counted(rows, by_fp, ["fp"], "n", "row").select("row", "key", fingerprint.alias("fingerprint"), F.col("least.key").alias("component_id"), (F.col("least.row") == F.col("row")).alias("kept"))
