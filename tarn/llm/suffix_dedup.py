@@ -14,10 +14,12 @@ Texts that are equal as a whole enter once.  Contexts of anchors that are equal
 are counted by their digests: they are repeated from end to end, and one of them stands for
 all in the scan.  A hash with more different contexts than ``CHUNK`` is split into chunks, and
 every two chunks are scanned together, so no group is gathered in one task and none is cut
-short.
+short.  Joins on hashes and contexts deal the rows of a frequent one over all tasks.
 
-A null or empty text has no bytes and the digest of the empty string; repeated rows are rows
-of their own and repeat each other; a null key stays null; other columns are ignored.
+A null or empty text has no bytes and the digest of the empty string; a very long text is hashed
+as a whole, its contexts leave in batches of some megabytes; repeated rows are rows of their
+own and repeat each other; a null key stays null; other columns are ignored; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import cut, cut_table, map_groups
+from tarn.llm.common import cut, cut_table, join_counted, map_groups
 
 LENGTH = 400
 #: A power of two.  Lines shorter than this that many texts share make no group.
@@ -245,16 +247,18 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chun
     copies = rows.where(F.col("n_bytes") >= length).groupBy("digest").agg(F.min("row").alias("row"), F.count("*").alias("copies"))
     single = cut(rows.join(copies.drop("digest"), "row").select("row", "copies", F.arrays_zip("hashes", "places").alias("found")))
     places = single.select("row", F.explode("found").alias("a")).select("row", F.col("a.hashes").alias("hash"), F.col("a.places").alias("place"))
-    shared = places.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    wanted = places.join(shared, "hash", "left_semi").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("place", "hash"))).alias("anchors"))
+    shared = cut(places.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1"))
+    wanted = join_counted(places, shared, ["hash"], "n", "row").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("place", "hash"))).alias("anchors"))
     texts = cut_table(docs.select("row", "text").join(wanted, "row"))
     found = cut_table(contexts(texts, length, gram))
     anchored = found.where("kind = 0")
     kinds = cut(anchored.groupBy("hash", "digest").agg(F.count("*").alias("k")))
-    equal = anchored.where(F.col("stop") - F.col("start") >= length).select("hash", "digest", "row", "start", "stop").join(kinds.where("k > 1").select("hash", "digest"), ["hash", "digest"], "left_semi")
-    chunks = kinds.groupBy("hash").agg(F.count("*").alias("m")).where("m > 1").select("hash", F.ceil(F.col("m") / chunk).cast("int").alias("c"))
+    whole = anchored.where(F.col("stop") - F.col("start") >= length).select("hash", "digest", "row", "start", "stop")
+    equal = join_counted(whole, kinds.where("k > 1"), ["hash", "digest"], "k", "row")
+    chunks = cut(kinds.groupBy("hash").agg(F.count("*").alias("m"), F.sum("k").alias("n")).where("m > 1").withColumn("c", F.ceil(F.col("m") / chunk).cast("int")))
+    several = join_counted(anchored.select("hash", "digest", "row", "place", "left", "right"), chunks, ["hash"], "n", "row")
     one = F.min_by(F.struct("row", "place", "left", "right"), F.struct("row", "place")).alias("one")
-    different = anchored.join(chunks, "hash").groupBy("hash", "digest", "c").agg(one).select("hash", "c", F.pmod(F.xxhash64("digest"), F.col("c")).cast("int").alias("s"), "one.*")
+    different = several.groupBy("hash", "digest", "c").agg(one).select("hash", "c", F.pmod(F.xxhash64("digest"), F.col("c")).cast("int").alias("s"), "one.*")
     # Every two chunks meet once: chunk s meets those before it as their second, and those behind it as their first.
     pairs = F.when(F.col("c") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
         F.transform(F.filter(F.sequence(F.lit(0), F.col("c") - 1), lambda t: t != F.col("s")), lambda t: F.struct(F.least(t, F.col("s")).alias("i"), F.greatest(t, F.col("s")).alias("j")))
