@@ -2,17 +2,20 @@
 
 White-space runs become one space; texts are cut into blocks of fixed size.  Equal blocks get
 one integer name: those that occur more than once are sorted within buckets of their hash and
-numbered, so a name depends on the content alone and no two blocks share one.  Adjacent names
-of a text are paired and the pairs named in the same way, until every text is one name.  A
-text that holds a block or pair no other place holds differs from all others and leaves at
-once, so later rounds see only what is still shared.
-
-Blocks are counted by a partial aggregation before the shuffle and names are joined back, so
-one block in a third of all places is never gathered in a task.
-
-A null text counts as empty; all empty texts are equal.  Rows with the same or a null key are
-rows of their own: each is named by its place in the scan, which must be deterministic.
-An empty table gives no rows; other columns are ignored.
+numbered, so a name depends on the content alone and no two blocks share one; the buckets are
+so many that each sorts about ``BUCKET`` blocks.  Adjacent names of a text are paired and the
+pairs named in the same way, until every text is one name.  A text that holds a block or pair
+no other place holds differs from all others and leaves at once, so later rounds see only
+what is still shared.
+
+Blocks are counted by a partial aggregation before the shuffle.  Names are joined back by a
+join that deals the places of a frequent block over all tasks, so one block in a third of all
+places is never gathered in one.
+
+A null text counts as empty; all empty texts are equal.  A very long text is more blocks and
+more rounds.  Rows with the same or a null key are rows of their own: each is named by its
+place in the scan, which must be deterministic.  An empty table gives no rows; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -20,11 +23,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarn.llm.common import cut
+from tarn.llm.common import cut, cut_table, join_counted
 
 BLOCK = 1024
-#: Buckets of content hashes within which repeated blocks are sorted and numbered.
-BUCKETS = 4096
+#: Repeated blocks that are sorted and numbered together, on average.
+BUCKET = 16_384
 WHITE = r"[\x20\x09-\x0D]+"
 
 
@@ -33,42 +36,42 @@ def normalised(text: Column) -> Column:
 
 
 def names(values: DataFrame, columns: list[str]) -> DataFrame:
-    """(columns, name) of the values that occur more than once."""
-    repeated = values.groupBy(*columns).agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    bucket = F.pmod(F.xxhash64(*columns), F.lit(BUCKETS))
+    """(columns, n, name) of the values that occur more than once, n times."""
+    repeated = cut(values.groupBy(*columns).agg(F.count("*").alias("n")).where("n > 1"))
+    buckets = repeated.count() // BUCKET + 1
     order = Window.partitionBy("bucket").orderBy(*columns)
-    return repeated.withColumn("bucket", bucket).select(*columns, (F.row_number().over(order).cast("long") * BUCKETS + F.col("bucket")).alias("name"))
+    numbered = repeated.withColumn("bucket", F.pmod(F.xxhash64(*columns), F.lit(buckets)))
+    return cut(numbered.select(*columns, "n", (F.row_number().over(order).cast("long") * buckets + F.col("bucket")).alias("name")))
 
 
-def shared(named: DataFrame) -> DataFrame:
-    """The rows of the texts all of whose values have a name."""
-    whole = named.groupBy("row").agg(F.count("*").alias("n"), F.count("name").alias("k")).where("n = k").select("row")
-    return named.join(whole, "row", "left_semi")
+def shared(found: DataFrame, size: DataFrame) -> DataFrame:
+    """The named rows of the texts all of whose values have a name; size: (row, all)."""
+    whole = found.groupBy("row").agg(F.count("*").alias("k")).join(size, "row").where(F.col("k") == F.col("all")).select("row")
+    return found.join(whole, "row", "left_semi")
 
 
-def identities(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+def identities(blocks: DataFrame, size: DataFrame) -> DataFrame:
     """(row, rounds, name) of the texts that are not the only one of their kind.
 
-    rows: (row, text), normalised.
+    blocks: (row, place, block); size: (row, all), the number of blocks of each text.
     """
-    blocks = rows.select("row", F.posexplode(F.when(F.length("text") > 0, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{block}}}"), F.lit(0))).otherwise(F.array(F.lit("")))).alias("place", "block"))
-    named = blocks.join(names(blocks.select("block"), ["block"]), "block", "left").select("row", "place", "name")
-    now = cut(shared(cut(named)))
+    found = cut(join_counted(blocks, names(blocks.select("block"), ["block"]), ["block"], "n", "row").select("row", "place", "name"))
+    now = cut(shared(found, size))
     done = None
     rounds = 0
     while True:
-        size = now.groupBy("row").agg(F.count("*").alias("n"))
-        ended = now.join(size.where("n = 1").select("row"), "row", "left_semi").select("row", F.lit(rounds).alias("rounds"), "name")
+        size = now.groupBy("row").agg(F.count("*").alias("all"))
+        ended = now.join(size.where("all = 1").select("row"), "row", "left_semi").select("row", F.lit(rounds).alias("rounds"), "name")
         done = ended if done is None else done.unionByName(ended)
-        now = now.join(size.where("n > 1").select("row"), "row", "left_semi")
+        now = now.join(size.where("all > 1").select("row"), "row", "left_semi")
         pairs = now.groupBy("row", F.expr("cast(place div 2 as int)").alias("at")).agg(
             F.max(F.when(F.col("place") % 2 == 0, F.col("name"))).alias("left"), F.coalesce(F.max(F.when(F.col("place") % 2 == 1, F.col("name"))), F.lit(-1)).alias("right")
         )
         pairs = cut(pairs)
         if pairs.isEmpty():
             return done
-        named = pairs.join(names(pairs.select("left", "right"), ["left", "right"]), ["left", "right"], "left").select("row", F.col("at").alias("place"), "name")
-        now = cut(shared(cut(named)))
+        found = join_counted(pairs, names(pairs.select("left", "right"), ["left", "right"]), ["left", "right"], "n", "row").select("row", F.col("at").alias("place"), "name")
+        now = cut(shared(cut(found), pairs.groupBy("row").agg(F.count("*").alias("all"))))
         rounds += 1
 
 
@@ -79,13 +82,16 @@ def exact_dedup(docs: DataFrame, block: int = BLOCK, key: str = "doc_id", text:
     first row in the scan).
     """
     source = docs.select(F.monotonically_increasing_id().alias("row"), docs[key].alias("key"), normalised(docs[text]).alias("text"))
-    classes = identities(source.select("row", "text"), block)
-    keyed = source.select("row", "key", F.sha2("text", 256).alias("text_sha256"))
+    pieces = F.when(F.length("text") > 0, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{block}}}"), F.lit(0))).otherwise(F.array(F.lit("")))
+    # Normalised once: every later step reads this table.
+    whole = cut_table(source.select("row", "key", F.sha2("text", 256).alias("text_sha256"), pieces.alias("blocks")))
+    keyed = whole.select("row", "key", "text_sha256")
+    classes = identities(whole.select("row", F.posexplode("blocks").alias("place", "block")), whole.select("row", F.size("blocks").alias("all")))
     members = cut(keyed.select("row", "key").join(classes, "row"))
-    groups = members.groupBy("rounds", "name").agg(
-        F.min(F.struct(F.col("key").isNull().alias("none"), "key", "row")).alias("first"), F.count("*").alias("group_size")
+    groups = cut(
+        members.groupBy("rounds", "name").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "row")).alias("first"), F.count("*").alias("group_size"))
     )
-    found = members.join(groups, ["rounds", "name"]).select("row", F.col("first.key").alias("keep_key"), F.col("first.row").alias("keep_row"), "group_size")
+    found = join_counted(members, groups, ["rounds", "name"], "group_size", "row").select("row", F.col("first.key").alias("keep_key"), F.col("first.row").alias("keep_row"), "group_size")
     return keyed.join(found, "row", "left").select(
         "row",
         "key",
