@@ -7,19 +7,23 @@ depend on: for each suffix of the pre-token that begins some token, that suffix'
 last token before it and the relative count there.  Equal states are merged, so the table
 stops growing when the corpus shows no new local context.
 
-Texts lie in one byte array that is cut into chunks of equal length.  A chunk's state map is
-constant behind its first pre-token start; the part before it (the whole chunk, if there is
-none) is a function of the state it is entered with.  The maps compose in a parallel scan:
-all chunks run at once from a guessed entry state, then those whose left neighbour ends
-otherwise run again, until the entry states agree with the exits.
-
-A null or empty text has no bytes and no tokens.  Repeated rows give repeated results, a null
-key stays null, other columns are ignored.
+Texts lie in one byte array that is cut into chunks of equal length.  A chunk's state map takes
+the state it is entered with to the state it is left with and the tokens emitted on the way.
+Behind its first pre-token start a chunk runs from the root state, so all chunks are run once,
+together, and the map of a chunk with such a start is constant in the state.  A chunk without
+one lies inside a long pre-token; its map is tabled for the states that its neighbour may be
+left with, and the maps of adjacent such chunks are composed in a parallel prefix scan: pairs
+of maps level by level up a tree, then entry states level by level down.  A state that no
+table foresaw is run when a composition asks for it.
+
+A null or empty text has no bytes and no tokens.  A very long text is more chunks, and at once
+with no others.  Repeated rows give repeated results, a null key stays null, other columns are
+ignored, an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -39,6 +43,50 @@ NEVER = 1 << 30
 UNMADE = (-1, -1, -1)
 
 
+StateMap = dict[int, tuple[int, int]]  # entry state: exit state, tokens emitted
+
+
+class MapTree:
+    """The state maps of adjacent chunks and their compositions, pairwise up to one map of all."""
+
+    def __init__(self, maps: list[StateMap], run: Callable[[int, int], tuple[int, int]]) -> None:
+        self.run = run
+        self.levels = [maps]
+        while len(self.levels[-1]) > 1:
+            below = self.levels[-1]
+            self.levels.append([{} for _ in range(-(-len(below) // 2))])
+            for i in range(len(self.levels[-1])):
+                for state in list(below[2 * i]):
+                    self.apply(len(self.levels) - 1, i, state)
+
+    def apply(self, level: int, i: int, state: int) -> tuple[int, int]:
+        """Exit state and tokens of a node entered with a state, from its table or else from its two children."""
+        table = self.levels[level][i]
+        if (known := table.get(state)) is None:
+            if level == 0:
+                known = self.run(i, state)
+            else:
+                known = self.apply(level - 1, 2 * i, state)
+                if 2 * i + 1 < len(self.levels[level - 1]):
+                    end, count = self.apply(level - 1, 2 * i + 1, known[0])
+                    known = end, known[1] + count
+            table[state] = known
+        return known
+
+    def entries(self, state: int) -> list[int]:
+        """The state that each chunk is entered with if the first one is entered with ``state``."""
+        now = [state]
+        for level in range(len(self.levels) - 1, 0, -1):
+            below = self.levels[level - 1]
+            split = []
+            for i, s in enumerate(now):
+                split.append(s)
+                if 2 * i + 1 < len(below):
+                    split.append(self.apply(level - 1, 2 * i, s)[0])
+            now = split
+        return now
+
+
 class Transducer:
     """The lazily compiled transducer of one tokenizer."""
 
@@ -143,6 +191,41 @@ class Transducer:
             state[live] = entry >> 6
         return state
 
+    def scan(self, data: np.ndarray, flags: np.ndarray, inner: np.ndarray, exits: np.ndarray, entered: np.ndarray) -> np.ndarray:
+        """The true entry state of every chunk, from the exits of a run that entered all of them at the root.
+
+        ``inner`` are the chunks without a pre-token start: all others are left with the same
+        state however they are entered.
+        """
+
+        def run(lane: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            out = np.zeros((len(lane), CHUNK), np.int8)
+            return self.steps(data[lane], flags[lane], state, out, np.full(len(lane), CHUNK)), out.sum(axis=1, dtype=np.int64)
+
+        # What a chunk may be entered with: its neighbour's exit when entered at the root, and when entered with its own neighbour's exit.
+        tables: dict[int, StateMap] = {c: {} for c in inner.tolist()}
+        guess = entered[inner]
+        for _ in range(2):
+            ends, counts = run(inner, guess)
+            for c, s, end, count in zip(inner.tolist(), guess.tolist(), ends.tolist(), counts.tolist(), strict=True):
+                tables[c][s] = end, count
+            after = dict(zip(inner.tolist(), ends.tolist(), strict=True))
+            guess = np.array([after.get(c - 1, e) for c, e in zip(inner.tolist(), entered[inner].tolist(), strict=True)])
+        entered = entered.copy()
+        for run_of in np.split(inner, np.flatnonzero(np.diff(inner) > 1) + 1):
+            first = int(run_of[0])
+
+            def one(i: int, state: int, first: int = first) -> tuple[int, int]:
+                end, count = run(np.array([first + i]), np.array([state]))
+                return int(end[0]), int(count[0])
+
+            tree = MapTree([tables[c] for c in run_of.tolist()], one)
+            states = tree.entries(int(entered[first]))
+            entered[run_of] = states
+            if first + len(run_of) < len(entered):
+                entered[first + len(run_of)] = tree.apply(0, len(run_of) - 1, states[-1])[0]
+        return entered
+
     def count(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Bytes and tokens of each text."""
         if len(self.states) > STATES_KEPT:
@@ -170,20 +253,15 @@ class Transducer:
         data, flags = data.reshape(lanes, CHUNK), flags.reshape(lanes, CHUNK)
         emitted = np.zeros((lanes, CHUNK), np.int8)
         head = np.where(flags.any(axis=1), flags.argmax(axis=1), CHUNK)
-        entered = np.zeros(lanes, np.int64)
-        full = np.full(lanes, CHUNK)
-        exits = self.steps(data, flags, entered, emitted, full)
-        while True:
-            now = np.append(ROOT, exits[:-1])
-            again = np.flatnonzero((now != entered) & (head > 0))
-            if not len(again):
-                break
-            entered = now
-            part = emitted[again]
-            left = self.steps(data[again], flags[again], now[again], part, head[again])
-            emitted[again] = part
-            open_ = head[again] == CHUNK
-            exits[again[open_]] = left[open_]
+        exits = self.steps(data, flags, np.zeros(lanes, np.int64), emitted, np.full(lanes, CHUNK))
+        inner = np.flatnonzero(head == CHUNK)
+        entered = np.append(ROOT, exits[:-1])
+        if len(inner):
+            entered = self.scan(data, flags, inner, exits, entered)
+        again = np.flatnonzero((entered != ROOT) & (head > 0))
+        part = emitted[again]
+        self.steps(data[again], flags[again], entered[again], part, head[again])
+        emitted[again] = part
         per_byte = emitted.reshape(-1)[: len(flat)]
         each = np.add.reduceat(per_byte, ends[:-1], dtype=np.int64)
         each[marked] = 1
