@@ -11,16 +11,21 @@ Packing is local to a partition and to groups of about ``group_tokens`` tokens,
 no shuffle and bounded memory; at most one window of a group has padding.  Sequence and step
 numbers carry the partition number, so a task that runs again gives the same rows.
 
-A null or empty text is the end id alone.  Repeated rows and null keys are packed like any
-others; other columns are ignored; an empty table gives no rows.
+Ids come from the tokenizers library, by the distinct pre-tokens of a batch.
+
+A null or empty text is the end id alone.  A very long text fills windows of its own and is cut
+wherever one ends.  Repeated rows and null keys are packed like any others; other columns are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import bisect
 import heapq
+import itertools
 import json
+import os
 import zlib
+from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,39 +34,71 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tarn.llm.bpe import byte_letters, codec
+from tarn.llm import pretokens
 from tarn.llm.common import pieces
 
 TIERS = (2048, 1024, 512, 256)
 END_ID = 1
 GROUP_TOKENS = 1 << 21
 STEP_TOKENS = 1 << 16
+#: Pre-tokens a worker keeps the ids of; beyond it the library is asked anew.
+KNOWN_WORDS = 400_000
 
 Piece = tuple[int, int, int]  # document in the group, start, length
 
 
 class Encoder:
-    """Token ids with the merge rules of a byte-level BPE tokenizer file."""
+    """Token ids of whole texts by the tokenizers library.
 
-    #: The file's pre-token pattern (a fixed value of byte-level BPE).
-    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    A byte-level tokenizer encodes each pre-token on its own, so the library is given every
+    distinct pre-token once while it is kept, and texts are put together from its answers.
+    """
 
     def __init__(self, path: str) -> None:
-        import tiktoken
+        from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        self.inner = Tokenizer.from_file(path)
+        self.inner.no_truncation()
+        self.inner.no_padding()
         with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        letters = byte_letters()
-        added = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        ranks = {bytes(letters[x] for x in token): i for token, i in spec["model"]["vocab"].items() if token not in added}
-        self.path = path
-        self.inner = tiktoken.Encoding("file", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens=added)
-
-    def ids(self, text: str) -> np.ndarray:
-        try:
-            return self.inner.encode_to_numpy(text, allowed_special="all").astype(np.uint32, copy=False)
-        except ValueError:  # a run of white space beyond what its pattern engine backtracks over
-            return codec(self.path).encode([text])[0].astype(np.uint32)
+            self.special = "".join(x["content"] for x in json.load(f)["added_tokens"])
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat = np.zeros(1 << 16, np.uint32)
+        self.used = 0
+        self.begin = np.zeros(1 << 12, np.int64)
+        self.size = np.zeros(1 << 12, np.int64)
+
+    def learn(self, words: list[str]) -> None:
+        found = [e.ids for e in self.inner.encode_batch_fast(words, add_special_tokens=False)]
+        first = len(self.known)
+        self.known.update(zip(words, range(first, first + len(words)), strict=True))
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(size.sum()))
+        grow = lambda x, n: np.concatenate([x, np.zeros(max(n, len(x)), x.dtype)]) if n > len(x) else x
+        self.begin, self.size = grow(self.begin, first + len(words)), grow(self.size, first + len(words))
+        self.begin[first : first + len(words)] = self.used + np.cumsum(size) - size
+        self.size[first : first + len(words)] = size
+        self.flat = grow(self.flat, self.used + len(flat))
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text, with the end id behind them."""
+        if len(self.known) > KNOWN_WORDS:
+            self.forget()
+        found, each = pretokens.words(texts, self.special)
+        if missing := list(dict.fromkeys(w for w in found if w not in self.known)):
+            self.learn(missing)
+        at = np.fromiter(map(self.known.__getitem__, found), np.int64, len(found))
+        size = self.size[at]
+        ends = np.cumsum(size)
+        flat = self.flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.begin[at] - (ends - size), size)]
+        bounds = np.append(0, ends)[np.append(0, np.cumsum(each))].tolist()
+        return [np.append(flat[a:b], np.uint32(END_ID)).astype("<u4", copy=False) for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
 @lru_cache(maxsize=4)
@@ -70,28 +107,38 @@ def encoder(path: str) -> Encoder:
 
 
 class Pool:
-    """Rests of one tier, sorted by length; equal lengths leave in order of arrival."""
+    """Rests of one tier by length; equal lengths leave in order of arrival.
+
+    The lengths in use are the bits of one number, so the nearest one is found without a search
+    and no list is shifted, however many rests there are.
+    """
 
     def __init__(self) -> None:
-        self.items: list[tuple[int, int, int, int]] = []
+        self.by_size: dict[int, deque[Piece]] = {}
+        self.sizes = 0
 
-    def add(self, order: int, piece: Piece) -> None:
-        bisect.insort(self.items, (piece[2], -order, piece[0], piece[1]))
+    def add(self, piece: Piece) -> None:
+        self.by_size.setdefault(piece[2], deque()).append(piece)
+        self.sizes |= 1 << piece[2]
 
     def best(self, most: int) -> Piece | None:
         """The longest piece of at most so many tokens."""
-        i = bisect.bisect_right(self.items, (most, 1))
-        return self._take(i - 1) if i else None
+        return self._take((self.sizes & ((2 << most) - 1)).bit_length() - 1)
 
     def shortest(self) -> Piece | None:
-        return self._take(0) if self.items else None
+        return self._take((self.sizes & -self.sizes).bit_length() - 1)
 
     def longest(self) -> Piece | None:
-        return self._take(-1) if self.items else None
+        return self._take(self.sizes.bit_length() - 1)
 
-    def _take(self, i: int) -> Piece:
-        size, _, doc, start = self.items.pop(i)
-        return doc, start, size
+    def _take(self, size: int) -> Piece | None:
+        if size < 0:
+            return None
+        held = self.by_size[size]
+        piece = held.popleft()
+        if not held:
+            self.sizes &= ~(1 << size)
+        return piece
 
 
 def pack(sizes: list[int], tiers: tuple[int, ...] = TIERS) -> list[tuple[int, list[Piece]]]:
@@ -99,11 +146,10 @@ def pack(sizes: list[int], tiers: tuple[int, ...] = TIERS) -> list[tuple[int, li
     longest = tiers[0]
     windows: list[tuple[int, list[Piece]]] = []
     pools = {t: Pool() for t in tiers}
-    orders = iter(range(1 << 62))
 
     def route(piece: Piece) -> None:
         if piece[2]:
-            pools[min(t for t in tiers if t >= piece[2])].add(next(orders), piece)
+            pools[min(t for t in tiers if t >= piece[2])].add(piece)
 
     for doc, size in enumerate(sizes):
         whole = size // longest
@@ -176,8 +222,7 @@ def pack_documents(docs: DataFrame, path: str, tiers: tuple[int, ...] = TIERS, g
 
         for batch, texts in pieces(batches, "text"):
             column = batch.column(0)
-            for i, t in enumerate(texts):
-                ids = np.append(e.ids(t), np.uint32(END_ID)).astype("<u4")
+            for i, ids in enumerate(e.ids(texts)):
                 held.append(ids)
                 keys.append(column.slice(i, 1))
                 tokens += len(ids)

@@ -99,6 +99,8 @@ def starts(points: np.ndarray, part_starts: np.ndarray) -> np.ndarray:
 def words(texts: list[str], special: str) -> tuple[list[str], np.ndarray]:
     """All pre-tokens of the texts in order, and how many each text has."""
     parts, owner, marked = segments(texts, special)
+    if not parts:
+        return [], np.zeros(len(texts), np.int64)
     big = "".join(parts)
     points = np.frombuffer(big.encode("utf-32-le"), np.uint32)
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
@@ -109,5 +111,5 @@ def words(texts: list[str], special: str) -> tuple[list[str], np.ndarray]:
     at = np.flatnonzero(mask)
     spots = at.tolist()
     found = [big[a:b] for a, b in zip(spots, [*spots[1:], len(big)], strict=True)]
-    each = np.add.reduceat(mask, offsets[:-1], dtype=np.int64) if len(parts) else np.zeros(0, np.int64)
+    each = np.add.reduceat(mask, offsets[:-1], dtype=np.int64)
     return found, np.bincount(np.asarray(owner, np.int64), weights=each, minlength=len(texts)).astype(np.int64)

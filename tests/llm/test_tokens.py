@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import time
 import zlib
 
 os.environ["RAYON_NUM_THREADS"] = "1"
@@ -50,6 +51,36 @@ def test_cache_that_starts_anew_changes_nothing(monkeypatch):
     assert (t.count([x or "" for x in ts])[1] == want).all() and (t.count([x or "" for x in ts])[1] == want).all()
 
 
+def test_state_maps_compose():
+    """Random maps, tabled in part: the scan's entry states are those of a run from left to right, whatever it has to ask for."""
+    r = random.Random(2)
+    for size in [1, 2, 3, 5, 8, 33, 100]:
+        whole = [{s: (r.randrange(9), r.randrange(5)) for s in range(9)} for _ in range(size)]
+        asked = []
+
+        def run(i, s, whole=whole, asked=asked):
+            asked.append((i, s))
+            return whole[i][s]
+
+        tree = token_counts.MapTree([{s: m[s] for s in r.sample(range(9), 2)} for m in whole], run)
+        for start in range(9):
+            want, total, state = [], 0, start
+            for m in whole:
+                want.append(state)
+                state, count = m[state]
+                total += count
+            assert tree.entries(start) == want and tree.apply(len(tree.levels) - 1, 0, start) == (state, total)
+        assert len(asked) == len(set(asked)) <= 9 * size
+
+
+def test_long_pretokens(library):
+    """Texts without a pre-token start for many chunks, in several periods."""
+    r = random.Random(4)
+    t = token_counts.Transducer(bpe.codec(byte_bpe()))
+    long = ["".join(r.choice(a) for _ in range(n)) for a in ("ab", "xyz", "0123456789", "=", "Aé日", "\n") for n in (127, 128, 129, 1000, 12_345)] + ["abc" * 5000 + " " + "q" * 700]
+    assert t.count(long)[1].tolist() == [len(library.encode(x, add_special_tokens=False).ids) for x in long]
+
+
 def test_packing(documents, library):
     ts = texts(400) + ["the quick brown fox " * 3000]
     rows = packing.pack_documents(documents(ts).repartition(3), byte_bpe(), group_tokens=20_000).collect()
@@ -91,6 +122,21 @@ def test_pack_fills_windows():
     assert packing.pack([]) == [] and packing.pack([0]) == []
 
 
+def test_very_many_short_texts():
+    """A group of nothing but end ids: the pools don't slow down with the pieces they hold."""
+    begin = time.process_time()
+    windows = packing.pack([1] * 500_000)
+    assert time.process_time() - begin < 20
+    assert sum(len(c) for _, c in windows) == 500_000 and sum(sum(p[2] for p in c) != tier for tier, c in windows) <= 1
+
+
+def test_packed_ids_when_words_are_forgotten(monkeypatch, library):
+    monkeypatch.setattr(packing, "KNOWN_WORDS", 3)
+    e = packing.Encoder(byte_bpe())
+    for t in texts(60):
+        assert e.ids([t or ""])[0].tolist() == [*library.encode(t or "", add_special_tokens=False).ids, 1], repr(t)
+
+
 def test_empty(documents):
     for f in (lambda d: token_counts.token_counts(d, byte_bpe()), lambda d: bpe.encode_decode(d, byte_bpe()), lambda d: packing.pack_documents(d, byte_bpe())):
         assert f(documents([])).collect() == []
