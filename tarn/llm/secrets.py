@@ -2,13 +2,18 @@
 
 Three base kinds are found by pattern alone.  Weak parts (account identifiers, opaque values
 and endpoints) are common in clean text, so each is reported only when a part of another
-role lies within ``scope`` code points in the same text; access keys and assigned values
-count as identifier and secret there.  The nearest part of each role on either side comes
-from windows over the text's parts in order of place, so a text with many parts is read
-once and no pairs are listed.
-
-Positions are code points, ends are exclusive.  A null or empty text has no spans; repeated
-rows give repeated results, a null key stays null, other columns are ignored.
+role lies within its scope in the same text; access keys and assigned values count as
+identifier and secret there.  The scope of two roles is a number of code points between the
+parts, one for each pair of roles.
+
+Parts meet by an interval join: a part is filed under the bins that it covers and asks in the
+bins that its widest scope covers, equal bins are joined, and the scope of the two roles
+decides.  Parts of a kind never overlap, so a text's links are linear in its parts, and the
+parts of one text are spread by their bins.  A reported span names the parts it is linked to.
+
+Positions are code points, ends are exclusive.  A null or empty text has no spans; a very long
+text is scanned whole, and more bins; repeated rows give repeated results, a null key stays
+null, other columns are ignored whatever their names, an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,10 +22,10 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import cut, pieces
+from tarn.llm.common import cut, fresh, pieces
 
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -35,6 +40,8 @@ ROLES = {"access": "identifier", "user": "identifier", "assign": "secret", "hex"
 KINDS = ["assign", "access", "hex", "user", "endpoint", "opaque"]
 BASE = KINDS[:3]
 SCOPE = 200
+#: Code points between two parts of these roles at most.
+SCOPES = {("identifier", "secret"): SCOPE, ("endpoint", "secret"): SCOPE, ("endpoint", "identifier"): SCOPE}
 HINT = re.compile(r"://|[:=]|[A-Za-z0-9+/_=-]{32}")
 
 
@@ -64,46 +71,59 @@ def find_parts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return source.mapInArrow(run, f"row long, key {kind}, parts array<struct<kind:string,start:int,end:int>>")
 
 
-def link(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """(row, spans) from exploded (row, kind, start, end): base spans, and weak parts near a part of another role."""
-    role = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])[F.col("kind")]
-    before = Window.partitionBy("row").orderBy("start", "end", "kind").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy("row").orderBy("start", "end", "kind").rowsBetween(1, Window.unboundedFollowing)
+PART = "struct<start:int,place:int,end:int,kind:string>"
+SPAN = f"struct<start:int,place:int,end:int,kind:string,linked:array<{PART}>>"
 
-    def near(other: str) -> Column:
-        # The latest end before and the first start behind; overlapping parts are at distance 0.
-        left = F.max(F.when(F.col("role") == other, F.col("end"))).over(before)
-        right = F.min(F.when(F.col("role") == other, F.col("start"))).over(after)
-        return F.coalesce(F.col("start") - left <= scope, F.lit(False)) | F.coalesce(right - F.col("end") <= scope, F.lit(False))
 
-    linked = parts.withColumn("role", role)
-    others = {r: near(r) for r in sorted(set(ROLES.values()))}
-    complement = F.lit(False)
-    for own in others:
-        for other, hit in others.items():
-            if own != other:
-                complement = complement | ((F.col("role") == own) & hit)
-    kept = linked.withColumn("linked", complement).where(F.col("kind").isin(BASE) | F.col("linked"))
-    return kept.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).alias("place"), "end", "kind"))).alias("spans"))
+def places() -> Column:
+    return F.array(*map(F.lit, KINDS))
 
 
-def scan(docs: DataFrame, scope: int = SCOPE, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(row, key, spans array<struct<start, place, end, kind>>) of every row; spans is empty where nothing is found.
+def links(parts: DataFrame, scopes: dict[tuple[str, str], int]) -> DataFrame:
+    """(row, id, partner) from (row, id, kind, start, end): each weak part with every part of another role in its scope."""
+    role = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])[F.col("kind")]
+    reach = F.create_map(*[F.lit(x) for (a, b), n in scopes.items() for x in (f"{a} {b}", n)])
+    widest = max(scopes.values())
+    width = max(widest, 1)
+    bins = lambda first, last: F.sequence(F.expr(f"cast(greatest({first}, 0) div {width} as int)"), F.expr(f"cast(({last}) div {width} as int)"))
+    known = parts.withColumn("role", role)
+    filed = known.select("row", F.explode(bins("start", "end - 1")).alias("bin"), F.struct("id", "start", "end", "kind", "role").alias("b"))
+    asked = known.where(~F.col("kind").isin(BASE)).withColumn("bins", bins(f"start - {widest}", f"end - 1 + {widest}"))
+    asked = asked.select("row", F.explode("bins").alias("bin"), F.col("bins")[0].alias("first"), F.struct("id", "start", "end", "role").alias("a"))
+    pair = F.concat_ws(" ", F.least("a.role", "b.role"), F.greatest("a.role", "b.role"))
+    gap = F.greatest(F.col("b.start") - F.col("a.end"), F.col("a.start") - F.col("b.end"), F.lit(0))
+    # Of the bins that two parts have in common the first one counts.
+    once = F.col("bin") == F.greatest("first", F.expr(f"cast(b.start div {width} as int)"))
+    met = asked.join(filed, ["row", "bin"]).where(once & (F.col("a.role") != F.col("b.role")) & (gap <= F.coalesce(reach[pair], F.lit(-1))))
+    return met.select("row", F.col("a.id").alias("id"), F.struct(F.col("b.start").alias("start"), F.array_position(places(), F.col("b.kind")).cast("int").alias("place"), F.col("b.end").alias("end"), F.col("b.kind").alias("kind")).alias("partner"))
+
+
+def link(parts: DataFrame, scopes: dict[tuple[str, str], int]) -> DataFrame:
+    """(row, spans) from exploded (row, id, kind, start, end): base spans, and weak parts with what they are linked to."""
+    partners = links(parts, scopes).groupBy("row", "id").agg(F.array_sort(F.collect_list("partner")).alias("linked"))
+    kept = parts.join(partners, ["row", "id"], "left").where(F.col("kind").isin(BASE) | F.col("linked").isNotNull())
+    none = F.array().cast(f"array<{PART}>")
+    span = F.struct("start", F.array_position(places(), F.col("kind")).cast("int").alias("place"), "end", "kind", F.coalesce("linked", none).alias("linked"))
+    return kept.groupBy("row").agg(F.array_sort(F.collect_list(span)).alias("spans"))
+
+
+def scan(docs: DataFrame, scopes: dict[tuple[str, str], int] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(row, key, spans array<struct<start, place, end, kind, linked>>) of every row; spans is empty where nothing is found.
 
     The texts are read once; their parts, small rows, are checkpointed and only those of texts
-    with a weak part go through the windows.  No text is shuffled.
+    with a weak part are joined.  No text is shuffled.
     """
     found = cut(find_parts(docs, key, text))
-    places = F.array(*map(F.lit, KINDS))
-    own = F.transform("parts", lambda p: F.struct(p["start"].alias("start"), F.array_position(places, p["kind"]).alias("place"), p["end"].alias("end"), p["kind"].alias("kind")))
+    none = F.array().cast(f"array<{PART}>")
+    own = F.transform("parts", lambda p: F.struct(p["start"].alias("start"), F.array_position(places(), p["kind"]).cast("int").alias("place"), p["end"].alias("end"), p["kind"].alias("kind"), none.alias("linked")))
     weak = F.exists("parts", lambda p: ~p["kind"].isin(BASE))
-    exploded = found.where(weak).select("row", F.explode("parts").alias("p")).select("row", "p.*")
-    joined = found.select("row", "key", weak.alias("weak"), own.alias("own")).join(link(exploded, scope), "row", "left")
-    empty = F.array().cast(joined.schema["own"].dataType)
+    exploded = found.where(weak).select("row", F.posexplode("parts").alias("id", "p")).select("row", "id", "p.*")
+    joined = found.select("row", "key", weak.alias("weak"), own.alias("own")).join(link(exploded, scopes or SCOPES), "row", "left")
+    empty = F.array().cast(f"array<{SPAN}>")
     return joined.select("row", "key", F.when(F.col("weak"), F.coalesce("spans", empty)).otherwise(F.col("own")).alias("spans"))
 
 
-def redact(docs: DataFrame, mask: str = "[SECRET]", scope: int = SCOPE, key: str = "doc_id", text: str = "text") -> DataFrame:
+def redact(docs: DataFrame, mask: str = "[SECRET]", scopes: dict[tuple[str, str], int] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows with every reported span replaced by the mask; overlapping spans count as one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +143,8 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", scope: int = SCOPE, key: str
             columns[at] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    found = scan(docs, scope, key, text).where(F.size("spans") > 0).select(F.col("row").alias("__row"), F.col("spans").alias("__spans"))
-    joined = numbered.join(found, "__row", "left").drop("__row")
-    return joined.mapInArrow(run, docs.schema)
+    row, spans = fresh(docs, "row_number"), fresh(docs, "found_spans")
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    small = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    found = scan(docs, scopes, key, text).where(F.size("spans") > 0).select(F.col("row").alias(row), small.alias(spans))
+    return numbered.join(found, row, "left").select(*docs.columns, spans).mapInArrow(run, docs.schema)

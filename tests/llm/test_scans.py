@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -45,12 +46,45 @@ def test_secrets(documents):
     assert secrets.scan(documents([])).collect() == []
 
 
+def linked_spans(text, scopes):
+    """All spans by the definition: every weak part against every other part of the text."""
+    found = secrets.spans(text or "")
+    out = []
+    for kind, a, b in found:
+        met = []
+        for other, c, d in found:
+            pair = tuple(sorted((secrets.ROLES[kind], secrets.ROLES[other])))
+            if pair in scopes and max(c - b, a - d, 0) <= scopes[pair]:
+                met.append((c, secrets.KINDS.index(other) + 1, d, other))
+        if kind in secrets.BASE:
+            out.append((kind, a, b, []))
+        elif met:
+            out.append((kind, a, b, sorted(met)))
+    return out
+
+
+def test_linked_spans_against_brute_force(documents):
+    r = random.Random(21)
+    parts = ["user=alice", "login: bob_9", "https://db.example.com/x", "ssh://host/" + "p" * 60, "Ab1" * 14, "AKIA" + "Q" * 16, "token=abcdef9", "c0ffee" * 5, "https://h.example/?user=carol&user=dave"]
+    texts = [None, "", *TEXTS[2:]] + [" ".join(r.choice([*parts, "w " * r.randint(1, 30), "é" * r.randint(1, 90)]) for _ in range(r.randint(1, 25))) for _ in range(120)]
+    texts.append("https://long.example/" + "&user=erin" * 3000)  # one part that lies around very many
+    for scopes in (secrets.SCOPES, {("identifier", "secret"): 0, ("endpoint", "identifier"): 37}):
+        got = {x["key"]: [(s["kind"], s["start"], s["end"], [tuple(p) for p in s["linked"]]) for s in x["spans"]] for x in secrets.scan(documents(texts), scopes).collect()}
+        for i, t in enumerate(texts):
+            assert got[i] == linked_spans(t, scopes), (t or "")[:200]
+
+
 def test_redact(documents):
     got = {x["doc_id"]: x["text"] for x in secrets.redact(documents(TEXTS)).collect()}
     assert got[0] is None and got[1] == "" and got[2] == TEXTS[2] and got[12] == TEXTS[12]
     assert got[9] == "[SECRET]" and "alice" not in got[10]
 
 
+def test_redact_keeps_other_columns(documents, clash):
+    for x in secrets.redact(documents(["token=abcdef", "clean", None])).collect():
+        assert {k: x[k] for k in clash} == clash
+
+
 def test_secret_query(spark, sf):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     for x in queries.op6_secret_scans(spark, sf).collect():
