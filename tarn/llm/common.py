@@ -88,7 +88,9 @@ def join_counted(big: DataFrame, small: DataFrame, keys: list[str], n: str, spre
     heavy = F.col(n) > max(total // HEAVY, HEAVY)
     first = big.join(F.broadcast(small.where(heavy).select(*keys, value.alias("heavy_value"))), keys, "left")
     salted = first.withColumn("salt", F.when(F.col("heavy_value").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(1 << 20))).cast("int"))
-    light = small.where(~heavy).select(*keys, F.lit(0).alias("salt"), value.alias("light_value"))
+    # Always 0, but not as a constant: the optimizer would take a constant out of the join's keys.
+    none = F.pmod(F.col(n), F.lit(1)).cast("int")
+    light = small.where(~heavy).select(*keys, none.alias("salt"), value.alias("light_value"))
     both = salted.join(light, [*keys, "salt"], "left").withColumn("value", F.coalesce("heavy_value", "light_value"))
     return both.where("value is not null").select(*big.columns, "value.*")
 

@@ -38,7 +38,7 @@ from tarn.llm.common import cut, fresh, join_counted
 
 MIN_WORDS = 8
 #: Later documents that one task aligns with the same earlier one.
-PARTNERS = 2048
+PARTNERS = 512
 #: The white space that ends words and lines' edges.
 WHITE = " \t\n\r\x0b\x0c"
 

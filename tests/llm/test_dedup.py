@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tarn.llm import embedding_dedup, exact_dedup, line_dedup, simhash, suffix_dedup
 from tarn.llm.common import components, forest
@@ -319,6 +320,23 @@ def test_traverse_is_a_full_sort():
     assert (got == np.argsort(sums, axis=1, kind="stable")[:, :12]).all()
 
 
+def test_counted_join_deals_out_a_hot_key(spark, monkeypatch):
+    """The same rows as a plain join; and the join is keyed by the salt too, so the hot key's rows are spread."""
+    from tarn.llm import common
+
+    monkeypatch.setattr(common, "HEAVY", 50)
+    big = spark.range(3000).select(F.col("id").alias("row"), F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 400).alias("k"))
+    small = big.where("k < 300").groupBy("k").agg(F.count("*").alias("n")).withColumn("name", F.concat(F.lit("x"), "k"))
+    joined = common.join_counted(big, small, ["k"], "n", "row")
+    assert rows_of(joined) == rows_of(big.join(small, "k").select(*joined.columns))
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "salt" in next(x for x in plan.splitlines() if "Join LeftOuter" in x and "salt" in x).split("=", 1)[1]
+
+
+def rows_of(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
 def test_components(spark):
     r = random.Random(8)
     edges = [(r.randint(0, 300), r.randint(0, 300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 440)] + [(500, x) for x in range(501, 560)]

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -231,6 +232,25 @@ def test_pipeline_of_nothing(spark, documents):
         assert out.collect() == []
 
 
+def test_pipeline_stages_keep_other_columns(spark, documents, clash):
+    import corpus_pipeline
+
+    docs = documents(["calm day one", "calm day two and more", None])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        assert out.columns == docs.columns
+        for x in out.collect():
+            assert {k: x[k] for k in clash} == clash
+
+
+def test_pipeline_leaves_the_last_table_only(spark):
+    import corpus_pipeline
+
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    path = out.inputFiles()[0].removeprefix("file:").rsplit("/", 2)[0]
+    assert out.count() > 0 and len(os.listdir(path)) == 1
+
+
 def test_pipeline_takes_nulls(spark, documents):
     import corpus_pipeline
 
