@@ -1,8 +1,9 @@
 """The corpus pipeline: toxicity, line dedup, near-dedup, secret scans, packing.
 
 Every stage is (spark, docs, sf_dir) -> DataFrame over all that its predecessor kept; all but
-the last return the columns of ``documents``.  ``run`` writes each stage's result to the
-shared checkpoint folder as Parquet and reads it again for the next.
+the last return the columns of ``documents``, whatever their names.  ``run`` writes each
+stage's result to the shared checkpoint folder as Parquet and reads it again for the next;
+a stage's table is deleted once its successor's is written.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.llm import line_dedup, packing, secrets, simhash, toxicity
-from tarn.llm.common import shared_folder, table
+from tarn.llm.common import drop_table, fresh, shared_folder, table
 from tarn.llm.queries import byte_bpe, toxicity_folds
 from tarn.session import ship
 
@@ -28,23 +29,26 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     counted, fitted, _ = toxicity_folds()
     found = toxicity.score(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"), counted, fitted)
-    bad = found.where("predicted = 1").select(F.col("row").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(bad, "__row", "left_anti").select(*docs.columns)
+    row = fresh(docs, "row_number")
+    bad = found.where("predicted = 1").select(F.col("row").alias(row))
+    return docs.withColumn(row, F.monotonically_increasing_id()).join(bad, row, "left_anti").select(*docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Aligned common blocks go from later documents; a document of which no line is left goes."""
     ship(spark)
-    found = line_dedup.dedup_lines(docs)
-    return _sized(found.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines"))).select(*docs.columns))
+    counts = fresh(docs, "lines_held"), fresh(docs, "lines_removed")
+    found = line_dedup.dedup_lines(docs, counts=counts)
+    return _sized(found.where((F.col(counts[1]) == 0) | (F.col(counts[1]) < F.col(counts[0]))).select(*docs.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: the one with the smallest doc_id (of equal ids the first)."""
     ship(spark)
-    found = simhash.near_duplicates(docs.withColumn("__row", F.monotonically_increasing_id()), row="__row")
-    gone = found.where("not kept").select(F.col("row").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(gone, "__row", "left_anti").select(*docs.columns)
+    row = fresh(docs, "row_number")
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    gone = simhash.near_duplicates(numbered, row=row).where("not kept").select(F.col("row").alias(row))
+    return numbered.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,8 +78,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
+    last = None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if last is not None:
+            drop_table(spark, last)
+        last = path
     return docs

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: White space as Unicode-aware trimming sees it.
 WS = r"[\s\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+# What is masked in descriptions.
 PATH_WINDOWS = r"[A-Za-z]:\\[^\s]{6,}"
 PATH_UNIX = r"(?i)/(?:Users|home|var|etc|Windows)[^\s]{3,}"
 EMAIL = r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}"
@@ -119,6 +120,7 @@ def bare_code(c: Column) -> Column:
 
 def api_routes(c: Column) -> Column:
     """STR-18: quoted then logged routes, without trailing slashes, distinct, longer than four characters."""
+    # The forms of quoted and logged routes.
     route = r"(/api/[A-Za-z0-9][A-Za-z0-9_/-]*)"
     quoted = F.regexp_extract_all(c, F.lit(rf"(['\"`]){route}\1"), F.lit(2))
     logged = F.regexp_extract_all(c, F.lit(rf"(?i)['\"`](?:GET|POST|PUT|PATCH|DELETE)\s+{route}"), F.lit(1))

@@ -14,13 +14,16 @@ from tarn.functions.text import trim_all
 def line_chunks(docs: DataFrame, text: str, size: int = 50, overlap: int = 8) -> DataFrame:
     """CHK-1, CF-2: chunks of ``size`` lines that overlap; blank ones are left out. Adds start_line, end_line (from 1, inclusive), content."""
     step = size - overlap
-    lines = docs.withColumn("__lines", F.split(F.coalesce(F.col(text), F.lit("")), r"\r?\n"))
-    count = F.greatest(F.lit(1), F.ceil((F.size("__lines") - overlap) / step))
-    parts = lines.select(*docs.columns, "__lines", F.explode(F.sequence(F.lit(0), (count - 1).cast("int"))).alias("__i"))
-    start = F.col("__i") * step
-    content = trim_all(F.array_join(F.slice("__lines", start + 1, F.lit(size)), "\n"))
-    out = parts.select(*docs.columns, (start + 1).alias("start_line"), F.least(start + size, F.size("__lines")).alias("end_line"), content.alias("content"))
-    return out.where(F.col("content") != "")
+    lines = F.split(F.coalesce(F.col(text), F.lit("")), r"\r?\n")
+    count = F.greatest(F.lit(1), F.ceil((F.size("__lines") - overlap) / step)).cast("int")
+
+    def chunk(i: Column) -> Column:
+        content = trim_all(F.array_join(F.slice("__lines", i * step + 1, F.lit(size)), "\n"))
+        return F.struct((i * step + 1).alias("start_line"), F.least(i * step + size, F.size("__lines")).alias("end_line"), content.alias("content"))
+
+    # The chunks of a text are made in its one row and exploded alone: its lines are not repeated for each.
+    made = docs.withColumn("__lines", lines).select(*docs.columns, F.transform(F.sequence(F.lit(0), count - 1), chunk).alias("__chunks"))
+    return made.select(*docs.columns, F.inline("__chunks")).where(F.col("content") != "")
 
 
 def boundary(window: str, target: int) -> int | None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarn.functions.text import collapse, inside
+from tarn.functions.text import ancestors, collapse, inside
 
 
 def searchable(files: DataFrame) -> DataFrame:
@@ -26,10 +26,16 @@ def unit_times(chunks: DataFrame, units: DataFrame, key: str) -> DataFrame:
 
 
 def first_grant(paths: DataFrame, grants: DataFrame) -> DataFrame:
-    """JOIN-10, WIN-13: the first grant (grant_no, root) that holds a path, else null. Grants are the handful of a session."""
-    joined = paths.join(F.broadcast(grants.limit(1000)), inside(F.col("path"), F.col("root")), "left")
-    best = joined.groupBy(*paths.columns).agg(F.min(F.struct("grant_no", "root")).alias("g"))
-    return best.select(*paths.columns, "g.grant_no", "g.root")
+    """JOIN-10, WIN-13: the first grant (grant_no, root) that holds each path, else null.
+
+    A path lies in a root if the root is the path or one of its ancestors, so this is an
+    equi-join on them: any number of grants, and no pair of a path and a root is tried in vain.
+    """
+    first = grants.groupBy(F.regexp_replace("root", "(.)/+$", "$1").alias("__root")).agg(F.min(F.struct("grant_no", "root")).alias("g"))
+    every = F.array_distinct(F.concat(F.array("path"), ancestors(F.col("path")), F.when(F.startswith("path", F.lit("/")), F.array(F.lit("/"))).otherwise(F.array().cast("array<string>"))))
+    tried = paths.select("path").distinct().select("path", F.explode(every).alias("__root"))
+    best = tried.join(first, "__root").groupBy("path").agg(F.min("g").alias("g"))
+    return paths.join(best, "path", "left").select(*paths.columns, "g.grant_no", "g.root")
 
 
 def since_baseline(identities: DataFrame, baseline: DataFrame) -> DataFrame:
@@ -42,7 +48,8 @@ def since_baseline(identities: DataFrame, baseline: DataFrame) -> DataFrame:
 
 def with_root(entries: DataFrame, roots: DataFrame) -> DataFrame:
     """JOIN-25: entries whose root is not known are unsafe."""
-    joined = entries.join(F.broadcast(roots.select("root_id", F.lit(True).alias("__known")).limit(1000)), "root_id", "left")
+    known = roots.select("root_id").distinct().withColumn("__known", F.lit(True))
+    joined = entries.join(known, "root_id", "left")
     return joined.withColumn("status", F.when(F.col("__known").isNull(), "unsafe").otherwise(F.col("status"))).drop("__known")
 
 

@@ -67,28 +67,21 @@ def diversify(scored: DataFrame, k: int, file: str, *ties: str, per_file: int =
 
 
 def near_tie(scored: DataFrame, k: int, preferred: str, *ties: str, eps: float = NEAR_TIE) -> DataFrame:
-    """VEC-5, SEQ-1: the best k when, within buckets of near-equal similarity, preferred rows come first; adds ``rank``.
+    """VEC-5, SEQ-1: the best k when, within buckets of near-equal similarity, preferred rows come first; adds ``bucket`` and ``rank``.
 
-    A bucket opens at the first row more than eps below its leader.  Buckets depend on the
-    rows above alone, so only rows down to eps below the k-th are folded.
+    A bucket opens at the first row more than eps below its leader, so the leaders of all
+    buckets that the best k rows touch are among these k similarities.  However many
+    rows share the last bucket, they are only sorted for the best k.
     """
     order = [F.desc("similarity"), *ties]
-    floor = scored.orderBy(*order).limit(k).agg((F.min("similarity") - eps).alias("__floor"))
-    pool = scored.join(F.broadcast(floor), F.col("similarity") >= F.col("__floor")).drop("__floor")
-    ranked = pool.withColumn("__rn", F.row_number().over(Window.orderBy(*order)))
-    lists = ranked.agg(F.transform(F.array_sort(F.collect_list(F.struct("__rn", "similarity"))), lambda x: x["similarity"]).alias("s"))
-    fold = F.aggregate(
-        "s",
-        F.struct(F.lit(None).cast("double").alias("lead"), F.lit(-1).alias("bucket"), F.array().cast("array<int>").alias("out")),
-        lambda acc, x: F.when(
-            acc["lead"].isNull() | (acc["lead"] - x > eps),
-            F.struct(x.alias("lead"), (acc["bucket"] + 1).alias("bucket"), F.concat(acc["out"], F.array(acc["bucket"] + 1)).alias("out")),
-        ).otherwise(F.struct(acc["lead"].alias("lead"), acc["bucket"].alias("bucket"), F.concat(acc["out"], F.array(acc["bucket"])).alias("out"))),
-    )
-    buckets = lists.select(F.posexplode(fold["out"]).alias("__p", "bucket")).select((F.col("__p") + 1).alias("__rn"), "bucket")
-    joined = ranked.join(buckets, "__rn")
-    place = F.row_number().over(Window.orderBy("bucket", F.desc(preferred), "__rn"))
-    return joined.withColumn("rank", place).where(F.col("rank") <= k).drop("__rn")
+    head = scored.orderBy(*order).limit(k).agg(F.collect_list("similarity").alias("s")).select(F.sort_array("s", asc=False).alias("s"))
+    none = F.array().cast("array<double>")
+    leaders = F.aggregate("s", none, lambda found, x: F.when((F.size(found) == 0) | (F.element_at(found, -1) - x > eps), F.concat(found, F.array(x))).otherwise(found))
+    few = head.select(F.posexplode(leaders).alias("bucket", "__lead"))
+    # A row lies in the one bucket whose leader is not below it and at most eps above it; there are at most k leaders.
+    pool = scored.join(F.broadcast(few), (F.col("similarity") <= F.col("__lead")) & (F.col("__lead") - F.col("similarity") <= eps)).drop("__lead")
+    best = [F.col("bucket"), F.desc(preferred), *order]
+    return pool.orderBy(*best).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*best)))
 
 
 def knn(queries: DataFrame, base: DataFrame, k: int, key: str, vector: str = "embedding") -> DataFrame:

@@ -33,13 +33,24 @@ BONUS = {"definition": 120, "call": 110, "route": 110, "import": 70, "reference"
 RANK = {"definition": 0, "call": 1, "route": 1, "import": 2, "reference": 3}
 
 NAME = r"([A-Za-z_$][A-Za-z0-9_$]*)"
-DECLARED = [
-    rf"\b(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*{NAME}",
-    rf"\b(?:export\s+)?(?:default\s+)?class\s+{NAME}",
-    rf"\b(?:export\s+)?(?:default\s+)?(?:const|let|var)\s+{NAME}",
-    rf"\bdef\s+{NAME}",
-]
-CALLED = rf"(?:^|[^A-Za-z0-9_$.]){NAME}\s*\("
+# The forms of declarations, imports and calls that count, and what each captures, a name or a list of names.
+FORMS = {
+    "declared": [
+        (rf"\b(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*{NAME}", "name"),
+        (rf"\b(?:export\s+)?(?:default\s+)?class\s+{NAME}", "name"),
+        (rf"\b(?:export\s+)?(?:default\s+)?(?:const|let|var)\s+{NAME}", "name"),
+        (rf"\bdef\s+{NAME}", "name"),
+        (r"\bexport\s*(?:type\s*)?\{([^}]+)\}", "list"),
+    ],
+    "imported": [
+        (rf"\bimport\s+{NAME}\s+from\b", "name"),
+        (r"\bimport\s*(?:type\s*)?\{([^}]+)\}", "list"),
+        (r"\bfrom\s+['\"][^'\"]+['\"]\s+import\s+([^\n]+)", "list"),
+        (rf"\b(?:import|from)\s+{NAME}\s+import\b", "name"),
+        (r"\bfrom\s+[A-Za-z_][A-Za-z0-9_.]*\s+import\s+([^\n]+)", "list"),
+    ],
+    "called": [(rf"(?:^|[^A-Za-z0-9_$.]){NAME}\s*\(", "name")],
+}
 
 
 def useful(name: Column) -> Column:
@@ -47,37 +58,19 @@ def useful(name: Column) -> Column:
     return (F.length(name) >= 3) & ~F.array_contains(stop, name) & ~F.array_contains(stop, F.lower(name))
 
 
-def _all(c: Column, pattern: str, group: int = 1) -> Column:
-    return F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
-
-
-def _grouped(c: Column, pattern: str) -> Column:
-    """Identifiers within the lists that a pattern captures; of ``a as b`` both."""
-    return F.filter(F.flatten(F.transform(_all(c, pattern), identifiers)), lambda x: ~x.isin("as", "type"))
-
-
-def declared(c: Column) -> Column:
-    return F.concat(*[_all(c, p) for p in DECLARED], _grouped(c, r"\bexport\s*(?:type\s*)?\{([^}]+)\}"))
-
-
-def imported(c: Column) -> Column:
-    return F.concat(
-        _all(c, rf"\bimport\s+{NAME}\s+from\b"),
-        _grouped(c, r"\bimport\s*(?:type\s*)?\{([^}]+)\}"),
-        _grouped(c, r"\bfrom\s+['\"][^'\"]+['\"]\s+import\s+([^\n]+)"),
-        _all(c, rf"\b(?:import|from)\s+{NAME}\s+import\b"),
-        F.array_except(_grouped(c, r"\bfrom\s+[A-Za-z_][A-Za-z0-9_.]*\s+import\s+([^\n]+)"), F.array().cast("array<string>")),
-    )
-
-
-def called(c: Column) -> Column:
-    return _all(bare_code(c), CALLED)
+def named(c: Column, role: str) -> Column:
+    """The identifiers that play a role in a text, form by form; of ``a as b`` in a list both."""
+    found = []
+    for pattern, captures in FORMS[role]:
+        hits = F.regexp_extract_all(c, F.lit(pattern), F.lit(1))
+        found.append(hits if captures == "name" else F.filter(F.flatten(F.transform(hits, identifiers)), lambda x: ~x.isin("as", "type")))
+    return F.concat(*found)
 
 
 def symbols(c: Column) -> Column:
     """XREF-1: declared, imported, called, then code-shaped names, in order of first appearance."""
     shaped = F.filter(identifiers(bare_code(c)), code_shaped)
-    return F.array_distinct(F.filter(F.concat(declared(c), imported(c), called(c), shaped), useful))
+    return F.array_distinct(F.filter(F.concat(named(c, "declared"), named(c, "imported"), named(bare_code(c), "called"), shaped), useful))
 
 
 def implementation(path: Column) -> Column:
@@ -95,7 +88,7 @@ def type_only(path: Column, content: Column) -> Column:
 def occurrences(chunks: DataFrame) -> DataFrame:
     """(chunk_id, symbol, raw_category) of every identifier of a chunk: definition, import, call, reference, the strongest it shows (XREF-2)."""
     content = F.col("content")
-    sets = chunks.select("chunk_id", F.array_distinct(identifiers(content)).alias("all"), declared(content).alias("d"), imported(content).alias("i"), _all(content, CALLED).alias("c"))
+    sets = chunks.select("chunk_id", F.array_distinct(identifiers(content)).alias("all"), *[named(content, role).alias(role[0]) for role in ("declared", "imported", "called")])
     one = sets.select("chunk_id", F.explode("all").alias("symbol"), "d", "i", "c")
     category = F.when(F.array_contains("d", F.col("symbol")), "definition").when(F.array_contains("i", F.col("symbol")), "import").when(F.array_contains("c", F.col("symbol")), "call").otherwise("reference")
     return one.select("chunk_id", "symbol", category.alias("raw_category"))
@@ -132,7 +125,7 @@ def symbol_matches(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def route_matches(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
     """XREF-7, JOIN-17: the first wanted route in each chunk, as a whole route."""
-    found = chunks.select("chunk_id", F.explode(F.array_distinct(_all(F.col("content"), r"(/api/[A-Za-z0-9][A-Za-z0-9_/-]*)"))).alias("symbol"))
+    found = chunks.select("chunk_id", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"(/api/[A-Za-z0-9][A-Za-z0-9_/-]*)"), F.lit(1)))).alias("symbol"))
     joined = found.join(F.broadcast(wanted.limit(MAX_SYMBOLS)), "symbol")
     return joined.groupBy("chunk_id").agg(F.min_by("symbol", "position").alias("symbol")).withColumn("raw_category", F.lit("route"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,9 +13,11 @@ from tarn.sources.tables import table
 from tarn.streaming import streams as s
 
 
-def _folder(spark: SparkSession):
+def _folder(spark: SparkSession) -> str:
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return lambda: f"{named}/streams" if named else tempfile.mkdtemp(prefix="spark-stream-")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{named or tempfile.mkdtemp(prefix='spark-stream-')}/streams"
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,19 +53,33 @@ def str_session_idle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select event_type, count(*) as events from events group by 1")
 def str_dedup_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STM-6: the same file twice would add nothing; ids are unique."""
-    out = s.drain(s.first_seen(_events(spark, sf_dir), "event_id"), "append", _folder(spark))
+    """STM-6: every event arrives twice, and counts once."""
+    twice = _events(spark, sf_dir).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    out = s.drain(s.first_seen(twice, "event_id"), "append", _folder(spark))
     return out.groupBy("event_type").agg(F.count("*").alias("events"))
 
 
-@query("select event_type, count(*) as events, round(sum(value), 4) as value from events group by 1")
+@query("""with e as (select *, event_id % 3 = 0 as late from events), w as (select max(ts) - interval 15 seconds as mark from e where not late)
+    select event_type, count(*) as events, round(sum(value), 4) as value from e, w where not late or to_timestamp(floor(epoch_us(ts) / 1000000.0) + 1)::timestamp > mark group by 1""")
 def str_late_grace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STM-5: within the grace nothing is late."""
-    out = s.drain(_events(spark, sf_dir).groupBy("event_type").agg(F.count("*").alias("events"), F.sum("value").alias("value")), "complete", _folder(spark))
-    return out.select("event_type", "events", F.round("value", 4).alias("value"))
-
-
-@query()
+    """STM-5: a third of the events arrives after the others; of these, windows that ended before the grace are closed."""
+    folder = f"{_folder(spark)}/{uuid.uuid4().hex}"
+    events = table(spark, sf_dir, "events")
+    for late in (False, True):
+        events.where((F.col("event_id") % 3 == 0) == late).write.mode("append").parquet(f"{folder}/in")
+        stream = s.event_stream(spark, f"{folder}/in", events.schema, files=1 << 20)
+        counted = stream.groupBy(F.window("ts", "1 second"), "event_type").agg(F.count("*").alias("events"), F.sum("value").alias("value"))
+        out = s.drain(counted, "update", folder, "late")
+    newest = out.groupBy("window", "event_type").agg(F.max_by(F.struct("events", "value"), "batch").alias("last"))
+    return newest.groupBy("event_type").agg(F.sum("last.events").alias("events"), F.round(F.sum("last.value"), 4).alias("value"))
+
+
+@query("""with o as (select user_id, ts, row_number() over (partition by user_id order by ts) as n, lag(ts) over (partition by user_id order by ts) as before from events),
+    g as (select *, sum(case when before is null or ts - before > interval 1800 seconds then 1 else 0 end) over (partition by user_id order by n) as grant_no from o),
+    s as (select user_id, grant_no, min(ts)::timestamp as opened, max(ts) as last, count(*)::int - 1 as renewals from g group by 1, 2), m as (select max(ts) - interval 15 seconds as mark from events)
+    select user_id, opened, renewals, 'expired' as status from s, m
+    where grant_no < (select max(grant_no) from s x where x.user_id = s.user_id) or last + interval 1800 seconds <= mark""")
 def str_ttl_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STM-4: grants by user, renewed by every event, expired after 30 minutes; rows in order of event time."""
-    return s.drain(s.expire(_events(spark, sf_dir), "user_id", 1800), "append", _folder(spark))
+    out = s.drain(s.expire(_events(spark, sf_dir), "user_id", 1800), "append", _folder(spark))
+    return out.select("user_id", _ntz("opened").alias("opened"), "renewals", "status")

@@ -7,12 +7,14 @@ one over what a file source holds and returns the result as a table.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def event_stream(spark: SparkSession, path: str, schema, time: str = "ts", lateness: str = "15 seconds", files: int = 8) -> DataFrame:
@@ -71,12 +73,30 @@ def expire(events: DataFrame, key: str, seconds: int = 900) -> DataFrame:
     return events.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, opened timestamp, renewals int, status string", "opened long, last long, renewals int", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def drain(stream: DataFrame, mode: str, folder: Callable[[], str]) -> DataFrame:
-    """Run a stream over all that is there (availableNow) into a memory table, and return it."""
-    name = f"stream_{uuid.uuid4().hex}"
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{folder()}/{name}").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+def drain(stream: DataFrame, mode: str, folder: str, name: str | None = None) -> DataFrame:
+    """Run a stream over all that is there (availableNow) and return what it gave, as a table in the folder.
+
+    Every micro-batch writes a part of its own, once more if it runs again, so nothing passes
+    through the driver and nothing is doubled.  Of complete mode the last part is the result,
+    else all parts are.  A stream of the same name goes on where it ended.
+    """
+    name = name or f"stream_{uuid.uuid4().hex}"
+    out = f"{folder}/{name}-out"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{folder}/{name}").trigger(availableNow=True).start().awaitTermination()
+    spark = stream.sparkSession
+    try:
+        parts = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(out)
+    except AnalysisException as e:  # no micro-batch ran
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], stream.schema)
+    if mode == "complete":
+        parts = parts.where(F.col("batch") == parts.agg(F.max("batch")).first()[0])
+    return parts if mode == "update" else parts.drop("batch")
 
 
 def append_table(stream: DataFrame, target: str, key: str, folder: str) -> None:

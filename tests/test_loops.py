@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tarn.operators import chunking, memory, storage, vector
+from tarn.operators import chunking, lookup, memory, storage, vector
 
 
 def test_near_tie_is_the_leader_rule(spark):
@@ -178,3 +178,21 @@ def test_hops_are_a_breadth_first_search(spark, sf):
     first = {k for k in rows if k > 2 and words[k] & wanted}
     assert {k for k, h in got.items() if h == 0} == first
     assert all(h in (0, 1) for h in got.values()) and not set(got) & {0, 1, 2}
+
+
+def test_a_million_near_ties(spark):
+    """All rows in one bucket: no list of them is made, and the preferred ones come first."""
+    rows = spark.range(1_000_000).select("id", (F.lit(0.5) + F.col("id") * 1e-9).alias("similarity"), (F.col("id") % 100_000 == 7).alias("preferred"))
+    got = [x["id"] for x in vector.near_tie(rows, 8, "preferred", "id").orderBy("rank").collect()]
+    assert got == [900_007 - 100_000 * k for k in range(8)]
+
+
+def test_more_than_a_thousand_grants(spark):
+    roots = [(k, f"/disk/{k}") for k in range(2500)] + [(3000, "/"), (2999, "/disk/7/deep/")]
+    paths = [("/disk/2400/a",), ("/disk/2400",), ("/disk/24000/a",), ("/disk/7/deep/x",), ("elsewhere",), (None,), ("/disk/2400/a",)]
+    got = lookup.first_grant(spark.createDataFrame(paths, "path string"), spark.createDataFrame(roots, "grant_no int, root string")).collect()
+    want = {"/disk/2400/a": 2400, "/disk/2400": 2400, "/disk/24000/a": 3000, "/disk/7/deep/x": 7, "elsewhere": None, None: None}
+    assert sorted((str(x["path"]), x["grant_no"]) for x in got) == sorted((str(p), want[p]) for (p,) in paths)
+    entries = spark.createDataFrame([(k, "indexed") for k in range(2500)] + [(9999, "indexed")], "root_id int, status string")
+    known = spark.createDataFrame([(k,) for k in range(2500)] * 2, "root_id int")
+    assert {(x["status"], x["n"]) for x in lookup.with_root(entries, known).groupBy("status").agg(F.count("*").alias("n")).collect()} == {("indexed", 2500), ("unsafe", 1)}
