@@ -8,9 +8,11 @@ pairs named in the same way, until every text is one name.  A text that holds a
 no other place holds differs from all others and leaves at once, so later rounds see only
 what is still shared.
 
-Blocks are counted by a partial aggregation before the shuffle.  Names are joined back by a
-join that deals the places of a frequent block over all tasks, so one block in a third of all
-places is never gathered in one.
+Blocks are counted by a partial aggregation before the shuffle, the only one that carries their
+text.  Names are joined back by the blocks' 64-bit hashes where a hash is that of one block
+alone, which is known if the block counts as often as its hash; other blocks are joined by
+their text.  The join deals the places of a frequent block over all tasks, so one block in a
+third of all places is never gathered in one.
 
 A null text counts as empty; all empty texts are equal.  A very long text is more blocks and
 more rounds.  Rows with the same or a null key are rows of their own: each is named by its
@@ -20,6 +22,8 @@ are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,12 +54,27 @@ def shared(found: DataFrame, size: DataFrame) -> DataFrame:
     return found.join(whole, "row", "left_semi")
 
 
-def identities(blocks: DataFrame, size: DataFrame) -> DataFrame:
+def named_blocks(whole: DataFrame, hashed: Callable[[Column], Column]) -> DataFrame:
+    """(row, place, name) of the blocks that occur more than once, from (row, blocks, hashes)."""
+    places = whole.select("row", F.posexplode("hashes").alias("place", "hash"))
+    named = names(whole.select(F.explode("blocks").alias("block")), ["block"]).withColumn("hash", hashed(F.col("block")))
+    often = cut(places.groupBy("hash").agg(F.count("*").alias("all")).where("all > 1"))
+    met = cut(named.join(often, "hash").select("hash", "n", "all", "name"))
+    found = join_counted(places, met.where("n = all").select("hash", "n", "name"), ["hash"], "n", "row").select("row", "place", "name")
+    doubtful = met.where("n < all").select("hash", "name")
+    if doubtful.isEmpty():
+        return found
+    texts = named.join(doubtful, ["hash", "name"], "left_semi").select("block", "n", "name")
+    return found.unionByName(join_counted(whole.select("row", F.posexplode("blocks").alias("place", "block")), texts, ["block"], "n", "row").select("row", "place", "name"))
+
+
+def identities(whole: DataFrame) -> DataFrame:
     """(row, rounds, name) of the texts that are not the only one of their kind.
 
-    blocks: (row, place, block); size: (row, all), the number of blocks of each text.
+    whole: (row, blocks, hashes), the blocks of each text and their hashes.
     """
-    found = cut(join_counted(blocks, names(blocks.select("block"), ["block"]), ["block"], "n", "row").select("row", "place", "name"))
+    size = whole.select("row", F.size("hashes").alias("all"))
+    found = cut(named_blocks(whole, F.xxhash64))
     now = cut(shared(found, size))
     done = None
     rounds = 0
@@ -84,9 +103,10 @@ def exact_dedup(docs: DataFrame, block: int = BLOCK, key: str = "doc_id", text:
     source = docs.select(F.monotonically_increasing_id().alias("row"), docs[key].alias("key"), normalised(docs[text]).alias("text"))
     pieces = F.when(F.length("text") > 0, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{block}}}"), F.lit(0))).otherwise(F.array(F.lit("")))
     # Normalised once: every later step reads this table.
-    whole = cut_table(source.select("row", "key", F.sha2("text", 256).alias("text_sha256"), pieces.alias("blocks")))
+    cut_up = source.select("row", "key", F.sha2("text", 256).alias("text_sha256"), pieces.alias("blocks"))
+    whole = cut_table(cut_up.withColumn("hashes", F.transform("blocks", lambda x: F.xxhash64(x))))
     keyed = whole.select("row", "key", "text_sha256")
-    classes = identities(whole.select("row", F.posexplode("blocks").alias("place", "block")), whole.select("row", F.size("blocks").alias("all")))
+    classes = identities(whole.select("row", "blocks", "hashes"))
     members = cut(keyed.select("row", "key").join(classes, "row"))
     groups = cut(
         members.groupBy("rounds", "name").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "row")).alias("first"), F.count("*").alias("group_size"))

@@ -129,6 +129,16 @@ def test_exact(documents):
         assert (x["keep_key"], x["group_size"], x["kept"], x["text_sha256"]) == (first[t], size[t], first[t] == i, hashlib.sha256(t.encode()).hexdigest())
 
 
+def test_blocks_whose_hashes_collide(spark):
+    """A hash that is not that of one block alone names nothing: such blocks are compared by their text."""
+    rows = [(0, ["a", "b"]), (1, ["a", "c"]), (2, ["b"]), (3, ["c"]), (4, ["d"]), (5, ["long"]), (6, ["long", "other"])]
+    whole = spark.createDataFrame(rows, "row long, blocks array<string>").withColumn("hashes", F.transform("blocks", lambda x: F.length(x).cast("long")))
+    got = {(x["row"], x["place"]): x["name"] for x in exact_dedup.named_blocks(whole, lambda x: F.length(x).cast("long")).collect()}
+    text = {(r, i): x for r, b in rows for i, x in enumerate(b)}
+    assert set(got) == {k for k, x in text.items() if x not in ("d", "other")}
+    assert all((got[a] == got[b]) == (text[a] == text[b]) for a in got for b in got)
+
+
 def test_exact_is_native(documents):
     plan = exact_dedup.exact_dedup(documents(["a", "a"]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
