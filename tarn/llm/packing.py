@@ -42,7 +42,7 @@ END_ID = 1
 GROUP_TOKENS = 1 << 21
 STEP_TOKENS = 1 << 16
 #: Pre-tokens a worker keeps the ids of; beyond it the library is asked anew.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 1_000_000
 
 Piece = tuple[int, int, int]  # document in the group, start, length
 
@@ -91,7 +91,7 @@ class Encoder:
         if len(self.known) > KNOWN_WORDS:
             self.forget()
         found, each = pretokens.words(texts, self.special)
-        if missing := list(dict.fromkeys(w for w in found if w not in self.known)):
+        if missing := list(set(found).difference(self.known)):
             self.learn(missing)
         at = np.fromiter(map(self.known.__getitem__, found), np.int64, len(found))
         size = self.size[at]
