@@ -142,15 +142,22 @@ def hop(chunks: DataFrame, seeds: DataFrame, order: str, visited: DataFrame | No
     return matches, names.select("symbol").unionByName(routes.select("symbol"))
 
 
+def across(matches: DataFrame, chunks: DataFrame, seeds: DataFrame) -> DataFrame:
+    """The matches with ``cross_file``: whether no seed of their hop is of their file. Seeds are few."""
+    files = F.broadcast(seeds.select(slashed(F.col("file_path")).alias("__file")).distinct().withColumn("__own", F.lit(True)))
+    placed = matches.join(chunks.select("chunk_id", slashed(F.col("file_path")).alias("__file")), "chunk_id")
+    return placed.join(files, "__file", "left").withColumn("cross_file", F.col("__own").isNull()).drop("__file", "__own")
+
+
 def expand(chunks: DataFrame, seeds: DataFrame, order: str) -> DataFrame:
-    """XREF-8: (chunk_id, symbol, raw_category, hop) of two hops; the earlier hop wins. Seeds themselves are not matches."""
+    """XREF-8: (chunk_id, symbol, raw_category, cross_file, hop) of two hops; the earlier hop wins. Seeds themselves are not matches."""
     first, visited = hop(chunks, seeds, order)
-    first = first.join(seeds.select("chunk_id"), "chunk_id", "left_anti").withColumn("hop", F.lit(0))
+    first = across(first.join(seeds.select("chunk_id"), "chunk_id", "left_anti"), chunks, seeds).withColumn("hop", F.lit(0))
     strong = first.join(chunks, "chunk_id").where(implementation(F.col("file_path")) & F.col("raw_category").isin("definition", "call", "route"))
     next_seeds = strong.orderBy(category_rank(F.col("raw_category"), F.col("symbol")), "chunk_id").limit(MAX_SEEDS)
     second, _ = hop(chunks, next_seeds.withColumn("__h", F.row_number().over(Window.orderBy("chunk_id"))), "__h", visited)
-    fresh = second.join(seeds.select("chunk_id"), "chunk_id", "left_anti").join(first.select("chunk_id"), "chunk_id", "left_anti").withColumn("hop", F.lit(1))
-    return first.unionByName(fresh)
+    fresh = second.join(seeds.select("chunk_id"), "chunk_id", "left_anti").join(first.select("chunk_id"), "chunk_id", "left_anti")
+    return first.unionByName(across(fresh, chunks, next_seeds).withColumn("hop", F.lit(1)))
 
 
 def match_score() -> Column:

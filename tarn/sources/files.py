@@ -61,6 +61,32 @@ def read_text(files: DataFrame, most: int = MAX_READ_BYTES) -> DataFrame:
     return files.select("path", F.when(error.isNull(), normalize(F.decode("content", "UTF-8"))).alias("text"), error.alias("error"))
 
 
+def file_digests(spark: SparkSession, folder: str) -> DataFrame:
+    """HASH-4: (path, size, sha256) of all files below a folder, one file a row; a reader's row ends at 2 GB."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    return files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+
+
+def archive_conversations(current: DataFrame, ids: DataFrame, target: VersionedTable) -> int:
+    """DML-6: add conversations to the archive, whole and once; those archived before stay as they are. The new generation.
+
+    ids: (conversation_id); one that has no messages is an error.
+    """
+    chosen = current.join(ids.select("conversation_id").distinct(), "conversation_id")
+    if not ids.join(current, "conversation_id", "left_anti").isEmpty():
+        raise ValueError("a conversation without messages cannot be archived")
+    if target.head() is not None:
+        held = target.read()
+        chosen = held.unionByName(chosen.join(held.select("conversation_id").distinct(), "conversation_id", "left_anti"))
+    return target.publish(chosen, "archive")
+
+
+def forget_conversations(target: VersionedTable, ids: DataFrame | None = None) -> int:
+    """DML-6, DML-7: take conversations out of the archive, all of them if none are named. The new generation."""
+    held = target.read()
+    return target.publish(held.where(F.lit(False)) if ids is None else held.join(ids.select("conversation_id"), "conversation_id", "left_anti"), "archive")
+
+
 def docx_text(raw: bytes) -> str:
     """The paragraphs of a DOCX file."""
     import xml.etree.ElementTree as ET

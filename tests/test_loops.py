@@ -196,3 +196,87 @@ def test_more_than_a_thousand_grants(spark):
     entries = spark.createDataFrame([(k, "indexed") for k in range(2500)] + [(9999, "indexed")], "root_id int, status string")
     known = spark.createDataFrame([(k,) for k in range(2500)] * 2, "root_id int")
     assert {(x["status"], x["n"]) for x in lookup.with_root(entries, known).groupBy("status").agg(F.count("*").alias("n")).collect()} == {("indexed", 2500), ("unsafe", 1)}
+
+
+def plain_expansion(rows, found, best, k):
+    """XREF-12 by loops: rows by id, and what each chunk shows of each identifier (found: id to symbol to category)."""
+    import re
+
+    from tarn.operators import xref
+
+    file_of = lambda i: rows[i]["file_path"].lower()
+    impl = lambda i: rows[i]["file_path"].rsplit(".", 1)[-1] in xref.IMPLEMENTATION
+    weak = lambda s: re.fullmatch("[a-z][a-z0-9]*", s) is not None
+    rank = lambda cat, s: 3 if cat == "definition" and weak(s) else xref.RANK[cat]
+
+    def rounds(seeds, column, each):
+        out, k = [], 0
+        while True:
+            new = [rows[i][column][k] for i in seeds if k < min(len(rows[i][column]), each)]
+            fresh = [x for x in dict.fromkeys(new) if x not in out]
+            if not fresh:
+                return out[: xref.MAX_SYMBOLS]
+            out, k = out + fresh, k + 1
+
+    def hop(seeds, seen):
+        names, routes = ([x for x in rounds(seeds, c, n) if x not in seen] for c, n in (("symbols", xref.MAX_SYMBOLS_CHUNK), ("routes", xref.MAX_ROUTES_CHUNK)))
+        out = {}
+        for i in rows:
+            shown = [(rank(found[i][s], s), p, s, found[i][s]) for p, s in enumerate(names) if s in found[i]]
+            told = [(xref.RANK["route"], r) for r in routes if re.search(re.escape(r) + r"(?![A-Za-z0-9_/-])", rows[i]["content"])]
+            both = [(min(shown)[0], min(shown)[2], min(shown)[3])] if shown else []
+            both += [(told[0][0], told[0][1], "route")] if told else []
+            if both:
+                out[i] = min(both)[1:]
+        return out, seen | set(names) | set(routes)
+
+    selected = sorted(best, key=lambda i: (-rows[i]["similarity"], i))
+    seeds = [i for i in selected if impl(i)] or selected
+    defined = {s for s in rounds(seeds, "symbols", xref.MAX_SYMBOLS_CHUNK) for i in selected if found[i].get(s) == "definition"}
+    told = set(rounds(selected, "routes", xref.MAX_ROUTES_CHUNK))
+    first, seen = hop(seeds, set())
+    first = {i: m for i, m in first.items() if i not in seeds}
+    strong = sorted((i for i, (s, cat) in first.items() if impl(i) and cat in ("definition", "call", "route")), key=lambda i: (rank(first[i][1], first[i][0]), i))[: xref.MAX_SEEDS]
+    second, _ = hop(sorted(strong), seen)
+    matches = {i: (*m, 0, file_of(i) not in {file_of(x) for x in seeds}) for i, m in first.items()}
+    matches |= {i: (*m, 1, file_of(i) not in {file_of(x) for x in strong}) for i, m in second.items() if i not in seeds and i not in first}
+    pool = []
+    for i in selected:
+        pool.append((not (impl(i) and not rows[i]["types"]), -((250 if rows[i]["types"] else 800 if impl(i) else 200) + rows[i]["similarity"]), i, "semantic"))
+    for i, (s, cat, n, crossed) in matches.items():
+        if i in selected:
+            continue
+        own = {"definition": 120, "call": 110, "route": 110, "import": 70, "reference": 8}["reference" if cat == "definition" and weak(s) else cat] * (0.5 if n else 1)
+        known = s in defined
+        own += 40 * crossed - 80 * (not impl(i)) + 50 * (not n) + 60 * (not n and cat == "definition" and not known) - 55 * (cat == "definition" and known) - 60 * (cat == "import" and known)
+        own += 110 * (n > 0 and cat == "call" and not weak(s)) + 110 * (not n and cat == "call" and crossed and known and not weak(s)) + 110 * (cat == "route" and crossed and s in told)
+        own -= 80 * (file_of(i) in {file_of(x) for x in selected} and cat != "definition")
+        own += 110 * (not n and ("reference" if cat == "definition" and weak(s) else cat) in ("call", "reference") and rows[i]["options"])
+        pool.append((True, -(min(790, 520 + own + rows[i]["similarity"]) if impl(i) else 120 + rows[i]["similarity"]), i, "xref"))
+    pool.sort(key=lambda x: (x[0], round(x[1], 9), -rows[x[2]]["similarity"], file_of(x[2]), rows[x[2]]["start_line"], rows[x[2]]["end_line"]))
+    merged, held = [], {}
+    for _, _, i, origin in pool:
+        if len(merged) < k and held.get(file_of(i), 0) < xref.PER_FILE:
+            held[file_of(i)] = held.get(file_of(i), 0) + 1
+            merged.append((i, origin))
+    if len(merged) < min(k, len(selected)):
+        merged += [(i, "semantic") for i in selected if i not in dict(merged)][: k - len(merged)]
+    return merged
+
+
+def test_expanded_results(spark):
+    from tarn.functions.text import api_routes
+    from tarn.operators import compose, xref
+    from tarn.sources.tables import code_chunks
+
+    c = code_chunks(spark, "/root/testdata/sf0.001")
+    types = spark.createDataFrame([(900, "src/types.ts", 1, 2, "export interface Row_Set { a: load_brazil }", 0.95), (901, "readme.md", 1, 2, "see load_peru and fetchRegion1", 0.9), (902, "py/region_1.py", 90, 93, "def other_thing():\n    return fetchRegion1('/api/region/1')", 0.05)], c.schema)
+    c = c.unionByName(types)
+    told = c.withColumn("symbols", xref.symbols(F.col("content"))).withColumn("routes", api_routes(F.col("content"))).withColumn("types", xref.type_only(F.col("file_path"), F.col("content"))).withColumn("options", xref.options_call(F.col("content")))
+    rows = {x["chunk_id"]: x for x in told.collect()}
+    found = {i: {} for i in rows}
+    for x in xref.occurrences(c).collect():
+        found[x["chunk_id"]][x["symbol"]] = x["raw_category"]
+    for best, k in (([0, 1, 2, 900, 901], 8), ([901], 4), ([2, 5, 8, 11], 4), ([3], 1)):
+        got = compose.expand_results(c.where(F.col("chunk_id").isin(best)), c, k).orderBy("rank").collect()
+        assert [(x["chunk_id"], x["origin"]) for x in got] == plain_expansion(rows, found, best, k), best
