@@ -41,12 +41,12 @@ def preview(c: Column, limit: int = 280, trim: bool = False) -> Column:
     return clamp(collapse(c), limit, trim)
 
 
-def scrub(c: Column, limit: int = 180) -> Column:
-    """STR-6: white space, paths, mail addresses and IPv4 numbers, in this order; null gives the empty text."""
+def scrub(c: Column, limit: int | None = 180) -> Column:
+    """STR-6: white space, paths, mail addresses and IPv4 numbers, in this order; null gives the empty text. No limit: not cut."""
     out = collapse(c)
     for pattern, mask in ((PATH_WINDOWS, "[path]"), (PATH_UNIX, "[path]"), (EMAIL, "[email]"), (IPV4, "[ip]")):
         out = F.regexp_replace(out, pattern, mask)
-    return F.coalesce(clamp(out, limit), F.lit(""))
+    return F.coalesce(out if limit is None else clamp(out, limit), F.lit(""))
 
 
 def issue_message(c: Column, limit: int = 280) -> Column:

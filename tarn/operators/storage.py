@@ -162,16 +162,18 @@ def filename_problem(name: Column) -> Column:
 
 def candidate_safety(entries: DataFrame, now_ms: int, protected: list[str], own_root: str) -> DataFrame:
     """STO-1: safety, dependency_concerns and concerns of offload candidates (source_path, size_bytes, mtime_ms, in_use)."""
-    path, name = F.col("source_path"), base_name(F.col("source_path"))
-    ext = extension(name)
+    path = F.col("source_path")
     off_limits = reduce(lambda a, b: a | b, (inside(path, F.lit(p)) for p in protected), F.lit(False))
-    excluded = sensitive_name(name) | off_limits | inside(path, F.lit(own_root))
-    portable = ext.isin(PORTABLE_EXTENSIONS) | (F.coalesce("size_bytes", F.lit(0)) >= 50 * MIB)
-    in_use = F.coalesce(F.col("in_use"), F.lit(False))
+    # Each step is a column of its own, so what several decisions ask is computed once.
+    told = entries.withColumn("__name", base_name(path)).withColumn("__ext", extension(F.col("__name")))
+    told = told.withColumn("__sensitive", sensitive_name(F.col("__name"))).withColumn("__off", off_limits)
+    told = told.withColumn("__excluded", F.col("__sensitive") | F.col("__off") | inside(path, F.lit(own_root)))
+    told = told.withColumn("__portable", F.col("__ext").isin(PORTABLE_EXTENSIONS) | (F.coalesce("size_bytes", F.lit(0)) >= 50 * MIB))
+    excluded, portable, in_use = F.col("__excluded"), F.col("__portable"), F.coalesce(F.col("in_use"), F.lit(False))
     safety = F.when(excluded, "excluded").when(in_use, "review_required").when(portable, "likely_portable").otherwise("review_required")
     dependency = (
-        F.when(sensitive_name(name), F.array(F.lit("sensitive_filename")))
-        .when(off_limits, F.array(F.lit("protected_location")))
+        F.when(F.col("__sensitive"), F.array(F.lit("sensitive_filename")))
+        .when(F.col("__off"), F.array(F.lit("protected_location")))
         .when(excluded, F.array(F.lit("application_directory")))
         .when(in_use, F.array(F.lit("running_process_image")))
         .when(F.col("in_use").isNull(), F.array(F.lit("unverified")))
@@ -181,10 +183,10 @@ def candidate_safety(entries: DataFrame, now_ms: int, protected: list[str], own_
     concerns = F.array_compact(
         F.array(
             F.when(~excluded & old, "older_than_one_year"),
-            F.when(~excluded, F.when(in_use, "in_use").when(portable, "heuristic_portable").when(ext.isin(REVIEW_EXTENSIONS), "document_like").otherwise("unrecognized_type")),
+            F.when(~excluded, F.when(in_use, "in_use").when(portable, "heuristic_portable").when(F.col("__ext").isin(REVIEW_EXTENSIONS), "document_like").otherwise("unrecognized_type")),
         )
     )
-    return entries.withColumn("safety", safety).withColumn("dependency_concerns", dependency).withColumn("concerns", concerns)
+    return told.withColumn("safety", safety).withColumn("dependency_concerns", dependency).withColumn("concerns", concerns).drop("__name", "__ext", "__sensitive", "__off", "__excluded", "__portable")
 
 
 def destination_conflicts(entries: DataFrame, key: str, destination: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tarn.operators import memory as mem
 from tarn.plans.registry import query
+from tarn.plans.retrieval import cut_sql
 from tarn.sources.tables import MESSAGES_SQL, messages, table
 
 NOW = dt.datetime(2024, 3, 13, 15, 30)
@@ -237,9 +238,13 @@ def chunk_turns_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.split_part("unit", F.lit(":"), F.lit(1)).cast("long").alias("conversation_id"), F.split_part("unit", F.lit(":"), F.lit(2)).cast("long").alias("turn_no"), "chunk_index", F.col("end_char").cast("long").alias("size"))
 
 
-@query()
+LONG_TURNS = "select conversation_id || ':' || turn_no::bigint as id, unit_text as t from u where length(unit_text) > 2000"
+
+
+@query(f"with recursive {UNITS}, {cut_sql(LONG_TURNS, 2000, 250, True)}, every as (select id, t, idx, a, b from cuts where idx >= 0 union all select conversation_id || ':' || turn_no::bigint, unit_text, 0, 0, length(unit_text) from u where length(unit_text) <= 2000)" + """
+    select id as unit, idx as chunk_index, a::int as start_char, b::int as end_char, sha256(substr(t, a + 1, b - a)) as digest from every""")
 def chunk_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CHK-3; tests hold it against a plain loop."""
+    """CHK-3; the SQL is recursive for turns that are cut."""
     from tarn.operators.chunking import turn_chunks
 
     u = mem.units(messages(spark, sf_dir)).select(F.concat_ws(":", "conversation_id", "turn_no").alias("unit"), "unit_text")

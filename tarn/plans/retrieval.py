@@ -107,6 +107,23 @@ def vec_dim_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.groupBy("label").agg(F.count("*").alias("scored"), F.round(F.max("similarity"), 6).alias("best"))
 
 
+def cut_sql(source: str, target: int, overlap: int, next_from_trimmed: bool) -> str:
+    """Recursive SQL for the chunkers with boundaries that depend on the text before: cuts(id, idx, a, b, t) from ``source`` (id, t)."""
+    last = lambda x, mark: f"case when strpos(reverse({x}), {mark}) = 0 then -1 else length({x}) - strpos(reverse({x}), {mark}) - length({mark}) + 1 end"
+    two, one, blank = "chr(10) || chr(10)", "chr(10)", "' '"
+    follow = "a + length(piece)" if next_from_trimmed else "e2"
+    return rf"""
+    cuts(id, t, n, nxt, idx, a, b) as (select id, t, length(t), 0::bigint, -1, 0::bigint, 0::bigint from ({source})
+      union all select id, t, n, case when {follow} >= n then n else greatest({follow} - {overlap}, a + 1) end, idx + 1, a, a + length(piece) from (
+        select *, regexp_replace(substr(t, a + 1, e2 - a), '\s+$', '') as piece from (
+          select *, case when e1 < n and not regexp_matches(substr(t, e1 + 1, 1), '\s') and not regexp_matches(right(p, 1), '\s') and {last("p", blank)} > 0 then a + {last("p", blank)} else e1 end as e2 from (
+            select *, substr(t, a + 1, e1 - a) as p from (
+              select *, case when e0 < n and {last("w", f"({two})")} >= {target} * 0.4 then a + {last("w", f"({two})")} when e0 < n and {last("w", one)} >= {target} * 0.5 then a + {last("w", one)}
+                             when e0 < n and {last("w", blank)} >= {target} * 0.5 then a + {last("w", blank)} else e0 end as e1 from (
+                select *, substr(t, a + 1, e0 - a) as w from (
+                  select *, least(a + {target}, n) as e0 from (select id, t, n, idx, nxt + length(regexp_extract(substr(t, nxt + 1), '^\s*')) as a from cuts where nxt < n) where a < n)))))))"""
+
+
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
@@ -134,8 +151,8 @@ for _p, _m in ((r"[A-Za-z]:\\[^\s]{6,}", "[path]"), (r"(?i)/(?:Users|home|var|et
 @query(f"select doc_id, case when length(x) > 180 then left(x, 179) || '…' else x end as scrubbed, contains(x, '[email]') as had_mail from (select doc_id, {SCRUB} as x from documents)")
 def text_scrub_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR-6."""
-    whole = t.scrub(F.col("text"), 1 << 30)
-    return _docs(spark, sf_dir).select("doc_id", t.clamp(whole, 180).alias("scrubbed"), F.contains(whole, F.lit("[email]")).alias("had_mail"))
+    whole = _docs(spark, sf_dir).select("doc_id", t.scrub(F.col("text"), None).alias("whole"))  # scrubbed once, used twice
+    return whole.select("doc_id", t.clamp(F.col("whole"), 180).alias("scrubbed"), F.contains("whole", F.lit("[email]")).alias("had_mail"))
 
 
 @query(r"""with m as (select doc_id, 'cannot read /home/u' || doc_id || '/notes/a.txt: ' || left(text, 300) || chr(10) || 'stack' as message from documents),
@@ -223,9 +240,10 @@ def chunk_lines_short(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _line_query(spark, sf_dir, 6, 2)
 
 
-@query()
+@query("with recursive " + cut_sql("select doc_id as id, coalesce(text, '') as t from documents", 1500, 200, False) + """
+    select id as doc_id, idx as chunk_index, a::int as start_char, b::int as end_char, sha256(substr(t, a + 1, b - a)) as digest from cuts where idx >= 0""")
 def chunk_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CHK-2; boundaries depend on the text before, tests hold it against a plain loop."""
+    """CHK-2; boundaries depend on the text before, so the SQL is recursive."""
     return chunking.char_chunks(_docs(spark, sf_dir), "doc_id", "text").select("doc_id", "chunk_index", "start_char", "end_char", F.sha2("content", 256).alias("digest"))
 
 

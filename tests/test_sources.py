@@ -117,3 +117,30 @@ def test_streamed_append_adds_each_row_once(spark, tmp_path):
     for k in range(2):  # a second stream over the same rows adds nothing
         streams.append_table(spark.readStream.schema("id int, v string").parquet(source), target, "id", str(tmp_path / f"check{k}"))
     assert sorted(r["id"] for r in spark.read.parquet(target).collect()) == [1, 2]
+
+
+def test_file_digests(spark, tmp_path):
+    import hashlib
+
+    content = {"a.bin": b"\x00\xff" * 70_000, "sub/b.txt": b"", "sub/c.txt": "é".encode()}
+    for name, raw in content.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(raw)
+    got = {r["path"].rsplit("/", 1)[-1]: (r["size"], r["sha256"]) for r in files.file_digests(spark, str(tmp_path)).collect()}
+    assert got == {n.rsplit("/", 1)[-1]: (len(raw), hashlib.sha256(raw).hexdigest()) for n, raw in content.items()}
+
+
+def test_archive(spark, tmp_path):
+    target = files.VersionedTable(spark, str(tmp_path / "archive"))
+    now = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z")], "conversation_id string, position int, content string")
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "conversation_id string")
+    held = lambda: sorted((r["conversation_id"], r["position"], r["content"]) for r in target.read().collect())
+    assert files.archive_conversations(now, ids("a", "a"), target) == 1
+    assert files.archive_conversations(now.withColumn("content", F.lit("changed")), ids("a", "b"), target) == 2
+    assert held() == [("a", 1, "x"), ("a", 2, "y"), ("b", 1, "changed")]
+    with pytest.raises(ValueError, match="without messages"):
+        files.archive_conversations(now, ids("c"), target)
+    files.forget_conversations(target, ids("a"))
+    assert held() == [("b", 1, "changed")]
+    files.forget_conversations(target)
+    assert held() == []
