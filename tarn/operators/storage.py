@@ -71,12 +71,17 @@ def search_page(files: DataFrame, query: str = "", root: str | None = None, ext:
 def root_overlap(candidates: DataFrame, roots: DataFrame) -> DataFrame:
     """JOIN-11: (candidate, relation, root): duplicate, inside or contains of the first such root, else null.
 
-    Roots are a table of a handful of granted folders.
+    One of two paths holds the other if it is among the other's ancestors, so these are two
+    equi-joins on exploded ancestors, whatever the number of roots.
     """
-    joined = candidates.join(F.broadcast(roots), inside(F.col("candidate"), F.col("root")) | inside(F.col("root"), F.col("candidate")), "left")
-    relation = F.when(F.col("root").isNull(), None).when(F.col("candidate") == F.col("root"), "duplicate").when(inside(F.col("candidate"), F.col("root")), "inside").otherwise("contains")
-    first = F.row_number().over(Window.partitionBy("candidate").orderBy("root_no"))
-    return joined.withColumn("relation", relation).withColumn("__rn", first).where("__rn = 1").select("candidate", "relation", "root")
+    up = lambda path: F.explode(F.concat(F.array(path), ancestors(F.col(path)))).alias("__p")
+    r = roots.select("root_no", "root")
+    within = candidates.select("candidate", up("candidate")).join(r.withColumn("__p", F.col("root")), "__p")
+    around = r.select("root_no", "root", up("root")).join(candidates.withColumn("__p", F.col("candidate")), "__p").where("root <> candidate")
+    relation = F.when(F.col("candidate") == F.col("root"), "duplicate").when(F.startswith("root", F.concat("candidate", F.lit("/"))), "contains").otherwise("inside")
+    met = within.select("candidate", "root_no", "root").unionByName(around.select("candidate", "root_no", "root")).withColumn("relation", relation)
+    first = met.groupBy("candidate").agg(F.min_by(F.struct("relation", "root"), "root_no").alias("m"))
+    return candidates.join(first, "candidate", "left").select("candidate", "m.relation", "m.root")
 
 
 def index_status(files: DataFrame, previous: DataFrame) -> DataFrame:

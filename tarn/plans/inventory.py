@@ -55,7 +55,7 @@ def inv_root_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def inv_prune_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOIN-23, DML-3."""
     gone = spark.createDataFrame([("src1",), ("src2",)], "root_id string")
-    return inventory(spark, sf_dir).join(F.broadcast(gone), "root_id", "left_anti").groupBy("root_id").agg(F.count("*").alias("files"))
+    return inventory(spark, sf_dir).join(gone, "root_id", "left_anti").groupBy("root_id").agg(F.count("*").alias("files"))
 
 
 @query(f"{INV} select name, root_id from f where name like '.env%'")
