@@ -4,8 +4,9 @@ The distinct pre-tokens of a batch lie in one flat symbol array.  A round finds
 rank by binary search over the sorted pair keys, merges every occurrence of each word's
 lowest-ranked pair, and drops words that have no pair left.
 
-Null and empty texts give no tokens and the empty string.  Repeated rows give repeated
-results; a null doc_id stays null.  Columns other than those asked for are ignored.
+Null and empty texts give no tokens and the empty string.  A very long text is encoded whole, at
+once with no others.  Repeated rows give repeated results; a null doc_id stays null.  Columns
+other than those asked for are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
