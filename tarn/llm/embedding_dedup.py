@@ -36,7 +36,7 @@ from tarn.llm.common import components, cut, forest, join_counted, map_groups
 
 COSINE = 0.93
 RECALL = 0.99
-SAMPLE = 65_536
+SAMPLE = 32_768
 #: Vectors in a cell on average, and vectors of the sample for a centroid at least.
 CELL = 256
 FIT = 16
@@ -220,8 +220,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float =
     usable = rows.where("usable")
     items = cut(usable.groupBy("label", "vector").agg(F.min("row").alias("item"), F.count("*").alias("copies")))
     sizes = items.groupBy(F.size("vector").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
-    fitted = items.where(F.size("vector") == (sizes["dim"] if sizes else 0)).orderBy(F.xxhash64("item")).limit(sample).select("vector").toPandas()["vector"]
-    index = Index(np.array([np.asarray(v, np.float64) for v in fitted]).reshape(len(fitted), sizes["dim"] if sizes else 0), sizes["n"] if sizes else 0, cosine, recall)
+    dim = sizes["dim"] if sizes else 0
+    fitted = items.where(F.size("vector") == dim).orderBy(F.xxhash64("item")).limit(sample).select(F.col("vector").cast("array<double>").alias("vector")).toArrow().column("vector")
+    flat = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in fitted.chunks] or [np.zeros(0)])
+    index = Index(flat.reshape(len(fitted), dim), sizes["n"] if sizes else 0, cosine, recall)
     keys = ["label", "size", "cell"]
     placed = blocks_of(cut(visited_cells(items, index)), keys, CHUNK).join(items.select("item", "copies", "vector"), "item")
     found = cut(map_groups(placed, [*keys, "i", "j"], block(cosine), "kind int, a long, b long", rows=16_384))
