@@ -115,6 +115,16 @@ ORACLES: dict[str, str] = {
         select doc_id, min(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
                doc_id = min(doc_id) over (partition by t) as kept, sha256(t) as text_sha256
         from n""",
+    # Every window of 400 bytes by its hash; windows that occur again are merged into runs.
+    "op7_suffix_array_dedup": """
+        with d as (select doc_id, encode(coalesce(text, '')) as b, octet_length(encode(coalesce(text, ''))) as n from documents),
+        w as (select doc_id, i, hash(array_slice(b, i + 1, i + 400)) as h from (select doc_id, b, unnest(range(0, n - 399)) as i from d where n >= 400)),
+        r as (select doc_id, i from w qualify count(*) over (partition by h) > 1),
+        g as (select doc_id, i, sum(case when prev is null or i > prev + 400 then 1 else 0 end) over (partition by doc_id order by i) as k from (select *, lag(i) over (partition by doc_id order by i) as prev from r)),
+        s as (select doc_id, k, min(i) as a, max(i) + 400 as z from g group by all),
+        p as (select *, coalesce(lag(z) over (partition by doc_id order by a), 0) as f from s),
+        q as (select p.doc_id, count(*) as runs, sum(z - a) as gone, string_agg(hex(array_slice(b, f + 1, a)), '' order by a) || hex(array_slice(any_value(b), max(z) + 1, any_value(n))) as kept from p join d on d.doc_id = p.doc_id group by p.doc_id)
+        select d.doc_id, n as n_bytes, coalesce(gone, 0)::bigint as n_removed, coalesce(runs, 0) as n_spans, case when runs is null then sha256(b) else sha256(unhex(kept)) end as kept_sha256 from d left join q on q.doc_id = d.doc_id""",
     # All links by brute force; the index is at work at every size, and a test measures its recall where there are many links.
     "op8_embedding_near_dedup": """
         with recursive v as (select vec_id, label, embedding::double[] as e from embeddings where label is not null and embedding is not null),
