@@ -42,7 +42,7 @@ def vec_batch_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     select a.vec_id as a, b.vec_id as b, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as similarity
     from embeddings a join embeddings b on a.vec_id < b.vec_id where a.vec_id < 10 and b.vec_id < 10""")
 def vec_pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """VEC-4: the stated small set, each pair once."""
+    """VEC-4: a fixture of ten vectors, each pair once; nearest neighbours over all rows are vec_batch_knn."""
     e = table(spark, sf_dir, "embeddings").where("vec_id < 10").select("vec_id", "embedding")
     a, b = e.alias("a"), e.alias("b")
     return a.join(b, F.col("a.vec_id") < F.col("b.vec_id")).select(F.col("a.vec_id").alias("a"), F.col("b.vec_id").alias("b"), F.round(vector.cosine(F.col("a.embedding"), F.col("b.embedding")), 6).alias("similarity"))
@@ -155,12 +155,12 @@ def text_scrub_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.select("doc_id", t.clamp(F.col("whole"), 180).alias("scrubbed"), F.contains("whole", F.lit("[email]")).alias("had_mail"))
 
 
-@query(r"""with m as (select doc_id, 'cannot read /home/u' || doc_id || '/notes/a.txt: ' || left(text, 300) || chr(10) || 'stack' as message from documents),
+@query(r"""with m as (select doc_id, 'cannot read /home/u' || doc_id || '/notes/a.txt: ' || text || chr(10) || 'stack' as message from documents),
     n as (select doc_id, trim(regexp_replace(regexp_replace(split_part(message, chr(10), 1), '[A-Za-z]:\\[^\s]+', '[path]', 'g'), '(?:/[A-Za-z0-9._-]+){2,}', '[path]', 'g')) as x from m)
     select doc_id, case when length(x) > 280 then left(x, 279) || '…' else x end as message from n""")
 def text_issue_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR-7."""
-    message = F.concat(F.lit("cannot read /home/u"), "doc_id", F.lit("/notes/a.txt: "), F.left("text", F.lit(300)), F.lit("\nstack"))
+    message = F.concat(F.lit("cannot read /home/u"), "doc_id", F.lit("/notes/a.txt: "), "text", F.lit("\nstack"))
     return _docs(spark, sf_dir).select("doc_id", t.issue_message(message).alias("message"))
 
 

@@ -156,3 +156,25 @@ def test_empty_tables(spark):
     assert vector.near_tie(empty, 5, "preferred", "id").count() == 0
     assert vector.diversify(empty, 5, "file", "id").count() == 0
     assert vector.score(empty, empty).count() == 0
+
+
+CODE = {
+    "export default async function loadAll(a) { return fetchIt(a); }": ["loadAll", "fetchIt"],
+    "import { alphaOne, betaTwo as gammaThree } from 'x'": ["alphaOne", "betaTwo", "gammaThree"],
+    "from pkg.sub import first_thing, second_thing as other_thing": ["first_thing", "second_thing", "other_thing"],
+    "class HttpServer:\n    def handle_request(self): pass": ["HttpServer", "handle_request"],
+    "// const hiddenName = 1\nconst shownName = 2": ["hiddenName", "shownName"],
+    "x.methodCall(1); plainCall(2)": ["plainCall", "methodCall"],
+    "const s = 'quotedCall(1)'": [],
+    "export { oneThing, twoThing as three_thing }": ["oneThing", "twoThing", "three_thing"],
+    "let $store = useStore()": ["$store", "useStore"],
+    "if (ready) { while (more) { return; } }": [],
+    "/* oldCall() */ newCall()": ["newCall"],
+    "def a_b(x):\n    return c_d(x) + e_f": ["a_b", "c_d", "e_f"],
+}
+
+
+def test_symbols_of_varied_code(spark):
+    rows = spark.createDataFrame([(k, c) for k, c in enumerate(CODE)], "id int, code string")
+    got = {x["id"]: x["s"] for x in rows.select("id", xref.symbols(F.col("code")).alias("s")).collect()}
+    assert [got[k] for k in range(len(CODE))] == list(CODE.values())
