@@ -62,7 +62,7 @@ def read_text(files: DataFrame, most: int = MAX_READ_BYTES) -> DataFrame:
 
 
 def file_digests(spark: SparkSession, folder: str) -> DataFrame:
-    """HASH-4: (path, size, sha256) of all files below a folder, one file a row; a reader's row ends at 2 GB."""
+    """HASH-4: (path, size, sha256) of all files below a folder that are not empty, one file a row; a reader's row ends at 2 GB."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     return files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
 
