@@ -39,10 +39,10 @@ def expand_results(selected: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     than the result had, its best left-out chunks follow.
     """
     order = [F.desc("similarity"), "chunk_id"]
-    placed = selected.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+    placed = selected.withColumn("place", F.row_number().over(Window.orderBy(*order))).persist()  # k rows that all steps start from
     code = placed.where(xref.implementation(F.col("file_path")))
     # Without implementation chunks all of the result are seeds.
-    seeds = code.unionByName(placed.join(code.limit(1).select(F.lit(True).alias("some")), how="left").where("some is null").drop("some"))
+    seeds = code.unionByName(placed.join(code.limit(1).select(F.lit(True).alias("some")), how="left").where("some is null").drop("some")).persist()
     names = xref.interleave(seeds, "place", xref.symbols(F.col("content")))
     defined = xref.occurrences(placed).where("raw_category = 'definition'").join(F.broadcast(names.select("symbol")), "symbol", "left_semi").select("symbol").distinct()
     routes = xref.interleave(placed, "place", api_routes(F.col("content")), xref.MAX_ROUTES_CHUNK).select("symbol")

@@ -152,9 +152,9 @@ def across(matches: DataFrame, chunks: DataFrame, seeds: DataFrame) -> DataFrame
 def expand(chunks: DataFrame, seeds: DataFrame, order: str) -> DataFrame:
     """XREF-8: (chunk_id, symbol, raw_category, cross_file, hop) of two hops; the earlier hop wins. Seeds themselves are not matches."""
     first, visited = hop(chunks, seeds, order)
-    first = across(first.join(seeds.select("chunk_id"), "chunk_id", "left_anti"), chunks, seeds).withColumn("hop", F.lit(0))
+    first = across(first.join(seeds.select("chunk_id"), "chunk_id", "left_anti"), chunks, seeds).withColumn("hop", F.lit(0)).persist()  # asked for four times below
     strong = first.join(chunks, "chunk_id").where(implementation(F.col("file_path")) & F.col("raw_category").isin("definition", "call", "route"))
-    next_seeds = strong.orderBy(category_rank(F.col("raw_category"), F.col("symbol")), "chunk_id").limit(MAX_SEEDS)
+    next_seeds = strong.orderBy(category_rank(F.col("raw_category"), F.col("symbol")), "chunk_id").limit(MAX_SEEDS).persist()
     second, _ = hop(chunks, next_seeds.withColumn("__h", F.row_number().over(Window.orderBy("chunk_id"))), "__h", visited)
     fresh = second.join(seeds.select("chunk_id"), "chunk_id", "left_anti").join(first.select("chunk_id"), "chunk_id", "left_anti")
     return first.unionByName(across(fresh, chunks, next_seeds).withColumn("hop", F.lit(1)))
