@@ -31,6 +31,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,13 +39,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarn.llm.common import cut_table, pieces
+from tarn.llm.common import arrow_schema, cut_table, pieces
 
-#: Bytes of context; with the byte that follows they fit a long without its sign.
-ORDER = 6
-#: Bytes of text with one dictionary, and positions that are counted at once.
-BLOCK = 48_000_000
+#: Bytes of context at most; with the byte that follows and a text's place in its piece they fit a long without its sign.
+ORDER = 5
+#: Bytes of text with one dictionary, places that are counted at once, and texts of a piece (15 bits).
+BLOCK = 32_000_000
 PIECE = 1 << 21
+TEXTS = 1 << 14
 END = 0xFF
 #: The end of a text as a token; no word holds a blank.
 END_TOKEN = b" "
@@ -81,11 +83,11 @@ def coded(texts: list[bytes], order: int) -> Iterator[tuple[np.ndarray, np.ndarr
         data = np.frombuffer(b"".join(joined), np.uint8)
         lengths = np.fromiter(map(len, joined), np.int64, len(joined))
         begin = np.cumsum(lengths) - lengths
-        # The last bytes of a part have no place of their own: its context is the part's first bytes.
+        # The first bytes of a part are context only.
         inside = np.ones(len(data), bool)
         for k in range(order):
             inside[begin + k] = False
-        return gram_codes(data, order)[inside[order:]], np.repeat(np.asarray(owners), lengths - order)
+        return gram_codes(data, order)[inside[order:]], np.repeat(np.asarray(owners, np.int64), lengths - order)
 
     for i, t in enumerate(texts):
         whole = pad + t
@@ -101,73 +103,103 @@ def coded(texts: list[bytes], order: int) -> Iterator[tuple[np.ndarray, np.ndarr
         yield flush()
 
 
-def add_up(code: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct codes in order, with the sums of the weights."""
-    kinds, back = np.unique(code, return_inverse=True)
-    return kinds, *(np.bincount(back, weights=w, minlength=len(kinds)).astype(np.int64) for w in weights)
+def runs_of(ordered: np.ndarray) -> np.ndarray:
+    """Starts of the runs of equal values."""
+    first = np.ones(len(ordered), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=first[1:])
+    return np.flatnonzero(first)
 
 
-BLOCKS = "block long, row long, key {kind}, text binary, tokens long, gram long, word binary, learned long"
+def counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    ordered = np.sort(codes)
+    starts = runs_of(ordered)
+    return ordered[starts], np.diff(np.append(starts, len(ordered)))
+
+
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted codes with sums, of parts that are each sorted."""
+    code, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(code, kind="stable")
+    code, n = code[order], n[order]
+    starts = runs_of(code)
+    return code[starts], np.add.reduceat(n, starts) if len(n) else n
+
+
+def squeezed(texts: list[bytes]) -> bytes:
+    return pa.compress(b"".join(texts), codec="zstd", asbytes=True)
+
+
+def spread(body: bytes, sizes: list[int]) -> list[bytes]:
+    ends = np.cumsum(sizes).tolist()
+    flat = pa.decompress(body, decompressed_size=ends[-1], codec="zstd", asbytes=True)
+    return [flat[e - n : e] for e, n in zip(ends, sizes, strict=True)]
+
+
+def titled(rows: pa.Array, keys: pa.Array, sizes: list[int]) -> bytes:
+    """What goes with a piece's texts, as bytes: rows of lists make Spark's Arrow writer slow."""
+    batch = pa.RecordBatch.from_arrays([rows, keys, pa.array(sizes, pa.int64())], names=["row", "key", "size"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+BLOCKS = "block long, gram long, word binary, learned long, body binary, head binary"
 
 
 def blocks(docs: DataFrame, order: int) -> DataFrame:
-    """Rows of three kinds per block: its texts as symbols, its grams and its words with the times they are learned."""
-    kind = docs.schema["key"].dataType.simpleString()
+    """Rows of three kinds per block: its texts as compressed pieces of symbols, its grams and its words with the times they are learned."""
+    schema = arrow_schema(BLOCKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = TaskContext.get().partitionId() << 24
-        names = ["block", "row", "key", "text", "tokens", "gram", "word", "learned"]
-        types = [pa.int64(), pa.int64(), None, pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
-        state = {"block": first, "size": 0}
+        block, size = TaskContext.get().partitionId() << 24, 0
         grams: list[tuple[np.ndarray, np.ndarray]] = []
         tokens: Counter[bytes] = Counter()
-        seen: set[bytes] = set()
-
-        def rows(key_type: pa.DataType, n: int, **given: pa.Array) -> pa.RecordBatch:
-            made = [given.get(c, pa.nulls(n, t or key_type)) for c, t in zip(names, types, strict=True)]
-            return pa.RecordBatch.from_arrays(made, names=names)
-
-        def merge() -> None:
-            code, learned = (np.concatenate(x) for x in zip(*grams, strict=True))
-            grams[:] = [add_up(code, learned)]
-
-        def close(key_type: pa.DataType) -> Iterator[pa.RecordBatch]:
-            if not grams:
-                return
-            merge()
-            code, learned = grams[0]
-            for a in range(0, len(code), 1 << 20):
-                part = slice(a, a + (1 << 20))
-                yield rows(key_type, len(code[part]), block=pa.array(np.full(len(code[part]), state["block"])), gram=pa.array(code[part]), learned=pa.array(learned[part]))
-            found = list(seen)
-            yield rows(key_type, len(found), block=pa.array(np.full(len(found), state["block"])), word=pa.array(found, pa.binary()), learned=pa.array([tokens.get(w, 0) for w in found], pa.int64()))
-            grams.clear(), tokens.clear(), seen.clear()
-            state.update(block=state["block"] + 1, size=0)
-
-        key_type = None
+        others: set[bytes] = set()
+
+        def rows(n: int, **given: pa.Array) -> pa.RecordBatch:
+            given["block"] = pa.array(np.full(n, block))
+            return pa.RecordBatch.from_arrays([given[f.name] if f.name in given else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+        def close() -> Iterator[pa.RecordBatch]:
+            code, learned = merged(grams)
+            for a in range(0, len(code), 1 << 18):
+                part = code[a : a + (1 << 18)]
+                yield rows(len(part), gram=pa.array(part), learned=pa.array(learned[a : a + (1 << 18)]))
+            found = [*tokens, *(others - tokens.keys())]
+            for a in range(0, len(found), 1 << 16):
+                part = found[a : a + (1 << 16)]
+                yield rows(len(part), word=pa.array(part, pa.binary()), learned=pa.array([tokens[w] for w in part], pa.int64()))
+            grams.clear(), tokens.clear(), others.clear()
+
         for batch, texts in pieces(batches, "text"):
-            key_type = batch.schema.field("key").type
             learn = np.asarray(batch.column(batch.schema.get_field_index("learn")).to_pylist(), bool)
-            split = [words_of(t) for t in texts]
-            made = [symbols(w) for w in split]
-            for code, owner in coded(made, order):
-                grams.append(add_up(code, learn[owner].astype(np.int64)))
-                if sum(len(g[0]) for g in grams[1:]) > max(2 * PIECE, len(grams[0][0])):
-                    merge()
-            for w, yes in zip(split, learn.tolist(), strict=True):
-                seen.update(w)
-                if yes:
-                    tokens.update(w)
-            seen.add(END_TOKEN)
-            tokens[END_TOKEN] += int(learn.sum())
-            yield rows(key_type, len(texts), block=pa.array(np.full(len(texts), state["block"])), row=batch.column(0), key=batch.column(1), text=pa.array(made, pa.binary()), tokens=pa.array([len(w) + 1 for w in split], pa.int64()))
-            state["size"] += sum(map(len, made))
-            if state["size"] >= BLOCK:
-                yield from close(key_type)
-        if key_type is not None:
-            yield from close(key_type)
-
-    return docs.select("row", "key", "text", "learn").mapInArrow(run, BLOCKS.format(kind=kind))
+            for at in range(0, len(texts), TEXTS):
+                yes = learn[at : at + TEXTS]
+                split = [words_of(t) for t in texts[at : at + TEXTS]]
+                made = [symbols(w) for w in split]
+                for code, owner in coded(made, order):
+                    mine = yes[owner]
+                    for part, times in ((code[mine], 1), (code[~mine], 0)):
+                        if len(part):
+                            kinds, n = counted(part)
+                            grams.append((kinds, n * times))
+                    if len(grams) > 1 and sum(len(g[0]) for g in grams[1:]) > max(2 * PIECE, len(grams[0][0])):
+                        grams[:] = [merged(grams)]
+                for w, y in zip(split, yes.tolist(), strict=True):
+                    (tokens if y else others).update(w)
+                others.add(END_TOKEN)
+                tokens[END_TOKEN] += int(yes.sum())
+                head = titled(batch.column(0).slice(at, TEXTS), batch.column(1).slice(at, TEXTS), [len(t) for t in made])
+                yield rows(1, body=pa.array([squeezed(made)], pa.binary()), head=pa.array([head], pa.binary()))
+                size += sum(map(len, made))
+                if size >= BLOCK:
+                    yield from close()
+                    block, size = block + 1, 0
+        if grams:
+            yield from close()
+
+    return docs.select("row", "key", "text", "learn").mapInArrow(run, BLOCKS)
 
 
 def gram_logs(counts: DataFrame, order: int) -> DataFrame:
@@ -181,7 +213,7 @@ def gram_logs(counts: DataFrame, order: int) -> DataFrame:
     levels = {order: cut_table(counts)}
     for k in range(order - 1, -1, -1):
         shorter = levels[k + 1].groupBy(F.col("gram").bitwiseAND(F.lit((1 << (8 * (k + 1))) - 1)).alias("gram")).agg(F.sum("c").alias("c"))
-        levels[k] = cut_table(shorter) if k >= order - 2 else shorter
+        levels[k] = cut_table(shorter)
     log = lambda a, b: F.log10(F.try_divide(a.cast("double"), b))
     # A context has 256 followers at most, so no window is large.
     followers = Window.partitionBy("context")
@@ -203,17 +235,21 @@ def gram_logs(counts: DataFrame, order: int) -> DataFrame:
         own = F.when(F.col("c") > 0, log(2 * F.col("c") - 1, 2 * F.col("n"))).when(F.col("n") > 0, log(F.col("d"), 2 * F.col("n")) + F.col("e")).otherwise(F.col("p1"))
         level = level.withColumn("e", F.when(F.col("c") == 0, escaped)).withColumn("p", own)
         below = level.select(F.col("gram").alias("low"), F.col("c").alias("c1"), F.col("n").alias("n1"), F.col("d").alias("d1"), F.coalesce("e", F.lit(0.0)).alias("e1"), F.col("p").alias("p1"))
+        below = cut_table(below) if k < order else below
     return below.select(F.col("low").alias("gram"), F.col("p1").alias("logp"))
 
 
 def _add_scores(rows: DataFrame, kind: str, order: int) -> DataFrame:
-    """Sums per text; of each block the grams come first, then the words, then the texts."""
+    """Sums per text from (block, stage, number, body, value, head); of each block the grams come first, then the words, then the texts."""
+    ddl = f"row long, key {kind}, n_tokens long, n_known long, base_score double, score double"
+    schema = arrow_schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = None
         grams: list[tuple[np.ndarray, np.ndarray]] = []
-        words: dict[bytes, tuple[int, float]] = {}
-        ready: tuple[np.ndarray, np.ndarray] | None = None
+        place: dict[bytes, int] = {}
+        rates: list[np.ndarray] = []
+        known = logp = rate = seen = np.zeros(0)
         for batch in batches:
             number, stage = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             cuts = np.flatnonzero((number[1:] != number[:-1]) | (stage[1:] != stage[:-1])) + 1
@@ -221,36 +257,40 @@ def _add_scores(rows: DataFrame, kind: str, order: int) -> DataFrame:
                 if a == b:
                     continue
                 if number[a] != block:
-                    block, grams, words, ready = number[a], [], {}, None
+                    block, grams, place, rates = number[a], [], {}, []
                 part = batch.slice(a, b - a)
                 if stage[a] == 0:
-                    grams.append((part.column(5).to_numpy(), part.column(7).to_numpy()))
+                    grams.append((part.column(2).to_numpy(), part.column(4).to_numpy()))
                 elif stage[a] == 1:
-                    words.update(zip(part.column(6).to_pylist(), zip(part.column(8).to_pylist(), part.column(7).to_pylist(), strict=True), strict=True))
+                    place.update(zip(part.column(3).to_pylist(), range(len(place), len(place) + part.num_rows), strict=True))
+                    rates.append(np.stack([part.column(4).to_numpy(), part.column(2).to_numpy() > 0]))
                 else:
-                    if ready is None:
-                        code, logp = (np.concatenate(x) for x in zip(*grams, strict=True))
-                        place = np.argsort(code)
-                        ready, grams = (code[place], logp[place]), []
-                    yield from scored(part, *ready, words)
-
-    def scored(part: pa.RecordBatch, known: np.ndarray, logp: np.ndarray, words: dict[bytes, tuple[int, float]]) -> Iterator[pa.RecordBatch]:
-        texts = part.column(4).to_pylist()
+                    if grams:
+                        code, value = (np.concatenate(x) for x in zip(*grams, strict=True))
+                        at = np.argsort(code)
+                        known, logp, grams = code[at], value[at], []
+                        (rate, seen), rates = np.concatenate(rates, axis=1), []
+                    for body, head in zip(part.column(3).to_pylist(), part.column(5).to_pylist(), strict=True):
+                        titles = pa.ipc.open_stream(head).read_next_batch()
+                        sums = scored(spread(body, titles.column(2).to_pylist()), known, logp, place, rate, seen)
+                        yield pa.RecordBatch.from_arrays([titles.column(0), titles.column(1).cast(schema.field("key").type), *map(pa.array, sums)], schema=schema)
+
+    def scored(texts: list[bytes], known: np.ndarray, logp: np.ndarray, place: dict[bytes, int], rate: np.ndarray, seen: np.ndarray) -> list[np.ndarray]:
         total = np.zeros(len(texts))
         for code, owner in coded(texts, order):
-            kinds, back = np.unique(code, return_inverse=True)
-            total += np.bincount(owner, weights=logp[np.searchsorted(known, kinds)][back], minlength=len(texts))
-        n_known, base = [], []
-        for t in texts:
-            found = [words[w] for w in [*t[:-1].split(), END_TOKEN]]
-            n_known.append(sum(f[0] > 0 for f in found))
-            base.append(math.fsum(f[1] for f in found))
-        yield pa.RecordBatch.from_arrays(
-            [part.column(2), part.column(3), pa.array([len(t[:-1].split()) + 1 for t in texts], pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), pa.array(total)], names=["row", "key", "n_tokens", "n_known", "base_score", "score"]
-        )
+            packed = np.sort((code << 15) | owner)
+            code = packed >> 15
+            starts = runs_of(code)
+            value = np.repeat(logp[np.searchsorted(known, code[starts])], np.diff(np.append(starts, len(code))))
+            total += np.bincount(packed & 0x7FFF, weights=value, minlength=len(texts))
+        split = [[*t[:-1].split(), END_TOKEN] for t in texts]
+        each = np.fromiter(map(len, split), np.int64, len(split))
+        ids = np.fromiter(map(place.__getitem__, chain.from_iterable(split)), np.int64, int(each.sum()))
+        owner = np.repeat(np.arange(len(texts)), each)
+        add = lambda weights: np.bincount(owner, weights=weights[ids], minlength=len(texts))
+        return [each, add(seen).astype(np.int64), add(rate), total]
 
-    placed = rows.repartition("block").sortWithinPartitions("block", "stage")
-    return placed.mapInArrow(run, f"row long, key {kind}, n_tokens long, n_known long, base_score double, score double")
+    return rows.repartition("block").sortWithinPartitions("block", "stage").mapInArrow(run, ddl)
 
 
 def score(docs: DataFrame, learned: F.Column, key: str = "doc_id", text: str = "text", order: int = ORDER) -> DataFrame:
@@ -270,13 +310,11 @@ def score(docs: DataFrame, learned: F.Column, key: str = "doc_id", text: str = "
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v"))
     n, v = sums.first() or (0, 0)
     rate = F.log10((F.col("c") + 1) / F.lit(float(n + v + 1)))
-    empty = lambda t: F.lit(None).cast(t)
-    stages = (
-        grams.join(logs, "gram").select("block", F.lit(0).alias("stage"), empty("long").alias("row"), empty(kind).alias("key"), empty("binary").alias("text"), "gram", empty("binary").alias("word"), F.col("logp").alias("value"), empty("long").alias("c")),
-        words.join(counts, "word").select("block", F.lit(1).alias("stage"), empty("long").alias("row"), empty(kind).alias("key"), empty("binary").alias("text"), empty("long").alias("gram"), "word", rate.alias("value"), "c"),
-        held.where("row is not null").select("block", F.lit(2).alias("stage"), "row", "key", "text", empty("long").alias("gram"), empty("binary").alias("word"), empty("double").alias("value"), empty("long").alias("c")),
-    )
-    found = _add_scores(stages[0].unionByName(stages[1]).unionByName(stages[2]), kind, order)
+    none = lambda kind: F.lit(None).cast(kind)
+    found_grams = grams.join(logs, "gram").select("block", F.lit(0).alias("stage"), F.col("gram").alias("number"), none("binary").alias("body"), F.col("logp").alias("value"), none("binary").alias("head"))
+    found_words = words.join(counts, "word").select("block", F.lit(1).alias("stage"), F.col("c").alias("number"), F.col("word").alias("body"), rate.alias("value"), none("binary").alias("head"))
+    texts = held.where("body is not null").select("block", F.lit(2).alias("stage"), none("long").alias("number"), "body", none("double").alias("value"), "head")
+    found = _add_scores(found_grams.union(found_words).union(texts), kind, order)
     return found.select("row", "key", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", "score")
 
 
