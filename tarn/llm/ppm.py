@@ -44,8 +44,8 @@ from tarn.llm.common import arrow_schema, cut_table, pieces
 #: Bytes of context at most; with the byte that follows and a text's place in its piece they fit a long without its sign.
 ORDER = 5
 #: Bytes of text with one dictionary, places that are counted at once, and texts of a piece (15 bits).
-BLOCK = 32_000_000
-PIECE = 1 << 21
+BLOCK = 30_000_000
+PIECE = 1 << 19
 TEXTS = 1 << 14
 END = 0xFF
 #: The end of a text as a token; no word holds a blank.
@@ -144,7 +144,7 @@ def titled(rows: pa.Array, keys: pa.Array, sizes: list[int]) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-BLOCKS = "block long, gram long, word binary, learned long, body binary, head binary"
+BLOCKS = "block long, gram long, word binary, learned long, body binary"
 
 
 def blocks(docs: DataFrame, order: int) -> DataFrame:
@@ -191,7 +191,7 @@ def blocks(docs: DataFrame, order: int) -> DataFrame:
                 others.add(END_TOKEN)
                 tokens[END_TOKEN] += int(yes.sum())
                 head = titled(batch.column(0).slice(at, TEXTS), batch.column(1).slice(at, TEXTS), [len(t) for t in made])
-                yield rows(1, body=pa.array([squeezed(made)], pa.binary()), head=pa.array([head], pa.binary()))
+                yield rows(1, body=pa.array([len(head).to_bytes(8, "little") + head + squeezed(made)], pa.binary()))
                 size += sum(map(len, made))
                 if size >= BLOCK:
                     yield from close()
@@ -239,8 +239,8 @@ def gram_logs(counts: DataFrame, order: int) -> DataFrame:
     return below.select(F.col("low").alias("gram"), F.col("p1").alias("logp"))
 
 
-def _add_scores(rows: DataFrame, kind: str, order: int) -> DataFrame:
-    """Sums per text from (block, stage, number, body, value, head); of each block the grams come first, then the words, then the texts."""
+def _add_scores(rows: DataFrame, kind: str, order: int, norm: float) -> DataFrame:
+    """Sums per text from (spot, number, body, value) with spot = 4 block + stage; of each block the grams come first, then the words, then the texts."""
     ddl = f"row long, key {kind}, n_tokens long, n_known long, base_score double, score double"
     schema = arrow_schema(ddl)
 
@@ -251,28 +251,30 @@ def _add_scores(rows: DataFrame, kind: str, order: int) -> DataFrame:
         rates: list[np.ndarray] = []
         known = logp = rate = seen = np.zeros(0)
         for batch in batches:
-            number, stage = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            cuts = np.flatnonzero((number[1:] != number[:-1]) | (stage[1:] != stage[:-1])) + 1
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(number)], strict=True):
+            spot = batch.column(0).to_numpy()
+            cuts = np.flatnonzero(spot[1:] != spot[:-1]) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(spot)], strict=True):
                 if a == b:
                     continue
-                if number[a] != block:
-                    block, grams, place, rates = number[a], [], {}, []
+                if spot[a] >> 2 != block:
+                    block, grams, place, rates = spot[a] >> 2, [], {}, []
                 part = batch.slice(a, b - a)
-                if stage[a] == 0:
-                    grams.append((part.column(2).to_numpy(), part.column(4).to_numpy()))
-                elif stage[a] == 1:
-                    place.update(zip(part.column(3).to_pylist(), range(len(place), len(place) + part.num_rows), strict=True))
-                    rates.append(np.stack([part.column(4).to_numpy(), part.column(2).to_numpy() > 0]))
+                if spot[a] & 3 == 0:
+                    grams.append((part.column(1).to_numpy(), part.column(3).to_numpy()))
+                elif spot[a] & 3 == 1:
+                    place.update(zip(part.column(2).to_pylist(), range(len(place), len(place) + part.num_rows), strict=True))
+                    c = part.column(1).to_numpy()
+                    rates.append(np.stack([np.log10((c + 1) / norm), c > 0]))
                 else:
                     if grams:
                         code, value = (np.concatenate(x) for x in zip(*grams, strict=True))
                         at = np.argsort(code)
                         known, logp, grams = code[at], value[at], []
                         (rate, seen), rates = np.concatenate(rates, axis=1), []
-                    for body, head in zip(part.column(3).to_pylist(), part.column(5).to_pylist(), strict=True):
-                        titles = pa.ipc.open_stream(head).read_next_batch()
-                        sums = scored(spread(body, titles.column(2).to_pylist()), known, logp, place, rate, seen)
+                    for body in part.column(2).to_pylist():
+                        ends = 8 + int.from_bytes(body[:8], "little")
+                        titles = pa.ipc.open_stream(body[8:ends]).read_next_batch()
+                        sums = scored(spread(body[ends:], titles.column(2).to_pylist()), known, logp, place, rate, seen)
                         yield pa.RecordBatch.from_arrays([titles.column(0), titles.column(1).cast(schema.field("key").type), *map(pa.array, sums)], schema=schema)
 
     def scored(texts: list[bytes], known: np.ndarray, logp: np.ndarray, place: dict[bytes, int], rate: np.ndarray, seen: np.ndarray) -> list[np.ndarray]:
@@ -290,7 +292,7 @@ def _add_scores(rows: DataFrame, kind: str, order: int) -> DataFrame:
         add = lambda weights: np.bincount(owner, weights=weights[ids], minlength=len(texts))
         return [each, add(seen).astype(np.int64), add(rate), total]
 
-    return rows.repartition("block").sortWithinPartitions("block", "stage").mapInArrow(run, ddl)
+    return rows.repartition(F.shiftright("spot", 2)).sortWithinPartitions("spot").mapInArrow(run, ddl)
 
 
 def score(docs: DataFrame, learned: F.Column, key: str = "doc_id", text: str = "text", order: int = ORDER) -> DataFrame:
@@ -309,12 +311,13 @@ def score(docs: DataFrame, learned: F.Column, key: str = "doc_id", text: str = "
     counts = words.groupBy("word").agg(F.sum("learned").alias("c"))
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v"))
     n, v = sums.first() or (0, 0)
-    rate = F.log10((F.col("c") + 1) / F.lit(float(n + v + 1)))
     none = lambda kind: F.lit(None).cast(kind)
-    found_grams = grams.join(logs, "gram").select("block", F.lit(0).alias("stage"), F.col("gram").alias("number"), none("binary").alias("body"), F.col("logp").alias("value"), none("binary").alias("head"))
-    found_words = words.join(counts, "word").select("block", F.lit(1).alias("stage"), F.col("c").alias("number"), F.col("word").alias("body"), rate.alias("value"), none("binary").alias("head"))
-    texts = held.where("body is not null").select("block", F.lit(2).alias("stage"), none("long").alias("number"), "body", none("double").alias("value"), "head")
-    found = _add_scores(found_grams.union(found_words).union(texts), kind, order)
+    spot = lambda stage: (F.col("block") * 4 + stage).alias("spot")
+    # A float holds a logarithm to seven digits and halves what is shuffled for it.
+    found_grams = grams.join(logs, "gram").select(spot(0), F.col("gram").alias("number"), none("binary").alias("body"), F.col("logp").cast("float").alias("value"))
+    found_words = words.join(counts, "word").select(spot(1), F.col("c").alias("number"), F.col("word").alias("body"), none("float").alias("value"))
+    texts = held.where("body is not null").select(spot(2), none("long").alias("number"), "body", none("float").alias("value"))
+    found = _add_scores(found_grams.union(found_words).union(texts), kind, order, float(n + v + 1))
     return found.select("row", "key", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", "score")
 
 
