@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarn.functions.text import api_routes, preview, slashed
-from tarn.operators import lookup, storage, vector, xref
+from tarn.functions.text import preview, slashed
+from tarn.operators import lookup, storage, symbol_index, vector, xref
 from tarn.operators.memory import MODE_LABELS
+from tarn.operators.symbol_index import SymbolIndex
 
 FILE_TOP_K, FILE_TOP_K_MOST = 6, 20
 # Folders that a cloud service keeps in step.
 CLOUD_FOLDERS = ["onedrive", "icloud drive", "iclouddrive", "dropbox", "google drive"]
+#: Chunks of a retrieval that an expansion starts from, at most.
+RESULT_MOST = 200
 MAX_CANDIDATES, MIN_CANDIDATE_BYTES = 400, 5 << 20
 
 
@@ -31,45 +34,40 @@ def file_search(chunks: DataFrame, query: DataFrame, limit: int | None = None, r
     return best.select(F.lit("file").alias("source_type"), "rank", "chunk_id", "root_id", "file_path", "extension", "similarity", preview(F.col("content")).alias("preview"))
 
 
-def expand_results(selected: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+def expand_results(selected: DataFrame, chunks: DataFrame, k: int, index: SymbolIndex | None = None) -> DataFrame:
     """XREF-12: the result of a retrieval widened by what its chunks refer to, k chunks in all; adds rank and origin.
 
-    Seeds are the implementation chunks of the result; two hops find what shares their symbols
-    and routes; all are scored in one pool and chosen with at most two a file.  If fewer stay
-    than the result had, its best left-out chunks follow.
+    Seeds are the implementation chunks of the result; two hops through the symbol index find
+    what shares their symbols and routes; all are scored in one pool and chosen with at most
+    two a file.  If fewer stay than the result had, its best left-out chunks follow.  Without
+    an index one is built.  Contents are read for the k chunks that stay.
     """
-    order = [F.desc("similarity"), "chunk_id"]
-    placed = selected.withColumn("place", F.row_number().over(Window.orderBy(*order))).persist()  # k rows that all steps start from
-    code = placed.where(xref.implementation(F.col("file_path")))
-    # Without implementation chunks all of the result are seeds.
-    seeds = code.unionByName(placed.join(code.limit(1).select(F.lit(True).alias("some")), how="left").where("some is null").drop("some")).persist()
-    names = xref.interleave(seeds, "place", xref.symbols(F.col("content")))
-    defined = xref.occurrences(placed).where("raw_category = 'definition'").join(F.broadcast(names.select("symbol")), "symbol", "left_semi").select("symbol").distinct()
-    routes = xref.interleave(placed, "place", api_routes(F.col("content")), xref.MAX_ROUTES_CHUNK).select("symbol")
-    files = placed.select(slashed(F.col("file_path")).alias("file")).distinct()
-
-    found = xref.expand(chunks, seeds, "place").join(placed.select("chunk_id"), "chunk_id", "left_anti").join(chunks, "chunk_id")
-    flag = lambda df, name, as_: F.broadcast(df.select(F.col(df.columns[0]).alias(as_), F.lit(True).alias(name)))
-    scored = (
-        found.withColumn("file", slashed(F.col("file_path")))
-        .join(flag(defined, "defined_in_selected", "symbol"), "symbol", "left")
-        .join(flag(routes, "route_selected", "symbol"), "symbol", "left")
-        .join(flag(files, "file_selected", "file"), "file", "left")
-        .na.fill(False, ["defined_in_selected", "route_selected", "file_selected"])
-        .withColumn("impl", xref.implementation(F.col("file_path")))
-        .withColumn("options_call", xref.options_call(F.col("content")))
-    )
-    columns = ["chunk_id", "file_path", "start_line", "end_line", "content", "similarity"]
-    impl, types = xref.implementation(F.col("file_path")), xref.type_only(F.col("file_path"), F.col("content"))
-    score = lambda semantic, own: xref.selection_score(F.lit(semantic), impl, types, own, F.col("similarity")).alias("score")
-    pool = placed.select(*columns, score(True, F.lit(0.0)), (impl & ~types).alias("protected"), F.lit("semantic").alias("origin")).unionByName(
-        scored.select(*columns, score(False, xref.match_score()), F.lit(False).alias("protected"), F.lit("xref").alias("origin"))
-    )
-    merged = xref.select(pool, k)
-    counts = F.broadcast(merged.agg(F.count("*").alias("n")).crossJoin(placed.agg(F.least(F.count("*"), F.lit(k)).alias("least"))))
-    more = placed.join(merged.select("chunk_id"), "chunk_id", "left_anti").crossJoin(counts).where("n < least")
-    filled = merged.select(*columns, "origin", "rank").unionByName(more.select(*columns, F.lit("semantic").alias("origin"), (F.col("n") + F.row_number().over(Window.orderBy("place"))).cast("int").alias("rank")))
-    return filled.where(F.col("rank") <= k)
+    index = index or symbol_index.build(chunks)
+    placed = [r["chunk_id"] for r in selected.orderBy(F.desc("similarity"), "chunk_id").select("chunk_id").limit(RESULT_MOST + 1).collect()]
+    if len(placed) > RESULT_MOST:
+        raise ValueError(f"a result has {RESULT_MOST} chunks at most")
+    own = {r["chunk_id"]: r for r in index.chunks.where(F.col("chunk_id").isin(placed)).select("chunk_id", "file", "impl", "types", "declared", "out_routes").collect()}
+    seeds = [i for i in placed if own[i]["impl"]] or placed  # without implementation chunks all of the result are seeds
+    names, _ = symbol_index.referred(index, seeds)
+    routes = symbol_index.rounds([list(own[i]["out_routes"]) for i in placed])
+    defined = sorted({*names.symbols} & {d for i in placed for d in own[i]["declared"]})
+    files = sorted({own[i]["file"] for i in placed})
+
+    scores = symbol_index.expand(index, seeds).where(~F.col("chunk_id").isin(placed)).join(index.chunks.select("chunk_id", "file", "impl", "types", "options_call"), "chunk_id")
+    flagged = scores.withColumn("defined_in_selected", F.col("symbol").isin(defined)).withColumn("route_selected", F.col("symbol").isin(routes)).withColumn("file_selected", F.col("file").isin(files))
+    around = chunks.select("chunk_id", "file_path", "start_line", "end_line", "similarity")
+    columns = [*around.columns, "score", "protected", "origin"]
+    score = lambda semantic, own_score: xref.selection_score(F.lit(semantic), F.col("impl"), F.col("types"), own_score, F.col("similarity"))
+    semantic = around.where(F.col("chunk_id").isin(placed)).join(index.chunks.select("chunk_id", "impl", "types"), "chunk_id")
+    semantic = semantic.withColumn("score", score(True, F.lit(0.0))).withColumn("protected", F.col("impl") & ~F.col("types")).withColumn("origin", F.lit("semantic"))
+    reached = flagged.join(around, "chunk_id").withColumn("score", score(False, xref.match_score())).withColumn("protected", F.lit(False)).withColumn("origin", F.lit("xref"))
+    merged = [(r["chunk_id"], r["origin"], r["rank"]) for r in xref.select(semantic.select(*columns).unionByName(reached.select(*columns)), k).orderBy("rank").collect()]
+    held = {i for i, _, _ in merged}
+    for i in placed:
+        if len(merged) < min(len(placed), k) and i not in held:
+            merged.append((i, "semantic", len(merged) + 1))
+    ranks = F.broadcast(chunks.sparkSession.createDataFrame(merged, f"chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}, origin string, rank int"))  # k rows
+    return chunks.where(F.col("chunk_id").isin([i for i, _, _ in merged])).join(ranks, "chunk_id").select("chunk_id", "file_path", "start_line", "end_line", "content", "similarity", "origin", "rank")
 
 
 def in_cloud(path: Column) -> Column:

@@ -54,8 +54,8 @@ FORMS = {
 
 
 def useful(name: Column) -> Column:
-    stop = F.array(*[F.lit(w) for w in sorted({*KEYWORDS, *COMMON})])
-    return (F.length(name) >= 3) & ~F.array_contains(stop, name) & ~F.array_contains(stop, F.lower(name))
+    stop = sorted({*KEYWORDS, *COMMON})  # a set that is looked up by hash
+    return (F.length(name) >= 3) & ~name.isin(stop) & ~F.lower(name).isin(stop)
 
 
 def named(c: Column, role: str) -> Column:
@@ -117,8 +117,8 @@ def interleave(chunks: DataFrame, order: str, values: Column, per_chunk: int = M
 
 
 def symbol_matches(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
-    """XREF-6, JOIN-16: the best evidence of a wanted symbol (symbol, position) in each chunk; of equal ranks the first symbol."""
-    joined = occurrences(chunks).join(F.broadcast(wanted.limit(MAX_SYMBOLS)), "symbol")
+    """XREF-6, JOIN-16: the best evidence of a wanted symbol (symbol, position) in each chunk; of equal ranks the first symbol; the first MAX_SYMBOLS by position are asked for."""
+    joined = occurrences(chunks).join(F.broadcast(wanted.orderBy("position").limit(MAX_SYMBOLS)), "symbol")
     ranked = joined.withColumn("r", F.struct(category_rank(F.col("raw_category"), F.col("symbol")), "position"))
     return ranked.groupBy("chunk_id").agg(F.min_by(F.struct("symbol", "raw_category"), "r").alias("m")).select("chunk_id", "m.*")
 
@@ -126,40 +126,10 @@ def symbol_matches(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
 def route_matches(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
     """XREF-7, JOIN-17: the first wanted route in each chunk, as a whole route."""
     found = chunks.select("chunk_id", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"(/api/[A-Za-z0-9][A-Za-z0-9_/-]*)"), F.lit(1)))).alias("symbol"))
-    joined = found.join(F.broadcast(wanted.limit(MAX_SYMBOLS)), "symbol")
+    joined = found.join(F.broadcast(wanted.orderBy("position").limit(MAX_SYMBOLS)), "symbol")
     return joined.groupBy("chunk_id").agg(F.min_by("symbol", "position").alias("symbol")).withColumn("raw_category", F.lit("route"))
 
 
-def hop(chunks: DataFrame, seeds: DataFrame, order: str, visited: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """One hop: (matches, symbols and routes of the seeds). Visited symbols are left out."""
-    names = interleave(seeds, order, symbols(F.col("content")))
-    routes = interleave(seeds, order, api_routes(F.col("content")), MAX_ROUTES_CHUNK)
-    if visited is not None:
-        names, routes = names.join(visited, "symbol", "left_anti"), routes.join(visited, "symbol", "left_anti")
-    both = symbol_matches(chunks, names).unionByName(route_matches(chunks, routes))
-    best = both.withColumn("__r", category_rank(F.col("raw_category"), F.col("symbol")))
-    matches = best.groupBy("chunk_id").agg(F.min_by(F.struct("symbol", "raw_category"), F.struct("__r", "symbol")).alias("m")).select("chunk_id", "m.*")
-    return matches, names.select("symbol").unionByName(routes.select("symbol"))
-
-
-def across(matches: DataFrame, chunks: DataFrame, seeds: DataFrame) -> DataFrame:
-    """The matches with ``cross_file``: whether no seed of their hop is of their file. Seeds are few."""
-    files = F.broadcast(seeds.select(slashed(F.col("file_path")).alias("__file")).distinct().withColumn("__own", F.lit(True)))
-    placed = matches.join(chunks.select("chunk_id", slashed(F.col("file_path")).alias("__file")), "chunk_id")
-    return placed.join(files, "__file", "left").withColumn("cross_file", F.col("__own").isNull()).drop("__file", "__own")
-
-
-def expand(chunks: DataFrame, seeds: DataFrame, order: str) -> DataFrame:
-    """XREF-8: (chunk_id, symbol, raw_category, cross_file, hop) of two hops; the earlier hop wins. Seeds themselves are not matches."""
-    first, visited = hop(chunks, seeds, order)
-    first = across(first.join(seeds.select("chunk_id"), "chunk_id", "left_anti"), chunks, seeds).withColumn("hop", F.lit(0)).persist()  # asked for four times below
-    strong = first.join(chunks, "chunk_id").where(implementation(F.col("file_path")) & F.col("raw_category").isin("definition", "call", "route"))
-    next_seeds = strong.orderBy(category_rank(F.col("raw_category"), F.col("symbol")), "chunk_id").limit(MAX_SEEDS).persist()
-    second, _ = hop(chunks, next_seeds.withColumn("__h", F.row_number().over(Window.orderBy("chunk_id"))), "__h", visited)
-    fresh = second.join(seeds.select("chunk_id"), "chunk_id", "left_anti").join(first.select("chunk_id"), "chunk_id", "left_anti")
-    return first.unionByName(across(fresh, chunks, next_seeds).withColumn("hop", F.lit(1)))
-
-
 def match_score() -> Column:
     """XREF-9, over raw_category, symbol, hop, cross_file, impl, defined_in_selected, route_selected, file_selected, options_call."""
     raw, second = F.col("raw_category"), F.col("hop") > 0

@@ -11,7 +11,7 @@ from tarn.plans.memory import TURNS
 from tarn.plans.registry import query
 from tarn.plans.retrieval import COS, PLAIN
 from tarn.plans.storage import PROTECTED, SAFE
-from tarn.sources.tables import ENTRIES_SQL, EPOCH_MS, INVENTORY_SQL, PATHS_SQL, code_chunks, entries, inventory, messages, paths, table
+from tarn.sources.tables import ENTRIES_SQL, EPOCH_MS, INVENTORY_SQL, PATHS_SQL, entries, inventory, messages, paths, table
 
 
 def _pick(n: F.Column, *values) -> F.Column:
@@ -33,14 +33,6 @@ def fil_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("similarity", F.round("similarity", 6)).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query()
-def xref_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """XREF-12: the eight best chunks widened; a test holds it against plain Python."""
-    chunks = code_chunks(spark, sf_dir)
-    best = chunks.orderBy(F.desc("similarity"), "chunk_id").limit(8)
-    return c.expand_results(best, chunks, 8).select("chunk_id", "origin", F.col("rank").cast("long").alias("rank"))
-
-
 @query(SAFE + """, g as (select *, row_number() over (partition by plan_id order by entry_id || ':' || part || ':' || grant_id) as rn, count(*) over (partition by plan_id) > 3 as truncated from k where grant_id % 2 = 0 and size_bytes >= 5242880),
     h as (select *, safety <> 'excluded' and count(*) filter (safety <> 'excluded') over (partition by plan_id, lower(destination_path)) > 1 as clash from g where rn <= 3)
     select plan_id, count(*) as candidate_count, count(*) filter (safety <> 'excluded') as selectable_count, coalesce(sum(size_bytes) filter (safety <> 'excluded'), 0)::double as selectable_bytes,

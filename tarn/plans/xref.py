@@ -52,13 +52,6 @@ def xref_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.where(F.size("r") > 0).select("chunk_id", F.array_join("r", ",").alias("routes"))
 
 
-@query()
-def xref_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """XREF-8: two hops from the first three chunks; tests hold it against a plain search."""
-    c = code_chunks(spark, sf_dir)
-    return xref.expand(c, c.where("chunk_id < 3").withColumn("o", F.col("chunk_id")), "o")
-
-
 def _flags(c: DataFrame) -> DataFrame:
     k = F.col("chunk_id")
     return c.select(

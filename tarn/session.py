@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
@@ -24,3 +25,20 @@ def ship(spark: SparkSession) -> None:
                     z.write(path, os.path.join("tarn", os.path.relpath(path, here)))
     sc.addPyFile(target)
     sc._tarn_shipped = True
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's name in the checkpoint folder; only a local session that names none gets one of its own."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    scratch(df.sparkSession, "")
+    return df.checkpoint(eager=True)

@@ -138,3 +138,39 @@ ENTRIES_SQL = """
                  case when l_linestatus = 'F' then 'verified' else 'copying' end as state, l_linenumber as line, l_partkey as part,
                  l_shipdate::timestamp as shipped from lineitem)"""
 
+
+
+#: Source texts of eight kinds; @k, @h, @q and @b are a part's number, its half, its fifth and its brand.
+CODE_FORMS = [
+    ("js", "export async function load_@k(options) {\n  // was fetchOld@k\n  return get_@h({ id: '@b' });\n}"),
+    ("ts", "import { load_@h, save as saveItem@q } from './p@h';\nconst total@qSum = load_@h({ limit: 3 });\nexport { total@qSum as partTotal };"),
+    ("py", "from shop.parts import get_@h, PartKind\n\nclass Part@kView(PartKind):\n    def draw_@k(self):\n        return get_@h('/api/parts/@q')"),
+    ("ts", "export interface Row@k { a: load_@h; b: string }\nexport type Kind@q = Row@k"),
+    ("md", "Use load_@h and Part@qView, see `POST /api/parts/@q/`"),
+    ("js", "/* old: gone_@k() */\nconst get_@k = async (x) => {\n  const url = `/api/parts/@k`;\n  return await load_@q(x, { @b: \"it's fine\" });\n};"),
+    ("py", "import helperTools\n# get_@h in a comment\ndef get_@k(part_no):\n    return load_@h(part_no) + draw_@q(1)"),
+    ("js", "class Store@k extends Base_@q {\n  run() { return fetch('/api/parts/@h'); }\n}\nmodule.exports = { Store@k };"),
+]
+
+
+def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code chunks made from ``part``, one a part, three parts a file: declarations, imports, calls, routes, comments and types that refer to other parts."""
+    k = F.col("p_partkey")
+    put = lambda c, token, value: F.replace(c, F.lit(token), value.cast("string"))
+    filled = lambda form: put(put(put(put(F.lit(form), "@k", k), "@h", F.expr("p_partkey div 2")), "@q", F.expr("p_partkey div 5")), "@b", F.lower(F.translate("p_brand", "#", "_")))
+    kind = lambda values: F.element_at(F.array(*values), (k % len(CODE_FORMS) + 1).cast("int"))
+    path = F.concat(F.lit("src/M"), F.expr("p_partkey div 3"), F.lit("."), kind([F.lit(e) for e, _ in CODE_FORMS]))
+    return table(spark, sf_dir, "part").select(
+        k.alias("chunk_id"), path.alias("file_path"), (k * 10 + 1).cast("int").alias("start_line"), (k * 10 + 9).cast("int").alias("end_line"), kind([filled(f) for _, f in CODE_FORMS]).alias("content"), ((k * 7919) % 10007 / F.lit(10007.0)).alias("similarity")
+    )
+
+
+def _sql_text(text: str) -> str:
+    return " || chr(10) || ".join("'" + line.replace("'", "''") + "'" for line in text.split("\n"))
+
+
+CODE_CORPUS_SQL = f"""
+    t as (select p_partkey as k, list_value({", ".join(f"'{e}'" for e, _ in CODE_FORMS)})[p_partkey % {len(CODE_FORMS)} + 1] as e,
+        replace(replace(replace(replace(list_value({", ".join(_sql_text(f) for _, f in CODE_FORMS)})[p_partkey % {len(CODE_FORMS)} + 1], '@k', p_partkey::varchar), '@h', (p_partkey // 2)::varchar), '@q', (p_partkey // 5)::varchar), '@b', lower(replace(p_brand, '#', '_'))) as content,
+        (p_partkey * 7919) % 10007 / 10007.0::double as similarity from part),
+    c as (select k as chunk_id, 'src/M' || (k // 3) || '.' || e as file_path, k * 10 + 1 as start_line, k * 10 + 9 as end_line, content, similarity from t)"""

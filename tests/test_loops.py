@@ -167,11 +167,11 @@ def test_interval_overlap_counts_each_pair_once(spark):
 
 
 def test_hops_are_a_breadth_first_search(spark, sf):
-    from tarn.operators import xref
+    from tarn.operators import symbol_index, xref
     from tarn.sources.tables import code_chunks
 
     c = code_chunks(spark, sf)
-    got = {x["chunk_id"]: x["hop"] for x in xref.expand(c, c.where("chunk_id < 3").withColumn("o", F.col("chunk_id")), "o").collect()}
+    got = {x["chunk_id"]: x["hop"] for x in symbol_index.expand(symbol_index.build(c), [0, 1, 2]).collect()}
     rows = {x["chunk_id"]: x for x in c.select("chunk_id", "file_path", xref.symbols(F.col("content")).alias("s")).collect()}
     words = {x["chunk_id"]: set(x["i"]) for x in c.select("chunk_id", F.regexp_extract_all("content", F.lit(r"[A-Za-z_$][A-Za-z0-9_$]*|/api/region/\d+"), F.lit(0)).alias("i")).collect()}
     wanted = {s for k in range(3) for s in rows[k]["s"]} | {"/api/region/0"}
@@ -280,3 +280,24 @@ def test_expanded_results(spark):
     for best, k in (([0, 1, 2, 900, 901], 8), ([901], 4), ([2, 5, 8, 11], 4), ([3], 1)):
         got = compose.expand_results(c.where(F.col("chunk_id").isin(best)), c, k).orderBy("rank").collect()
         assert [(x["chunk_id"], x["origin"]) for x in got] == plain_expansion(rows, found, best, k), best
+
+
+def test_index_of_many_names_is_whole(spark, tmp_path):
+    """More names than a hop asks for: the first ones by round; a symbol of a third of all chunks; an index opened again."""
+    from tarn.operators import symbol_index, xref
+
+    rows = [(k, f"src/f{k % 7}.js", 1, 9, f"function make_{k}() {{ return shared_name({', '.join(f'part_{(k + j) % 60}' for j in range(30))}); }}" if k % 3 else "function shared_name() {}", 0.1) for k in range(300)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, file_path string, start_line int, end_line int, content string, similarity double").repartition(3)
+    symbol_index.build(chunks, str(tmp_path / "i"))
+    index = symbol_index.opened(spark, str(tmp_path / "i"))
+    asked, files = symbol_index.referred(index, [1, 2, 4, 5, 7])
+    lists = {r["chunk_id"]: r["s"] for r in chunks.select("chunk_id", xref.symbols("content").alias("s")).collect()}
+    want = []
+    for j in range(16):
+        for k in (1, 2, 4, 5, 7):
+            if j < len(lists[k]) and lists[k][j] not in want:
+                want.append(lists[k][j])
+    assert asked.symbols == want[:40] and len(asked.symbols) == 40 and len(files) == 5
+    got = {r["chunk_id"]: (r["symbol"], r["raw_category"]) for r in symbol_index.matches(index, symbol_index.Wanted(["shared_name", "make_4"], [])).collect()}
+    assert len(got) == 300 and got[0] == ("shared_name", "definition") and got[4] == ("make_4", "definition") and got[5] == ("shared_name", "call")
+    assert symbol_index.matches(index, symbol_index.Wanted([], [])).collect() == [] and symbol_index.expand(index, [9999]).collect() == []

@@ -27,8 +27,10 @@ def test_no_python_in_relational_queries(spark, sf, name):
     assert not any(word in found for word in ("MapInPandas", "ArrowEvalPython", "BatchEvalPython", "FlatMapGroupsInPandas"))
 
 
-def test_symbols_meet_chunks_by_key(spark, sf):
-    assert "BroadcastHashJoin" in plan(QUERIES["xref_hops"](spark, sf)) and "CartesianProduct" not in plan(QUERIES["xref_hops"](spark, sf))
+def test_symbols_are_looked_up(spark, sf):
+    """A hop reads the postings of its names: the names reach the scan, texts are not read again, nothing is crossed."""
+    found = plan(QUERIES["xref_hops"](spark, sf))
+    assert "In(symbol, [" in found and "NestedLoop" not in found and "CartesianProduct" not in found and "regexp" not in found and found.count("Scan parquet") <= 2
 
 
 def test_spans_meet_pages_by_key(spark, sf):
