@@ -307,15 +307,16 @@ def score(docs: DataFrame, learned: F.Column, key: str = "doc_id", text: str = "
     held = cut_table(blocks(source, order))
     grams = held.where("gram is not null").select("block", "gram", "learned")
     logs = gram_logs(grams.groupBy("gram").agg(F.sum("learned").alias("c")), order)
-    words = held.where("word is not null").select("block", "word", "learned")
-    counts = words.groupBy("word").agg(F.sum("learned").alias("c"))
-    sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v"))
-    n, v = sums.first() or (0, 0)
+    # A word has a row a block at most, so its rows meet in a window and are shuffled once.
+    same = Window.partitionBy("word")
+    words = held.where("word is not null").select("block", "word", F.sum("learned").over(same).alias("c"), (F.col("block") == F.min("block").over(same)).alias("once"))
+    words = cut_table(words)
+    n, v = words.where("once").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first() or (0, 0)
     none = lambda kind: F.lit(None).cast(kind)
     spot = lambda stage: (F.col("block") * 4 + stage).alias("spot")
     # A float holds a logarithm to seven digits and halves what is shuffled for it.
     found_grams = grams.join(logs, "gram").select(spot(0), F.col("gram").alias("number"), none("binary").alias("body"), F.col("logp").cast("float").alias("value"))
-    found_words = words.join(counts, "word").select(spot(1), F.col("c").alias("number"), F.col("word").alias("body"), none("float").alias("value"))
+    found_words = words.select(spot(1), F.col("c").alias("number"), F.col("word").alias("body"), none("float").alias("value"))
     texts = held.where("body is not null").select(spot(2), none("long").alias("number"), "body", none("float").alias("value"))
     found = _add_scores(found_grams.union(found_words).union(texts), kind, order, float(n + v + 1))
     return found.select("row", "key", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", "score")
