@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.functions import numbers as num
 from tarn.operators import embedding, lookup, xref
 from tarn.plans.registry import query
-from tarn.sources import files
+from tarn.operators.storage import IGNORED_DIRS, sensitive_name
+from tarn.sources import files, walk
 from tarn.sources.tables import CODE_SQL, EPOCH_MS, INVENTORY_SQL, code_chunks, inventory, table
+from tarn.sources.versions import Conflict, VersionedTable
 from tarn.streaming import streams
 
 
@@ -80,20 +86,63 @@ def src_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_lines(spark, folder, "event_id long, event_type string")
 
 
-@query("select c_custkey, c_nationkey, 2 as generation from customer where c_custkey % 2 = 0")
+@query("select c_custkey, c_nationkey, 3 as generation from customer where c_custkey % 4 = 0")
 def src_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-12 to SRC-15, MEM-5, VEC-9, VEC-12: the second version is the live one; a writer that is behind and a reader of another model are refused."""
-    t = files.VersionedTable(spark, _folder(spark))
+    """SRC-12 to SRC-15, MEM-5, VEC-9, VEC-12: of four writers that race for the second version one wins; a late writer and a reader of another model are refused; an update starts from the live version."""
+    t = VersionedTable(spark, _folder(spark))
     rows = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     first = t.publish(rows, "m")
-    second = t.publish(rows.where("c_custkey % 2 = 0"), "m", expected=first)
+
+    def race(_: int) -> bool:
+        try:
+            return t.publish(rows.where("c_custkey % 2 = 0"), "m", expected=first) > 0
+        except Conflict:
+            return False
+
+    with ThreadPoolExecutor(4) as pool:
+        won = sum(pool.map(race, range(4)))
     refused = 0
     for late in (lambda: t.publish(rows, "m", expected=first), lambda: t.read("other")):
         try:
             late()
-        except (RuntimeError, ValueError):
+        except (Conflict, ValueError):
             refused += 1
-    return t.read("m").withColumn("generation", F.lit(second if refused == 2 else -1))
+    last = t.update(lambda held: held.where("c_custkey % 4 = 0"), "m")
+    return t.read("m").withColumn("generation", F.lit(last if (refused, won) == (2, 1) else -1))
+
+
+def _spill(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with a file for each document: in folders of a hundred, some hidden, some empty, some in folders that are not entered."""
+    folder = walk.local_path(_folder(spark))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for i, text in zip(ids, texts, strict=True):
+                parts = [folder, f"d{i // 100}", *(["Node_Modules"] if i % 11 == 0 else []), f"{'.' if i % 5 == 0 else '_' if i % 5 == 1 else ''}f{i}.{'TXT' if i % 2 else 'pem' if i % 7 == 0 else 'md'}"]
+                os.makedirs(os.path.dirname(os.path.join(*parts)), exist_ok=True)
+                with open(os.path.join(*parts), "wb") as f:
+                    f.write(b"" if i % 13 == 0 else text.encode())
+            yield batch.select([0])
+
+    table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(write, "doc_id long").write.format("noop").mode("overwrite").save()
+    return folder
+
+
+SPILLED = """w as (select doc_id, case when doc_id % 13 = 0 then '' else coalesce(text, '') end as body, doc_id % 11 = 0 as inside, case when doc_id % 5 = 0 then '.' when doc_id % 5 = 1 then '_' else '' end || 'f' || doc_id || '.' || case when doc_id % 2 = 1 then 'TXT' when doc_id % 7 = 0 then 'pem' else 'md' end as name from documents)"""
+
+
+@query(f"with {SPILLED}, k as (select *, not inside and name like '%.pem' as held from w) select count_if(not inside and not held) as files, coalesce(sum(strlen(body)) filter (not inside and not held), 0)::bigint as bytes, count_if(held) + count(distinct case when inside then doc_id // 100 end) as skipped_count, 0::bigint as error_count, false as truncated from k")
+def src_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-2, SRC-8, AGG-5: an inventory of files that Spark's readers would pass over, with its counters."""
+    return walk.summary(walk.inventory(spark, _spill(spark, sf_dir), IGNORED_DIRS, sensitive_name))
+
+
+@query(f"with {SPILLED} select 'd' || (doc_id // 100) || case when inside then '/Node_Modules' else '' end || '/' || name as relative_path, strlen(body)::bigint as size, sha256(body) as sha256 from w")
+def src_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """HASH-4: streamed digests of all files of a folder."""
+    folder = _spill(spark, sf_dir)
+    return files.file_digests(spark, folder).select(F.substring("path", F.length(F.lit(os.path.realpath(folder))) + 2, F.length("path")).alias("relative_path"), "size", "sha256")
 
 
 @query("select conv_id, turn, case when conv_id % 3 = 0 then turn::int else -conv_id::int end as started_at, case when conv_id % 3 = 0 then turn::int + 1 else -conv_id::int + 1 end as ended_at from conversations")

@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import io
-import json
-import re
-import uuid
+import os
 import zipfile
 from collections.abc import Callable, Iterator
 
@@ -13,8 +11,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.functions.text import base_name, extension, normalize
+from tarn.functions.text import extension, normalize
 from tarn.operators.storage import IGNORED_DIRS, ignored, sensitive_name
+from tarn.sources import walk
+from tarn.sources.versions import VersionedTable
 
 # What a project scan takes and leaves.
 PROJECT_EXTENSIONS = ["js", "jsx", "ts", "tsx", "py", "json", "md", "html", "css"]
@@ -25,26 +25,19 @@ MAX_READ_BYTES = 250_000
 
 
 def scan_files(spark: SparkSession, folder: str) -> DataFrame:
-    """SRC-2, SRC-8: (path, relative_path, name, extension, size, modified_at) of all files below a folder; contents are not read.
-
-    Spark's readers pass over names that begin with a dot or an underscore.
-    """
-    root = folder.rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified_at"))
-    plain = F.regexp_replace("path", "^[a-z]+:/+", "/")
-    relative = F.substring(plain, F.length(F.lit("/" + re.sub("^[a-z]+:/+|^/+", "", root))) + 2, 1 << 30)
-    out = files.withColumn("relative_path", relative).withColumn("name", base_name(F.col("path")))
-    return out.withColumn("extension", extension(F.col("name")))
+    """SRC-2, SRC-8: (path, relative_path, name, extension, size, modified_at) of all files below a folder, hidden and empty ones too; contents are not read."""
+    found = walk.walk(spark, folder, depth=1 << 20).where("skipped is null")
+    return found.select("path", "relative_path", "name", extension(F.col("name")).alias("extension"), "size", "modified_at")
 
 
 def project_files(spark: SparkSession, folder: str) -> DataFrame:
-    """SRC-1, FLT-1: (path, relative_path, text) of a project's sources; filters come before contents are read."""
+    """SRC-1, FLT-1: (path, relative_path, text) of a project's sources. Folders left out are not entered, and only files that pass are opened; one that cannot be read is left out."""
     name = F.lower("name")
-    kept = scan_files(spark, folder).where(
-        F.col("extension").isin(PROJECT_EXTENSIONS) & (F.col("size") <= MAX_PROJECT_BYTES) & ~ignored(F.col("relative_path"), PROJECT_IGNORED) & ~name.isin(BLOCKED_NAMES) & ~name.rlike(r"^\.env($|\.)")
-    )
-    content = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(PROJECT_EXTENSIONS) + "}").load(folder).select("path", "content")
-    return kept.join(content, "path").select("path", "relative_path", F.decode("content", "UTF-8").alias("text"))
+    found = walk.walk(spark, folder, PROJECT_IGNORED, 1 << 20).where("skipped is null").withColumn("extension", extension(F.col("name")))
+    kept = found.where(F.col("extension").isin(PROJECT_EXTENSIONS) & (F.col("size") <= MAX_PROJECT_BYTES) & ~name.isin(BLOCKED_NAMES) & ~name.rlike(r"^\.env($|\.)"))
+    texts = walk.contents(kept).where("error is null").select("path", F.decode("content", "UTF-8").alias("text"))
+    root = F.length(F.lit(os.path.realpath(walk.local_path(folder)).rstrip("/") + "/"))
+    return texts.select("path", F.substring("path", root + 1, F.length("path")).alias("relative_path"), "text")
 
 
 def skip_reason(path: Column, name: Column, size: Column, depth: int = 20) -> Column:
@@ -62,9 +55,8 @@ def read_text(files: DataFrame, most: int = MAX_READ_BYTES) -> DataFrame:
 
 
 def file_digests(spark: SparkSession, folder: str) -> DataFrame:
-    """HASH-4: (path, size, sha256) of all files below a folder that are not empty, one file a row; a reader's row ends at 2 GB."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    return files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    """HASH-4: (path, size, sha256, error) of all files below a folder, of any size, empty ones too."""
+    return walk.digests(walk.walk(spark, folder, depth=1 << 20).where("skipped is null"))
 
 
 def archive_conversations(current: DataFrame, ids: DataFrame, target: VersionedTable) -> int:
@@ -147,46 +139,6 @@ def read_lines(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     return spark.read.schema(f"{schema}, _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(folder).where("_bad is null").drop("_bad")
 
 
-class VersionedTable:
-    """SRC-12..15, MEM-5: a table whose versions are whole folders, and a small pointer that names the live one.
-
-    A version is written in full before the pointer is, so readers see the old one or the new
-    one.  ``publish`` refuses when another writer has published since ``expected`` was read.
-    """
-
-    def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder.rstrip("/")
-
-    def head(self) -> dict | None:
-        try:
-            rows = self.spark.read.text(f"{self.folder}/pointer").collect()
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return None
-            raise
-        return max((json.loads(r["value"]) for r in rows), key=lambda r: r["generation"], default=None)
-
-    def publish(self, rows: DataFrame, model: str, expected: int | None = None) -> int:
-        head = self.head()
-        generation = head["generation"] if head else 0
-        if expected is not None and expected != generation:
-            raise RuntimeError(f"the table is at generation {generation}, not {expected}")
-        version = uuid.uuid4().hex
-        rows.write.parquet(f"{self.folder}/versions/{version}")
-        pointer = json.dumps({"generation": generation + 1, "version": version, "model": model})
-        self.spark.createDataFrame([(pointer,)], "value string").coalesce(1).write.mode("append").text(f"{self.folder}/pointer")
-        return generation + 1
-
-    def read(self, model: str | None = None) -> DataFrame:
-        """The live version; VEC-12: an index made with another model is refused."""
-        head = self.head()
-        if head is None:
-            raise FileNotFoundError(f"{self.folder} holds no table")
-        if model is not None and head["model"] != model:
-            raise ValueError(f"the index was made with {head['model']}, not {model}")
-        return self.spark.read.parquet(f"{self.folder}/versions/{head['version']}")
-
-
 def journal(rows: DataFrame) -> DataFrame:
     """SRC-21: journals with their schema version (1 where none is named) and whether they hold a frozen manifest."""
     return rows.withColumn("schema_version", F.coalesce("schema_version", F.lit(1))).withColumn("has_snapshot", F.col("manifest_snapshot").isNotNull() & (F.col("schema_version") >= 2))

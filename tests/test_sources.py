@@ -8,17 +8,18 @@ from pyspark.sql import functions as F
 
 from tarn.operators import embedding
 from tarn.plans.tools import TOOLS
-from tarn.sources import files
+from tarn.sources import files, walk
+from tarn.sources.versions import Conflict, VersionedTable
 
 
 def test_scan_and_project(spark, tmp_path):
-    for name, content in {"a.js": b"let x\r\n", "sub/b.py": b"y", "sub/.env": b"k=1", "node_modules/c.js": b"z", "big.ts": b"x" * 500_001, "d.bin": b"\x00", "package-lock.json": b"{}"}.items():
+    for name, content in {"a.js": b"let x\r\n", "sub/b.py": b"y", "sub/.env": b"k=1", "node_modules/c.js": b"z", "big.ts": b"x" * 500_001, "d.bin": b"\x00", "package-lock.json": b"{}", "B.JS": b"up", ".hidden.py": b"h", "_under.ts": b"u", "sub/empty.css": b"", "NODE_modules/x.js": b"no"}.items():
         p = tmp_path / name
         p.parent.mkdir(exist_ok=True)
         p.write_bytes(content)
     found = {r["relative_path"]: (r["size"], r["extension"]) for r in files.scan_files(spark, str(tmp_path)).collect()}
-    assert found["sub/b.py"] == (1, "py") and len(found) == 6  # Spark's readers pass over names that begin with a dot
-    assert {r["relative_path"]: r["text"] for r in files.project_files(spark, str(tmp_path)).collect()} == {"a.js": "let x\r\n", "sub/b.py": "y"}
+    assert found["sub/b.py"] == (1, "py") and len(found) == 12
+    assert {r["relative_path"]: r["text"] for r in files.project_files(spark, str(tmp_path)).collect()} == {"a.js": "let x\r\n", "sub/b.py": "y", "B.JS": "up", ".hidden.py": "h", "_under.ts": "u", "sub/empty.css": ""}
 
 
 def test_read_text_refuses_binary_and_large(spark):
@@ -57,7 +58,7 @@ def test_lines_and_journal(spark, tmp_path):
 
 
 def test_versions(spark, tmp_path):
-    t = files.VersionedTable(spark, str(tmp_path / "index"))
+    t = VersionedTable(spark, str(tmp_path / "index"))
     with pytest.raises(FileNotFoundError):
         t.read()
     one = spark.range(3)
@@ -127,12 +128,112 @@ def test_file_digests(spark, tmp_path):
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_bytes(raw)
     got = {r["path"].rsplit("/", 1)[-1]: (r["size"], r["sha256"]) for r in files.file_digests(spark, str(tmp_path)).collect()}
-    # Spark's readers pass over empty files.
-    assert got == {n.rsplit("/", 1)[-1]: (len(raw), hashlib.sha256(raw).hexdigest()) for n, raw in content.items() if raw}
+    assert got == {n.rsplit("/", 1)[-1]: (len(raw), hashlib.sha256(raw).hexdigest()) for n, raw in content.items()}
+
+
+def test_digest_of_a_file_over_two_gigabytes(spark, tmp_path):
+    import hashlib
+
+    size = (2 << 30) + 12_345
+    with open(tmp_path / "sparse.bin", "wb") as f:  # holes take no disk
+        f.seek(size - 1)
+        f.write(b"x")
+    want = hashlib.sha256()
+    for _ in range((size - 1) // (1 << 20)):
+        want.update(bytes(1 << 20))
+    want.update(bytes((size - 1) % (1 << 20)) + b"x")
+    missing = spark.createDataFrame([(str(tmp_path / "sparse.bin"),), (str(tmp_path / "none"),)], "path string")
+    got = {r["path"].rsplit("/", 1)[-1]: (r["size"], r["sha256"], r["error"]) for r in walk.digests(missing).collect()}
+    assert got == {"sparse.bin": (size, want.hexdigest(), None), "none": (None, None, "FileNotFoundError")}
+
+
+def test_walk_equals_the_file_system(spark, tmp_path):
+    import os
+
+    for k in range(150):  # more folders than subtrees, at several depths
+        p = tmp_path / "root" / f"a{k % 5}" / f"b{k % 9}" / (".hid" if k % 4 == 0 else f"c{k % 7}") / f"{'._'[k % 2]}f{k}.Txt"
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_bytes(b"x" * (k % 3))
+    root = tmp_path / "root"
+    (root / "a0" / "Dist").mkdir()
+    (root / "a0" / "Dist" / "in.js").write_text("no")
+    (tmp_path / "outside.txt").write_text("o")
+    os.symlink(tmp_path / "outside.txt", root / "link.txt")
+    os.symlink(tmp_path, root / "a1" / "loop")
+    os.mkfifo(root / "pipe")
+    (root / "id_rsa").write_text("k")
+    os.symlink(root, tmp_path / "alias")
+    want = {}
+    for folder, names, found in os.walk(root):
+        for n in [*found, *names]:
+            p = os.path.join(folder, n)
+            kind = "link" if os.path.islink(p) else "ignored_directory" if n == "Dist" else "" if os.path.isdir(p) else None if os.path.isfile(p) else "not_a_file"
+            if kind != "" and "/Dist/" not in p:
+                want[os.path.relpath(p, root)] = (kind, os.lstat(p).st_size, os.lstat(p).st_mtime_ns // 1000)
+    for subtrees in ("1", "7", "64"):
+        spark.dataSource.register(walk.FolderWalk)
+        rows = spark.read.format("folder_walk").option("ignored", '["dist"]').option("subtrees", subtrees).load(str(tmp_path / "alias")).withColumn("us", F.unix_micros("modified_at")).collect()
+        assert {r["relative_path"]: (r["skipped"], r["size"], r["us"]) for r in rows} == want and len(rows) == len(want)
+    found = walk.inventory(spark, f"file://{root}", ["dist"], lambda n: n == "id_rsa", depth=2)
+    deep = {os.path.relpath(p, root) for p, _, _ in os.walk(root) if os.path.relpath(p, root).count("/") == 2 and "Dist" not in p}
+    s = walk.summary(found).first()
+    assert (s["files"], s["skipped_count"], s["error_count"], s["truncated"]) == (0, len(deep) + 5, 0, True)
+    lost = walk.summary(walk.walk(spark, str(tmp_path / "nowhere"))).first()
+    assert (lost["files"], lost["error_count"]) == (0, 1)
+
+
+def test_racing_writers(spark, tmp_path):
+    """Of writers that saw the same generation one wins, without an expectation all do, in turn; nothing is lost."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    t = VersionedTable(spark, str(tmp_path / "race"))
+
+    def one(k):
+        try:
+            return t.publish(spark.range(k, k + 1), "m", expected=0)
+        except Conflict:
+            return 0
+
+    with ThreadPoolExecutor(8) as pool:
+        assert sorted(pool.map(one, range(8))) == [0] * 7 + [1]
+        assert len(t._listed("versions")) == 1 and t._listed("drafts") == []  # losers leave nothing
+        assert sorted(pool.map(lambda k: t.publish(spark.range(k), "m"), range(6))) == [2, 3, 4, 5, 6, 7]
+
+
+def test_updates_queries_and_old_versions(spark, tmp_path):
+    t = VersionedTable(spark, str(tmp_path / "table"))
+    assert t.update(lambda held: spark.range(3) if held is None else held, "m") == 1
+    calls = []
+
+    def slow(held):
+        calls.append(held.count())
+        if len(calls) == 1:  # another writer is faster once
+            t.publish(spark.range(10), "m")
+        return held.where("id % 2 = 0")
+
+    assert t.update(slow, "m") == 3 and calls == [3, 10] and t.read().count() == 5
+    with pytest.raises(Conflict):
+        t.update(lambda held: t.publish(spark.range(1), "m") and held, "m", tries=1)
+    seen = []
+
+    def ask(rows):
+        seen.append(rows.count())
+        if len(seen) == 1:
+            t.publish(spark.range(7), "m")
+        return seen[-1]
+
+    assert t.query(ask) == 7 and len(seen) == 2
+    with pytest.raises(Conflict):
+        t.query(lambda rows: t.publish(spark.range(2), "m"))
+    spark.range(1).write.parquet(f"{t.folder}/versions/orphan")
+    before = t.head()
+    assert t.drop_versions(keep=1) == before["generation"] - 1 and t.read().count() == 2 and t.head() == before
+    assert {n for n, _ in t._listed("versions")} == {before["version"], "orphan"}
+    assert t.drop_versions(keep=1, orphans_after=-60) == 1 and len(t._listed("versions")) == 1
 
 
 def test_archive(spark, tmp_path):
-    target = files.VersionedTable(spark, str(tmp_path / "archive"))
+    target = VersionedTable(spark, str(tmp_path / "archive"))
     now = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z")], "conversation_id string, position int, content string")
     ids = lambda *x: spark.createDataFrame([(i,) for i in x], "conversation_id string")
     held = lambda: sorted((r["conversation_id"], r["position"], r["content"]) for r in target.read().collect())
