@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tarn.plans.registry import query
 from tarn.sources.tables import table
 from tarn.streaming import streams as s
+from tarn.streaming import watches
 
 
 def _folder(spark: SparkSession) -> str:
@@ -83,3 +84,29 @@ def str_ttl_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STM-4: grants by user, renewed by every event, expired after 30 minutes; rows in order of event time."""
     out = s.drain(s.expire(_events(spark, sf_dir), "user_id", 1800), "append", _folder(spark))
     return out.select("user_id", _ntz("opened").alias("opened"), "renewals", "status")
+
+
+COMMANDS = ["start", "mark", "stop", "cancel", "restart"]
+KINDS = ["signup", "view", "click", "error", "purchase"]
+
+
+@query(f"""with recursive e as (select user_id, epoch_us(ts) as tick, event_id, {COMMANDS}[list_position({KINDS}, event_type)] as command from events),
+    -- the watermark after the last micro-batch, in whole milliseconds, and what it has passed
+    m as (select (max(tick) // 1000 - 15000) * 1000 as until from e), p as (select *, row_number() over (partition by user_id order by tick, event_id) as n from e, m where tick < until),
+    s as (select user_id, 0::bigint as n, null::bigint as started, 0 as markers, null::bigint as last_marker, 0 as refused, [] :: struct(started bigint, ended bigint, status varchar, markers int, last_marker bigint, refused int)[] as done from (select distinct user_id from p)
+        union all
+        select user_id, n, case when opened is null then case when command = 'start' then tick end when command in ('stop', 'cancel', 'restart') then null else opened end,
+            case when opened is null then 0 when command = 'mark' then markers + 1 else markers end, case when opened is null then null when command = 'mark' then tick else last_marker end, case when opened is null then 0 when command = 'start' then refused + 1 else refused end,
+            list_concat(case when late then [struct_pack(started := started, ended := started + 21600000000, status := 'expired', markers := markers, last_marker := last_marker, refused := refused)] else [] end,
+                case when opened is not null and command in ('stop', 'cancel', 'restart') then [struct_pack(started := started, ended := tick, status := case command when 'stop' then 'completed' when 'cancel' then 'cancelled' else 'interrupted' end, markers := markers, last_marker := last_marker, refused := refused)] else [] end)
+        from (select s.user_id, p.n, p.tick, p.command, started, markers, last_marker, refused, coalesce(tick >= started + 21600000000, false) as late, case when tick >= started + 21600000000 then null else started end as opened from s join p on p.user_id = s.user_id and p.n = s.n + 1)),
+    f as (select user_id, unnest(done) as d from s), l as (select s.*, until from s, m where started + 21600000000 < until qualify row_number() over (partition by user_id order by n desc) = 1 and n = (select max(n) from p where p.user_id = s.user_id))
+    select user_id, d.started as started, d.ended as ended, d.status as status, d.markers as markers, coalesce(d.last_marker, -1) as last_marker, d.refused as refused from f
+    union all select user_id, started, started + 21600000000, 'expired', markers, coalesce(last_marker, -1), refused from l""")
+def str_watches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STM-12, STM-10: event kinds as commands, watches of at most six hours."""
+    kinds = F.element_at(F.array(*map(F.lit, COMMANDS)), F.array_position(F.array(*map(F.lit, KINDS)), F.col("event_type")).cast("int"))
+    commands = _events(spark, sf_dir).select("user_id", "ts", F.col("event_id").alias("number"), kinds.alias("command"))
+    with watches.state_in_rocksdb(spark):
+        out = s.drain(watches.watches(commands, "user_id", 21_600), "append", _folder(spark))
+    return out.withColumn("last_marker", F.coalesce("last_marker", F.lit(-1)))
