@@ -21,9 +21,10 @@ def line_chunks(docs: DataFrame, text: str, size: int = 50, overlap: int = 8) ->
         content = trim_all(F.array_join(F.slice("__lines", i * step + 1, F.lit(size)), "\n"))
         return F.struct((i * step + 1).alias("start_line"), F.least(i * step + size, F.size("__lines")).alias("end_line"), content.alias("content"))
 
-    # The chunks of a text are made in its one row and exploded alone: its lines are not repeated for each.
+    # The chunks of a text are made in its one row and exploded alone: its lines are not repeated for each.  There is one at
+    # least; outer keeps the optimizer from asking for that below the generator, where it would make all chunks twice.
     made = docs.withColumn("__lines", lines).select(*docs.columns, F.transform(F.sequence(F.lit(0), count - 1), chunk).alias("__chunks"))
-    return made.select(*docs.columns, F.inline("__chunks")).where(F.col("content") != "")
+    return made.select(*docs.columns, F.inline_outer("__chunks")).where(F.col("content") != "")
 
 
 def boundary(window: str, target: int) -> int | None:
