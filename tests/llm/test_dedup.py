@@ -301,21 +301,29 @@ def test_embedding_recall(spark):
         assert b[r, 0] in index.cells(x[r : r + 1], int(ranks[r]))[0] and (ranks[r] == 1 or b[r, 0] not in index.cells(x[r : r + 1], int(ranks[r]) - 1)[0])
 
 
-def test_measured_recall_of_the_query(spark):
-    """All links of a table with many near copies, by brute force, against those that the index finds; and none that isn't there."""
-    from tarn.llm import queries
-
-    sf = "/root/testdata/check_s"
-    if not os.path.isdir(sf):
-        pytest.skip("the table is not here")
-    rows = spark.read.parquet(f"{sf}/embeddings.parquet").toPandas().dropna(subset=["label", "embedding"])
-    want = 0
-    for _, part in rows.groupby("label"):
-        x = np.stack(part["embedding"]).astype(float)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        want += int((x @ x.T >= 0.93).sum()) - len(x)
-    got = queries.op8_embedding_near_dedup(spark, sf).agg({"n_links": "sum"}).first()[0]
-    assert 0.95 * want <= got <= want and want > 0
+def linked_vectors(seed, groups, dim=32):
+    """Unit vectors in groups around a middle, with cosines on both sides of the linking one, over two labels."""
+    r = np.random.default_rng(seed)
+    middle = r.normal(size=(groups, dim))
+    middle /= np.linalg.norm(middle, axis=1, keepdims=True)
+    x = np.repeat(middle, 6, axis=0)
+    side = r.normal(size=x.shape)
+    side -= (side * x).sum(1)[:, None] * x
+    near = r.uniform(0.955, 0.995, size=(len(x), 1))
+    x = near * x + np.sqrt(1 - near**2) * side / np.linalg.norm(side, axis=1, keepdims=True)
+    return x, np.repeat(np.arange(groups) % 2, 6)
+
+
+@pytest.mark.parametrize("cell,groups", [(256, 200), (32, 400), (8, 600)])
+def test_measured_recall(spark, monkeypatch, cell, groups):
+    """Links that the index finds among generated vectors, at grids of several sizes, against brute force; and none that isn't there."""
+    monkeypatch.setattr(embedding_dedup, "CELL", cell)
+    x, label = linked_vectors(groups, groups)
+    rows = [(i, v, int(k)) for i, (v, k) in enumerate(zip(x.tolist(), label, strict=True))]
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    want = ((x @ x.T >= 0.93) & (label[:, None] == label[None, :])).sum(1) - 1
+    assert want.sum() > groups * 6 and (np.array([got[i] for i in range(len(x))]) <= want).all()
+    assert sum(got.values()) >= 0.9 * want.sum()
 
 
 def test_empty_vectors(spark):
