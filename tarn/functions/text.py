@@ -10,7 +10,7 @@ WS = r"[\s\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000
 # What is masked in descriptions.
 PATH_WINDOWS = r"[A-Za-z]:\\[^\s]{6,}"
 PATH_UNIX = r"(?i)/(?:Users|home|var|etc|Windows)[^\s]{3,}"
-EMAIL = r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}"
+EMAIL = r"(?i)[A-Z0-9._%+-]++@[A-Z0-9.-]+\.[A-Z]{2,}"  # the name never gives back: no @ is in it
 IPV4 = r"\b\d{1,3}(?:\.\d{1,3}){3}\b"
 
 
@@ -28,7 +28,8 @@ def normalize(c: Column) -> Column:
 
 
 def collapse(c: Column) -> Column:
-    return trim_all(F.regexp_replace(c, f"{WS}+", " "))
+    """White space of any kind as single blanks, none at the ends."""
+    return F.trim(F.regexp_replace(c, f"{WS}+", " "))
 
 
 def clamp(c: Column, limit: int, trim: bool = False) -> Column:
