@@ -4,6 +4,14 @@ Every stage is (spark, docs, sf_dir) -> DataFrame over all that its predecessor
 the last return the columns of ``documents``, whatever their names.  ``run`` writes each
 stage's result to the shared checkpoint folder as Parquet and reads it again for the next;
 a stage's table is deleted once its successor's is written.
+
+In every stage a null or empty text is a document without words, lines, shingles or spans: it
+is kept by the first, second and fourth, links with other empty ones in the third and is one
+end token in the last.  Very long texts are read whole.  Repeated rows are documents of their
+own: near-dedup keeps the first of them, and of rows with one doc_id the one read first.
+Ties of keys go by the place in the stage's table, which is written before it is numbered.
+Null keys carry no label and come last among copies.  Empty tables give empty tables, and
+columns of any name stay until packing, which returns pieces.
 """
 
 from __future__ import annotations
