@@ -84,14 +84,29 @@ def near_tie(scored: DataFrame, k: int, preferred: str, *ties: str, eps: float =
     return pool.orderBy(*best).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*best)))
 
 
+#: Query rows of a batch search that are broadcast, at most.
+KNN_QUERIES = 1 << 15
+
+
 def knn(queries: DataFrame, base: DataFrame, k: int, key: str, vector: str = "embedding") -> DataFrame:
     """(query, key, similarity, rank): the k nearest rows of each query row, itself left out.
 
-    The query set is stated and small; base rows are scored in one pass, cut to k per query
-    before the shuffle by the window's group limit.
+    Up to ``KNN_QUERIES`` query rows are broadcast.  More are cut into blocks and base rows
+    dealt into shares; each block meets each share by an equi-join on their numbers.  Base rows
+    are cut to k per query before the shuffle by the window's group limit.
     """
+    n = queries.count()
     q = queries.select(F.col(key).alias("query"), F.col(vector).alias("__q"), norm(F.col(vector)).alias("__qn"))
     b = base.select(key, F.col(vector).alias("__v"), norm(F.col(vector)).alias("__vn"))
-    scored = b.join(q, F.col(key) != F.col("query")).select("query", key, cosine(F.col("__v"), F.col("__q"), F.col("__vn"), F.col("__qn")).alias("similarity"))
+    if n <= KNN_QUERIES:
+        met = b.join(F.broadcast(q), F.col(key) != F.col("query"))
+    else:
+        blocks, shares = -(-n // KNN_QUERIES), int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        number = lambda c, most: F.pmod(F.xxhash64(c), F.lit(most)).cast("int")
+        every = lambda most: F.explode(F.sequence(F.lit(0), F.lit(most - 1)))
+        left = b.withColumn("__share", number(key, shares)).withColumn("__block", every(blocks))
+        right = q.withColumn("__block", number("query", blocks)).withColumn("__share", every(shares))
+        met = left.join(right, ["__block", "__share"]).where(F.col(key) != F.col("query"))
+    scored = met.select("query", key, cosine(F.col("__v"), F.col("__q"), F.col("__vn"), F.col("__qn")).alias("similarity"))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), key))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)

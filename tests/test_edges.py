@@ -178,3 +178,13 @@ def test_symbols_of_varied_code(spark):
     rows = spark.createDataFrame([(k, c) for k, c in enumerate(CODE)], "id int, code string")
     got = {x["id"]: x["s"] for x in rows.select("id", xref.symbols(F.col("code")).alias("s")).collect()}
     assert [got[k] for k in range(len(CODE))] == list(CODE.values())
+
+
+def test_batch_search_in_blocks(spark, monkeypatch):
+    """More queries than are broadcast: the same neighbours, by an equi-join."""
+    rows = spark.createDataFrame([(i, [float(i % 7), 1.0, i / 9]) for i in range(40)], "vec_id long, embedding array<double>")
+    found = lambda: sorted(map(tuple, vector.knn(rows, rows, 3, "vec_id").collect()))
+    want = found()
+    monkeypatch.setattr(vector, "KNN_QUERIES", 7)
+    assert found() == want and len(want) == 120
+    assert "NestedLoop" not in vector.knn(rows, rows, 3, "vec_id")._jdf.queryExecution().toString()
