@@ -154,13 +154,16 @@ CODE_FORMS = [
 
 
 def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Code chunks made from ``part``, one a part, three parts a file: declarations, imports, calls, routes, comments and types that refer to other parts."""
+    """Code chunks made from ``part``, one a part, three parts a file: declarations, imports, calls, routes, comments and types that refer to other parts.
+
+    Parts are dealt over all cores before texts are made of them, as a table of chunks would lie.
+    """
     k = F.col("p_partkey")
     put = lambda c, token, value: F.replace(c, F.lit(token), value.cast("string"))
     filled = lambda form: put(put(put(put(F.lit(form), "@k", k), "@h", F.expr("p_partkey div 2")), "@q", F.expr("p_partkey div 5")), "@b", F.lower(F.translate("p_brand", "#", "_")))
     kind = lambda values: F.element_at(F.array(*values), (k % len(CODE_FORMS) + 1).cast("int"))
     path = F.concat(F.lit("src/M"), F.expr("p_partkey div 3"), F.lit("."), kind([F.lit(e) for e, _ in CODE_FORMS]))
-    return table(spark, sf_dir, "part").select(
+    return table(spark, sf_dir, "part").select("p_partkey", "p_brand").repartition(spark.sparkContext.defaultParallelism).select(
         k.alias("chunk_id"), path.alias("file_path"), (k * 10 + 1).cast("int").alias("start_line"), (k * 10 + 9).cast("int").alias("end_line"), kind([filled(f) for _, f in CODE_FORMS]).alias("content"), ((k * 7919) % 10007 / F.lit(10007.0)).alias("similarity")
     )
 
