@@ -1,19 +1,21 @@
 """Operator 3: line dedup by pairwise alignment.
 
 A block is a run of adjacent lines with at least ``MIN_WORDS`` words.  Documents overlap if
-they share a block.  They are found through the hashes of the shortest blocks: from every
-line forward, and from every line back, just as many lines as reach ``MIN_WORDS`` words.  These
-hashes are rare where single lines are not, every block is a union of such shortest blocks,
-and each document is paired with the first holder of each of its hashes.  So the pairs are
-linear in the lines, whatever many documents share, and no block is missed.
-
-Of a pair the shared lines are aligned with patience diff: lines unique on both sides are
-matched along their longest increasing chain, the gaps between are aligned in turn, and what
-an alignment leaves is aligned again, so moved blocks are found.  Aligned blocks are deleted
-from the later document, the one with the larger key.  An exact check follows: shortest
-blocks that both sides hold but no alignment reached (no line of them is unique) go too.  So
-a line goes if and only if it lies in a block that an earlier document holds.  The first
-document keeps its lines.
+they share a block.  They are found through rare line hashes: a line of ``MIN_WORDS`` words is
+hashed alone; shorter lines, which are frequent, are hashed with the lines behind them, and
+with those before, just as many as reach ``MIN_WORDS`` words.  Every block is a union of such
+shortest blocks, and each document is paired with the first holder of each of its hashes.  So
+the pairs are linear in the lines, whatever many documents share, and no block is missed.
+
+Of a pair the shortest blocks of both documents are aligned with patience diff (a line of
+``MIN_WORDS`` words is a block by itself): blocks unique on both sides are matched along their
+longest increasing chain, and the gaps between are aligned in turn; where a gap has no such
+block, the k-th copy of one side meets the k-th of the other.  Lines of matched blocks are
+deleted from the later document, the one with the larger key, wherever the block stands in it.
+What an alignment leaves is aligned again, with the earlier document from its start and from
+its end by turns, so moved and turned blocks are found in some 4 sqrt(blocks) rounds, until an
+alignment matches nothing.  So a line goes if and only if it lies in a block that an earlier
+document holds.  The first document keeps its lines.
 
 Lines are compared without the white space around them, by a 64-bit hash; blank lines never
 match and lie in no block.  A null text stays null, an empty one empty; a very long text is a
@@ -42,6 +44,9 @@ PARTNERS = 512
 #: The white space that ends words and lines' edges.
 WHITE = " \t\n\r\x0b\x0c"
 
+#: A block's name: the hash of its line, or the hashes of its lines.
+Block = int | tuple[int, ...]
+
 
 def increasing(values: list[int]) -> list[int]:
     """Places of a longest strictly increasing subsequence."""
@@ -64,8 +69,18 @@ def increasing(values: list[int]) -> list[int]:
     return out[::-1]
 
 
-def align(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Patience diff: matched places of two sequences, increasing on both sides."""
+def copies_in_turn(a: list[Block], b: list[Block], i: int, j: int) -> list[tuple[int, int]]:
+    """Places of the k-th copy in a with those of the k-th in b, from places i and j on."""
+    spots: dict[Block, list[int]] = {}
+    for k, x in enumerate(b, j):
+        spots.setdefault(x, []).append(k)
+    turns = {x: iter(s) for x, s in spots.items()}
+    met = ((k, next(turns[x], None)) for k, x in enumerate(a, i) if x in turns)
+    return [(k, q) for k, q in met if q is not None]
+
+
+def align(a: list[Block], b: list[Block]) -> list[tuple[int, int]]:
+    """Patience diff: matched places of two sequences, increasing on both sides; none only if they share nothing."""
     out: list[tuple[int, int]] = []
     todo = [(0, len(a), 0, len(b))]
     while todo:
@@ -80,8 +95,9 @@ def align(a: list[int], b: list[int]) -> list[tuple[int, int]]:
             continue
         left, right = Counter(a[i:m]), Counter(b[j:n])
         spot = {x: k for k, x in enumerate(b[j:n], j) if right[x] == 1}
-        unique = [(k, spot[x]) for k, x in enumerate(a[i:m], i) if left[x] == 1 and x in spot]
-        chain = [unique[k] for k in increasing([q for _, q in unique])]
+        pairs = [(k, spot[x]) for k, x in enumerate(a[i:m], i) if left[x] == 1 and x in spot]
+        pairs = pairs or copies_in_turn(a[i:m], b[j:n], i, j)
+        chain = [pairs[k] for k in increasing([q for _, q in pairs])]
         if not chain:
             continue
         x, y = i, j
@@ -93,29 +109,6 @@ def align(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-Line = tuple[int, int, int]  # place, hash, words
-
-
-def aligned_blocks(a: list[Line], b: list[Line], min_words: int) -> list[int]:
-    """Places of lines of a that lie in aligned common blocks of enough words."""
-    matched = align([x[1] for x in a], [x[1] for x in b])
-    out: list[int] = []
-    run: list[int] = []
-    words = 0
-    last = None
-    for i, j in [*matched, (None, None)]:
-        spot = None if i is None else (a[i][0], b[j][0])
-        if last is None or spot is None or spot != (last[0] + 1, last[1] + 1):
-            if words >= min_words:
-                out += run
-            run, words = [], 0
-        if spot is not None:
-            run.append(spot[0])
-            words += a[i][2]
-        last = spot
-    return out
-
-
 def shortest_blocks(hashes: list[int], words: list[int], min_words: int) -> Iterator[tuple[int, int]]:
     """(start, stop) of the shortest blocks that begin or end at some line."""
     stop = total = start = 0
@@ -137,34 +130,36 @@ def shortest_blocks(hashes: list[int], words: list[int], min_words: int) -> Iter
             yield start, stop
 
 
+def named_blocks(hashes: list[int], words: list[int], min_words: int) -> list[tuple[int, int, Block]]:
+    """(start, stop, name) of the shortest blocks in the order of their places; the name is all of the block's line hashes."""
+    spots = sorted(set(shortest_blocks(hashes, words, min_words)))
+    return [(i, j, hashes[i] if j == i + 1 else tuple(hashes[i:j])) for i, j in spots]
+
+
 class Earlier:
-    """The earlier document of pairs: its lines, and where each hash stands."""
+    """The earlier document of pairs: its shortest blocks in order, and where each stands."""
 
     def __init__(self, hashes: list[int], words: list[int], min_words: int) -> None:
-        self.hashes, self.words, self.min_words = hashes, words, min_words
-        self.places: dict[int, list[int]] = {}
-        for k, h in enumerate(hashes):
-            self.places.setdefault(h, []).append(k)
-        self.held: set[tuple[int, ...]] | None = None
-
-    def holds(self, block: tuple[int, ...]) -> bool:
-        if self.held is None:
-            self.held = {tuple(self.hashes[i:j]) for i, j in shortest_blocks(self.hashes, self.words, self.min_words)}
-        return block in self.held
-
-    def blocks(self, hashes: list[int], words: list[int]) -> list[int]:
-        """Places of the lines of a later document that lie in blocks held here."""
-        a = [(k, h, n) for k, (h, n) in enumerate(zip(hashes, words, strict=True)) if h in self.places]
-        spots = sorted(p for h in {x[1] for x in a} for p in self.places[h])
-        b = [(p, self.hashes[p], self.words[p]) for p in spots]
+        self.min_words = min_words
+        self.names = [x for _, _, x in named_blocks(hashes, words, min_words)]
+        self.places: dict[Block, list[int]] = {}
+        for k, x in enumerate(self.names):
+            self.places.setdefault(x, []).append(k)
+
+    def aligned(self, hashes: list[int], words: list[int]) -> list[int]:
+        """Places of the lines of a later document that lie in blocks aligned with some of this one."""
+        # As in any diff, what only one side has is left out before.
+        left = [x for x in named_blocks(hashes, words, self.min_words) if x[2] in self.places]
         gone: set[int] = set()
-        while found := aligned_blocks(a, b, self.min_words):
-            gone.update(found)
-            a = [x for x in a if x[0] not in gone]
-        if a:
-            for i, j in shortest_blocks(hashes, words, self.min_words):
-                if not all(k in gone for k in range(i, j)) and self.holds(tuple(hashes[i:j])):
-                    gone.update(range(i, j))
+        turned = False
+        while left:
+            spots = sorted((p for x in {x[2] for x in left} for p in self.places[x]), reverse=turned)
+            matched = {left[p][2] for p, _ in align([x[2] for x in left], [self.names[p] for p in spots])}
+            if not matched:
+                break
+            gone.update(k for i, j, x in left if x in matched for k in range(i, j))
+            left = [x for x in left if x[2] not in matched]
+            turned = not turned
         return sorted(gone)
 
 
@@ -211,7 +206,7 @@ def align_pairs(pairs: DataFrame, lines: DataFrame, min_words: int, partners: in
             for row, a, b in zip(later.tolist(), ends, ends[1:], strict=False):
                 if row < 0:
                     now = Earlier(hashes[a:b], words[a:b], min_words)
-                elif now is not None and (found := now.blocks(hashes[a:b], words[a:b])):
+                elif now is not None and (found := now.aligned(hashes[a:b], words[a:b])):
                     rows.append(row)
                     gone.append(found)
             if rows:
@@ -237,7 +232,7 @@ def dedup_lines(
     sketch = cut(numbered.select(F.col(row).alias("row"), rank.alias("rank"), lines.alias("lines")))
     pairs = cut(overlaps(sketch.select("row", "rank", block_hashes(F.col("lines"), min_words).alias("blocks"))))
     gone = align_pairs(pairs, sketch.select("row", "lines"), min_words, partners)
-    gone = gone.groupBy("later").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
+    gone = gone.select("later", F.explode("gone").alias("place")).groupBy("later").agg(F.sort_array(F.collect_set("place")).alias("gone"))
     found = sketch.select("row", F.size("lines").cast("long").alias("all")).join(gone, F.col("row") == F.col("later"), "left")
     names = fresh(numbered, "lines_all"), fresh(numbered, "lines_gone")
     found = found.select(F.col("row").alias(row), F.col("all").alias(names[0]), F.col("gone").alias(names[1]))

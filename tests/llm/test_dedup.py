@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -253,7 +254,45 @@ def test_patience():
         a, b = ([R.randint(0, 6) for _ in range(R.randint(0, 12))] for _ in range(2))
         m = line_dedup.align(a, b)
         assert all(a[i] == b[j] for i, j in m) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(m, m[1:], strict=False))
+        assert bool(m) == bool(set(a) & set(b))
     assert line_dedup.align([1, 2, 3, 4], [9, 2, 3, 8]) == [(1, 1), (2, 2)]
+    assert line_dedup.align([5, 7, 7, 5, 1], [5, 7, 5, 7, 2]) == [(0, 0), (1, 1), (3, 2)]
+
+
+def lines_in_blocks(later, earlier, words, min_words=8):
+    """Lines of a later document in any run of enough words that the earlier one holds, by trying all runs."""
+    gone = set()
+    for i in range(len(later)):
+        for j in range(i + 1, len(later) + 1):
+            run = later[i:j]
+            if sum(words[x] for x in run) >= min_words and any(earlier[k : k + j - i] == run for k in range(len(earlier))):
+                gone.update(range(i, j))
+    return sorted(gone)
+
+
+def test_alignment_decides(documents, monkeypatch):
+    """All that goes is aligned, and all that is shared is aligned in the end; no alignment, nothing goes."""
+    words = [1, 2, 3, 5, 8, 9]
+    for _ in range(500):
+        a, b = ([R.randrange(len(words)) for _ in range(R.randint(0, 14))] for _ in range(2))
+        earlier = line_dedup.Earlier(b, [words[x] for x in b], 8)
+        assert earlier.aligned(a, [words[x] for x in a]) == lines_in_blocks(a, b, words)
+    text = "\n".join(prose(9) for _ in range(4))
+    assert {x["n_removed"] for x in line_dedup.dedup_lines(documents([text, text])).collect()} == {0, 4}
+    monkeypatch.setattr(line_dedup, "align", lambda a, b: [])
+    earlier = line_dedup.Earlier([1, 2], [9, 9], 8)
+    assert earlier.aligned([1, 2], [9, 9]) == []
+
+
+@pytest.mark.parametrize("order", ["turned", "shuffled", "repeated", "grid"])
+def test_alignment_of_long_documents(order):
+    """Rounds stay few whatever the order of the shared lines."""
+    n = 10_000
+    lines = list(range(n))
+    later = {"turned": lines[::-1], "shuffled": random.Random(1).sample(lines, n), "repeated": [7] * n, "grid": [100 * (k % 100) + 99 - k // 100 for k in lines]}[order]
+    start = time.monotonic()
+    assert len(line_dedup.Earlier(lines, [9] * n, 8).aligned(later, [9] * n)) == n
+    assert time.monotonic() - start < 60
 
 
 def vectors(spark, rows):
