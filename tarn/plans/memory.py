@@ -188,6 +188,21 @@ def src_merge_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mem.merge_ranges(r.where("n <= 2"), "file", "rank", "a", "b")
 
 
+@query("""with recursive r as (select l_orderkey // 16 as file, row_number() over (partition by l_orderkey // 16 order by l_orderkey, l_linenumber, l_partkey) as n, l_partkey * 7 % 1000 as a, l_partkey * 7 % 1000 + l_suppkey % 9 + l_linenumber * 3 as b from lineitem),
+    s as (select file, n, [struct_pack(a := a, b := b)] as kept from r where n = 1 union all
+        select file, n, case when spot > 0 then list_concat(kept[:spot - 1], [struct_pack(a := least(kept[spot].a, a), b := greatest(kept[spot].b, b))], kept[spot + 1:]) else list_append(kept, struct_pack(a := a, b := b)) end
+        from (select s.file, r.n, kept, r.a, r.b, coalesce(list_position(list_transform(kept, lambda k: k.a <= r.b and r.a <= k.b), true), 0) as spot from s join r on r.file = s.file and r.n = s.n + 1)),
+    l as (select * from s qualify row_number() over (partition by file order by n desc) = 1), f as (select file, unnest(kept) as k, generate_subscripts(kept, 1) - 1 as range_no from l)
+    select file, range_no::int as range_no, k.a::int as range_start, k.b::int as range_end from f""")
+def src_merge_ranges_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN-14, SEQ-4: all line items as cited ranges, up to a hundred of a file."""
+    item = table(spark, sf_dir, "lineitem")
+    a = F.col("l_partkey") * 7 % 1000
+    rank = F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("rank")
+    r = item.select(F.expr("l_orderkey div 16").alias("file"), rank, a.alias("a"), (a + F.col("l_suppkey") % 9 + F.col("l_linenumber") * 3).alias("b"))
+    return mem.merge_ranges(r, "file", "rank", "a", "b")
+
+
 @query(f"""with {MESSAGES_SQL}, b as (select * from m where conversation_id % 3 = 0 union all select * from m where conversation_id % 6 = 0)
     select message_id, min(role) as role from b where message_id not in (select message_id from m where position < 2) group by 1""")
 def tx_append_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,6 +81,31 @@ def test_merge_ranges(spark):
     assert [got[f] for f in range(len(cases))] == [naive_merge(c) for c in cases]
 
 
+def test_merge_ranges_over_many_bins_and_without_bounds(spark):
+    """Ranges longer than a bin, chains over bins, ties in rank, a null file, null and turned bounds."""
+    r = random.Random(5)
+    cases = [[(a := r.randint(-20_000, 60_000), a + r.choice([0, 5, 500, 9_000])) for _ in range(r.randint(1, 30))] for _ in range(40)]
+    rows = [(f or None, k, a, b) for f, c in enumerate(cases) for k, (a, b) in enumerate(c)]
+    rows += [(99, 0, 3, None), (99, 1, None, 4), (99, 2, 9, 5), (99, 3, 1, 10), (99, 3, 8, 20)]
+    got = {}
+    for x in memory.merge_ranges(spark.createDataFrame(rows, "file int, rank int, a int, b int"), "file", "rank", "a", "b").orderBy("file", "range_no").collect():
+        got.setdefault(x["file"] or 0, []).append([x["range_start"], x["range_end"]])
+    assert got.pop(99) == [[3, None], [None, 4], [9, 5], [1, 20]]
+    assert [got[f] for f in range(len(cases))] == [naive_merge(c) for c in cases]
+    assert memory.merge_ranges(spark.createDataFrame([], "file int, rank int, a int, b int"), "file", "rank", "a", "b").collect() == []
+
+
+def test_a_file_with_a_million_ranges(spark):
+    """Half of them in one island, half apart."""
+    n = 1 << 20
+    k = F.col("id")
+    a = F.when(k % 2 == 0, F.pmod(k * 7919, F.lit(n)) * 4).otherwise(10 * n + k * 10)
+    found = memory.merge_ranges(spark.range(n).select(F.lit("x").alias("file"), "id", a.alias("a"), (a + 8).alias("b")), "file", "id", "a", "b")
+    apart = F.col("range_start") >= 10 * n
+    got = found.agg(F.count(F.when(apart, 1)), F.max("range_no") + 1 - F.count("*"), F.min(F.when(~apart, F.col("range_start"))), F.max(F.when(~apart, F.col("range_end")))).first()
+    assert tuple(got) == (n // 2, 0, 0, 4 * (n - 2) + 8)
+
+
 def naive_lines(text, size, overlap):
     lines = text.replace("\r\n", "\n").split("\n")
     out, at = [], 0
