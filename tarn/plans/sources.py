@@ -145,6 +145,18 @@ def src_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.file_digests(spark, folder).select(F.substring("path", F.length(F.lit(os.path.realpath(folder))) + 2, F.length("path")).alias("relative_path"), "size", "sha256")
 
 
+@query("""with l as (select user_id % 64 as log, event_id, event_id % 9 <> 0 as whole, row_number() over (partition by user_id % 64 order by event_id desc) as back from events)
+    select log, row_number() over (partition by log order by back)::int as position, event_id from l where back <= 200 and whole qualify row_number() over (partition by log order by back) <= 50""")
+def src_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-17, DIA-13: all events in 64 logs with broken lines in them; of each log the newest 50 records of the last 200 lines."""
+    e, folder = table(spark, sf_dir, "events").withColumn("log", F.col("user_id") % 64), _folder(spark)
+    line = F.when(F.col("event_id") % 9 == 0, "{broken").otherwise(F.to_json(F.struct("event_id", "event_type", "props")))
+    e.repartition("log").sortWithinPartitions("log", "event_id").select("log", line.alias("value")).write.partitionBy("log").text(folder)
+    logs = walk.walk(spark, folder).where("skipped is null and name like 'part-%'")
+    found = walk.feeds(logs, "event_id long", 50)
+    return found.select(F.regexp_extract("path", r"log=(\d+)/", 1).cast("long").alias("log"), "position", F.col("record.event_id").alias("event_id"))
+
+
 @query("select conv_id, turn, case when conv_id % 3 = 0 then turn::int else -conv_id::int end as started_at, case when conv_id % 3 = 0 then turn::int + 1 else -conv_id::int + 1 end as ended_at from conversations")
 def mem_unit_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOIN-6: chunks of unknown units keep their own times."""

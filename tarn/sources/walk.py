@@ -1,4 +1,4 @@
-"""A folder walk as a Python data source, and readers that stream what it finds (SRC-1, SRC-2, SRC-8, HASH-4).
+"""A folder walk as a Python data source, and readers that stream what it finds (SRC-1, SRC-2, SRC-8, SRC-17, HASH-4).
 
 Spark's own readers pass over empty files and over names that begin with a dot or an
 underscore; the walk sees every entry.  Subtrees are partitions: the driver lists folders,
@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -24,6 +24,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 SUBTREES = 64
 ENTRIES = 4096
 BLOCK = 1 << 20
+#: Bytes that are read at once from a log's end.
+TAIL_BLOCK = 64 << 10
 #: Bytes of contents in a batch.
 CONTENTS = 16 << 20
 
@@ -179,6 +181,61 @@ def digests(files: DataFrame) -> DataFrame:
     return files.select("path").repartition("path").mapInArrow(run, "path string, size long, sha256 string, error string")
 
 
+def last_lines(path: str, lines: int, block: int = TAIL_BLOCK) -> list[str]:
+    """The last lines that are not blank, trimmed, the newest first; blocks are read from the end until there are enough."""
+    found: list[str] = []
+    with open(path, "rb") as f:
+        at = f.seek(0, os.SEEK_END)
+        rest: list[bytes] = []  # the blocks of the line whose start is not read yet, the last first
+        while at > 0 and len(found) < lines:
+            size = min(block, at)
+            at -= size
+            f.seek(at)
+            first, *whole = f.read(size).split(b"\n")
+            if whole:
+                whole[-1] += b"".join(reversed(rest))
+                found += [t for x in reversed(whole) if (t := x.decode("utf-8", "replace").strip())]
+                rest = [first]
+            else:
+                rest.append(first)
+        if at == 0 and (t := b"".join(reversed(rest)).decode("utf-8", "replace").strip()):
+            found.append(t)
+    return found[:lines]
+
+
+def tails(files: DataFrame, lines: int = 200) -> DataFrame:
+    """SRC-17: (path, back, line, error) of the last lines of every file (path); ``back`` is 0 for the newest.
+
+    What is read of a file does not grow with it.  Blank lines do not count, bytes that are no
+    UTF-8 are replaced, a last line needs no end.  A file that cannot be read is one row with
+    its error; an empty one has no rows.
+    """
+    if lines < 1:
+        raise ValueError("at least one line")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                found, error = [], None
+                try:
+                    found = last_lines(path, lines)
+                except OSError as e:
+                    found, error = [None], type(e).__name__
+                n = len(found)
+                columns = [[path] * n, [None if error else k for k in range(n)], found, [error] * n]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.string()), strict=True)], names=["path", "back", "line", "error"])
+
+    return files.select("path").repartition("path").mapInArrow(run, "path string, back int, line string, error string")
+
+
+def feeds(files: DataFrame, schema: str, limit: int = 100, lines: int = 200) -> DataFrame:
+    """SRC-17, DIA-13: (path, position, record) of every log's last lines that parse, the newest first, at most ``limit`` of each. A limit that is not from 1 to ``lines`` is 100."""
+    limit = limit if 1 <= limit <= lines else 100
+    good = tails(files, lines).where("error is null").where(F.try_parse_json("line").isNotNull())
+    ranked = good.withColumn("position", F.row_number().over(Window.partitionBy("path").orderBy("back")))
+    return ranked.where(F.col("position") <= limit).select("path", "position", F.from_json("line", schema).alias("record"))
+
+
 def inventory(spark: SparkSession, folder: str, ignored: list[str], sensitive, depth: int = 20) -> DataFrame:
     """SRC-2: the walk with sensitive names left out too. ``sensitive`` makes a predicate of the name's column."""
     found = walk(spark, folder, ignored, depth)

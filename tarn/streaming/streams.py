@@ -99,18 +99,32 @@ def drain(stream: DataFrame, mode: str, folder: str, name: str | None = None) ->
     return parts if mode == "update" else parts.drop("batch")
 
 
-def append_table(stream: DataFrame, target: str, key: str, folder: str) -> None:
-    """STM-8: each micro-batch adds the rows whose key the target does not hold; a batch that runs again adds nothing."""
+def append_table(stream: DataFrame, target: str, key: str, folder: str, buckets: int = 256) -> None:
+    """STM-8, MEM-3: each micro-batch adds the rows whose key the target does not hold; a batch that runs again adds nothing.
+
+    The target is partitioned by ``key_bucket``, the hash of the key modulo ``buckets``; of the
+    buckets that a batch touches the keys are read, of the others nothing.  A null key is a
+    key.  A target keeps the number of buckets that it was begun with.
+    """
+    if "key_bucket" in stream.columns:
+        raise ValueError("key_bucket is the target's own column")
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates([key])
+        fresh = batch.dropDuplicates([key]).withColumn("key_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).persist()
         try:
-            known = spark.read.parquet(target).select(key)
-            fresh = fresh.join(known, key, "left_anti")
-        except Exception as e:  # the first batch finds no target
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        fresh.write.mode("append").parquet(target)
+            touched = [x[0] for x in fresh.select("key_bucket").distinct().collect()]  # at most so many as there are buckets
+            if not touched:
+                return
+            new = fresh
+            try:
+                held = spark.read.schema(fresh.schema).parquet(target).where(F.col("key_bucket").isin(touched)).select(F.col(key).alias("held_key"), F.col("key_bucket").alias("held_bucket"))
+                new = fresh.join(held, (F.col("key_bucket") == F.col("held_bucket")) & F.col(key).eqNullSafe(F.col("held_key")), "left_anti")
+            except AnalysisException as e:  # the first batch finds no target
+                if e.getCondition() != "PATH_NOT_FOUND":
+                    raise
+            new.repartition("key_bucket").write.partitionBy("key_bucket").mode("append").parquet(target)
+        finally:
+            fresh.unpersist()
 
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", folder).trigger(availableNow=True).start().awaitTermination()

@@ -120,6 +120,74 @@ def test_streamed_append_adds_each_row_once(spark, tmp_path):
     assert sorted(r["id"] for r in spark.read.parquet(target).collect()) == [1, 2]
 
 
+def test_append_reads_touched_buckets_only(spark, tmp_path):
+    """A batch of one key leaves the other buckets unread: they hold rubbish then."""
+    import glob
+    import os
+
+    from tarn.streaming import streams
+
+    target = str(tmp_path / "out")
+
+    def add(k, rows):
+        source = str(tmp_path / f"in{k}")
+        spark.createDataFrame(rows, "id int, v string").write.parquet(source)
+        streams.append_table(spark.readStream.schema("id int, v string").parquet(source), target, "id", str(tmp_path / f"check{k}"), 16)
+
+    add(0, [(i, "a") for i in range(100)] + [(None, "n")])
+    bucket = spark.read.parquet(target).where("id = 7").first()["key_bucket"]
+    for f in glob.glob(f"{target}/key_bucket=*/*.parquet"):
+        if f"key_bucket={bucket}/" not in f:
+            os.rename(f, f + ".aside")
+            with open(f, "w") as g:
+                g.write("rubbish")
+    add(1, [(7, "b"), (7, "c")])
+    for f in glob.glob(f"{target}/key_bucket=*/*.aside"):
+        os.replace(f, f[: -len(".aside")])
+        crc = os.path.join(os.path.dirname(f), f".{os.path.basename(f)[: -len('.aside')]}.crc")
+        if os.path.exists(crc):
+            os.remove(crc)
+    add(2, [(None, "m"), (200, "d")])
+    add(3, [])
+    got = sorted(((r["id"], r["v"]) for r in spark.read.parquet(target).collect()), key=str)
+    assert got == sorted([(i, "a") for i in range(100)] + [(None, "n"), (200, "d")], key=str)
+    with pytest.raises(ValueError):
+        streams.append_table(spark.readStream.schema("id int, key_bucket int").parquet(str(tmp_path / "in0")), target, "id", str(tmp_path / "c"))
+
+
+def test_last_lines_against_the_whole_file(tmp_path):
+    import random
+
+    r = random.Random(9)
+    path = str(tmp_path / "log")
+    for _ in range(400):
+        text = "".join(r.choice(["a", "é", " ", "\n", "\n", "\r\n", "bcd"]) for _ in range(r.randint(0, 40)))
+        with open(path, "wb") as f:
+            f.write(text.encode())
+        want = [t for x in text.split("\n") if (t := x.strip())][::-1]
+        n, block = r.randint(1, 9), r.choice([1, 2, 3, 7, 64])
+        assert walk.last_lines(path, n, block) == want[:n]
+
+
+def test_tails_of_logs(spark, tmp_path):
+    """Of a log of many gigabytes only its end is read; broken, blank and missing ones are told apart."""
+    with open(tmp_path / "large", "wb") as f:  # holes take no disk
+        f.seek(20 << 30)
+        f.write(b"\n" + b"\n".join(b'{"k": %d}' % k if k % 3 else b"{broken" for k in range(300)))
+    (tmp_path / "blank").write_bytes(b" \n\n")
+    (tmp_path / "one").write_bytes(b'{"k": 5}\n\xff\n')
+    paths = spark.createDataFrame([(str(tmp_path / n),) for n in ("large", "blank", "one", "none")], "path string")
+    tails = {}
+    for x in walk.tails(paths).orderBy("path", "back").collect():
+        tails.setdefault(x["path"].rsplit("/", 1)[-1], []).append((x["line"], x["error"]))
+    assert set(tails) == {"large", "one", "none"} and len(tails["large"]) == 200 and tails["none"] == [(None, "FileNotFoundError")]
+    assert tails["one"] == [("\ufffd", None), ('{"k": 5}', None)] and tails["large"][0] == ('{"k": 299}', None)
+    feed = {}
+    for x in walk.feeds(paths, "k int", 4).orderBy("path", "position").collect():
+        feed.setdefault(x["path"].rsplit("/", 1)[-1], []).append(x["record"]["k"])
+    assert feed == {"large": [299, 298, 296, 295], "one": [5]}
+
+
 def test_file_digests(spark, tmp_path):
     import hashlib
 
