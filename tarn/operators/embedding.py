@@ -19,13 +19,19 @@ def register(name: str, provider: Provider) -> None:
     PROVIDERS[name] = provider
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once a row, however often it is used: a lambda's variable is bound, an expression is written out at every use."""
+    return F.transform(F.array(value), use)[0]
+
+
 def hashed(text: Column, dimensions: int = DIMENSIONS) -> Column:
     """A deterministic embedding of the words' hashes, of length one (zero for a text without words); no Python."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    slots = F.transform(words, lambda w: F.struct(F.pmod(F.xxhash64(w), F.lit(dimensions)).cast("int").alias("slot"), F.when(F.pmod(F.xxhash64(w, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("sign")))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda d: F.aggregate(slots, F.lit(0.0), lambda s, x: s + F.when(x["slot"] == d, x["sign"]).otherwise(0.0)))
-    length = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(raw, lambda x: F.when(length == 0, 0.0).otherwise(x / length))
+    # A word's slot, doubled, and one more where its sign is negative.
+    codes = F.transform(words, lambda w: (F.pmod(F.xxhash64(w), F.lit(dimensions)) * 2 + F.pmod(F.xxhash64(w, F.lit(1)), F.lit(2))).cast("int"))
+    at = lambda c, code: F.size(F.filter(c, lambda x: x == code))
+    raw = _once(codes, lambda c: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda d: (at(c, d * 2) - at(c, d * 2 + 1)).cast("double")))
+    return _once(raw, lambda r: _once(F.sqrt(F.aggregate(r, F.lit(0.0), lambda s, x: s + x * x)), lambda length: F.transform(r, lambda x: F.when(length == 0, 0.0).otherwise(x / length))))
 
 
 def embed(rows: DataFrame, key: str, text: str, provider: str | Provider, batch: int = BATCH) -> DataFrame:

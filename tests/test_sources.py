@@ -96,6 +96,14 @@ def test_hashed_embedding(spark):
     assert set(rows[1]["a"]) == set(rows[1]["b"]) == {0.0} and rows[2]["a"] != rows[2]["b"]
 
 
+def test_hashed_embedding_splits_a_text_once(spark):
+    """However many dimensions: what an expression uses twice is computed twice, so the words are bound once."""
+    df = spark.createDataFrame([("red fox " * 20_000,)], "a string")
+    found = df.select(embedding.hashed(F.col("a")).alias("e"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert sum(x * x for x in found.first()["e"]) == pytest.approx(1)
+
+
 def test_tools(spark, sf):
     assert TOOLS["inspect_disk_usage"](spark, sf, top=3).count() == 3
     assert TOOLS["search_files"](spark, sf, query="file_1").count() > 0
