@@ -1,11 +1,13 @@
 """Watch sessions as a keyed state machine over a stream (STM-12), with a reorder buffer behind the watermark (STM-10).
 
-Commands (event time, number, command) of a key arrive in any order.  They wait in list state,
-with a timer at their time; once the watermark has passed them they are applied in order of
-time and number, so the result is the same however the rows were split and shuffled.  A watch
+Commands (event time, number, command) of a key arrive in any order.  They wait in list state
+until the watermark has passed them, and are applied in order of time and number, so the
+result is the same however the rows were split and shuffled.  A key has one timer, for the
+first of what it waits for; when it expires, all that the watermark has passed is applied at
+once, so that the list is read once a key and batch and not once a command.  A watch
 is value state: ``start`` opens one unless one is open, ``mark`` counts only while one is
 open, ``stop``, ``cancel`` and ``restart`` end it as completed, cancelled and interrupted, and
-its deadline, a timer too, ends it as expired.  What is open is one row a key; what has ended
+its deadline, which the timer waits for too, ends it as expired.  What is open is one row a key; what has ended
 leaves the state.  State and timers lie in the checkpoint, so a stream that is started again
 goes on where it was.
 """
@@ -33,23 +35,37 @@ class Watches(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", "at long, number long, command string")
+        self.due = handle.getValueState("due", "at long")
         self.watch = handle.getValueState("watch", "started long, markers int, last_marker long, refused int")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
+        first = None
         for frame in rows:
-            for at, number, command in zip(frame["at"].tolist(), frame["number"].tolist(), frame["command"].tolist(), strict=True):
-                if at // 1000 >= now:  # what is older came too late
-                    self.waiting.appendValue((at, number, command))
-                    self.handle.registerTimer(at // 1000 + 1)
+            frame = frame[frame["at"] // 1000 >= now]  # what is older came too late
+            if len(frame):
+                self.waiting.appendList(list(zip(frame["at"].tolist(), frame["number"].tolist(), frame["command"].tolist(), strict=True)))
+                first = min(int(frame["at"].min()) // 1000, first if first is not None else 1 << 62)
+        if first is not None:
+            self.wake(first + 1)
         return iter(())
 
+    def wake(self, at: int) -> None:
+        """The key's one timer, moved if it is due later than that."""
+        held = self.due.get()[0] if self.due.exists() else None
+        if held is None or at < held:
+            if held is not None:
+                self.handle.deleteTimer(held)
+            self.handle.registerTimer(at)
+            self.due.update((at,))
+
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         until = timerValues.getCurrentWatermarkInMs() * 1000
+        self.due.clear()
         held = sorted(tuple(r) for r in self.waiting.get())
         ready = [r for r in held if r[0] < until]
+        rest = held[len(ready) :]
         if ready:
-            rest = held[len(ready) :]
             self.waiting.put(rest) if rest else self.waiting.clear()
         state = tuple(self.watch.get()) if self.watch.exists() else None
         before, ended = state, []
@@ -65,7 +81,6 @@ class Watches(StatefulProcessor):
             if state is None:
                 if command == "start":
                     state = (at, 0, -1, 0)
-                    self.handle.registerTimer((at + self.limit) // 1000 + 1)
             elif command in ENDS:
                 end(state, at, ENDS[command])
                 state = None
@@ -78,6 +93,9 @@ class Watches(StatefulProcessor):
             state = None
         if state != before:
             self.watch.update(state) if state else self.watch.clear()
+        nexts = [r[0] for r in rest[:1]] + ([state[0] + self.limit] if state else [])
+        if nexts:
+            self.wake(min(nexts) // 1000 + 1)
         if ended:
             yield pd.DataFrame(ended, columns=[self.key, "started", "ended", "status", "markers", "last_marker", "refused"]).astype({"last_marker": "Int64"})
 

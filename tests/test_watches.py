@@ -63,3 +63,41 @@ def test_any_arrival_and_a_restart(spark, tmp_path, seed):
         write(spark, part, str(tmp_path / "in"), f"b{k}")
     again = run(spark, str(tmp_path / "in" / "*"), str(tmp_path / "state"))  # goes on from the checkpoint
     assert again == plain(rows, 90, max(r[1] for r in rows) - 60) and len(again) > len(first)
+
+
+class Held:
+    """State and timers of one key, counted."""
+
+    def __init__(self):
+        self.value, self.rows, self.timers, self.reads = None, [], set(), 0
+        self.exists, self.update, self.clear = lambda: self.value is not None, lambda v: setattr(self, "value", v), lambda: (setattr(self, "value", None), self.rows.clear())
+        self.registerTimer, self.deleteTimer = self.timers.add, self.timers.discard
+        self.appendValue, self.appendList, self.put = self.rows.append, self.rows.extend, lambda rows: setattr(self, "rows", list(rows))
+
+    def get(self):
+        self.reads += 1
+        return self.value if self.value is not None else iter(self.rows)
+
+    def getListState(self, *_):
+        self.waiting = Held()
+        return self.waiting
+
+    def getValueState(self, *_):
+        return Held()
+
+    def getCurrentWatermarkInMs(self):
+        return self.now
+
+
+def test_a_key_has_one_timer():
+    """However many commands wait, so that the list of them is read once a batch and not once a command."""
+    held, made = Held(), watches.Watches("k", 90)
+    made.init(held)
+    held.now = 0
+    frame = pd.DataFrame({"at": [i * 1_000_000 for i in range(1, 1001)], "number": range(1000), "command": ["start", "mark"] * 500})
+    assert list(made.handleInputRows((1,), iter([frame[500:], frame[:500]]), held)) == []
+    assert len(held.timers) == 1
+    held.now, at = 700_500, held.timers.pop()
+    ended = pd.concat(made.handleExpiredTimer((1,), held, None))
+    assert at == 1001 and held.waiting.reads == 1 and len(held.waiting.rows) == 300 and ended["status"].eq("expired").all() and len(ended) == 7
+    assert held.timers == {701_001}
