@@ -7,13 +7,10 @@ one over what a file source holds and returns the result as a table.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
 
 
@@ -46,31 +43,12 @@ def first_seen(events: DataFrame, *keys: str) -> DataFrame:
 def expire(events: DataFrame, key: str, seconds: int = 900) -> DataFrame:
     """STM-4: (key, opened, renewals, status): what is opened and not renewed within its time expires.
 
-    State is one row per open key and is dropped when it expires by event time.
+    A renewal may come at the last moment, which a session's gap excludes, so the gap is a
+    microsecond longer.  State is one row per open session, and is dropped when the watermark
+    has passed its end; rows may come in any order behind the watermark.
     """
-
-    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        opened, last, renewals = state.get if state.exists else (None, None, -1)
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame({key: [k[0]], "opened": [pd.Timestamp(opened, unit="us", tz="UTC")], "renewals": [renewals], "status": ["expired"]})
-            return
-        out = []
-        for t in sorted(t for f in frames for t in f["ts"].astype("datetime64[us]").astype("int64").tolist()):
-            if last is not None and t - last > seconds * 1_000_000:
-                out.append((k[0], pd.Timestamp(opened, unit="us", tz="UTC"), renewals, "expired"))
-                opened, renewals = t, 0
-            else:
-                opened, renewals = (t, 0) if opened is None else (opened, renewals + 1)
-            last = t if last is None else max(t, last)
-        state.update((opened, last, renewals))
-        # A time at or below the watermark can't be set; what is that old expires at the next one.
-        state.setTimeoutTimestamp(max(last // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
-        if out:
-            yield pd.DataFrame(out, columns=[key, "opened", "renewals", "status"])
-
-    kind = events.schema[key].dataType.simpleString()
-    return events.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, opened timestamp, renewals int, status string", "opened long, last long, renewals int", "append", GroupStateTimeout.EventTimeTimeout)
+    grants = events.groupBy(key, F.session_window("ts", f"{seconds} seconds 1 microsecond").alias("s")).agg((F.count("*") - 1).cast("int").alias("renewals"))
+    return grants.select(key, F.col("s.start").alias("opened"), "renewals", F.lit("expired").alias("status"))
 
 
 def drain(stream: DataFrame, mode: str, folder: str, name: str | None = None) -> DataFrame:

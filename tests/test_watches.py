@@ -101,3 +101,25 @@ def test_a_key_has_one_timer():
     ended = pd.concat(made.handleExpiredTimer((1,), held, None))
     assert at == 1001 and held.waiting.reads == 1 and len(held.waiting.rows) == 300 and ended["status"].eq("expired").all() and len(ended) == 7
     assert held.timers == {701_001}
+
+
+def test_grants_expire_in_any_arrival(spark, tmp_path):
+    """Rows that come behind others renew and open what they would have in order; a renewal at the last moment counts."""
+    rng = random.Random(3)
+    times = [(0, 100), (0, 130), (0, 161), *((rng.randint(1, 5), rng.randint(0, 3000)) for _ in range(300)), (9, 4000)]
+    arrival = sorted(times, key=lambda r: r[1] + rng.random() * 49)
+    for k in range(0, len(arrival), 80):
+        write(spark, [(key, at, k, "") for key, at in arrival[k : k + 80]], str(tmp_path / "in"), f"a{k:03}")
+    stream = streams.event_stream(spark, str(tmp_path / "in" / "*"), SCHEMA, lateness="60 seconds", files=1)
+    out = streams.drain(streams.expire(stream, "k", 30), "append", str(tmp_path / "state"), "grants")
+    want = []
+    for key in range(10):
+        held = []
+        for at in sorted(t for k, t in times if k == key):
+            if held and at - held[-1] > 30:
+                want.append((key, held[0], len(held) - 1))
+                held = []
+            held.append(at)
+        if held and held[-1] + 30 <= 4000 - 60:
+            want.append((key, held[0], len(held) - 1))
+    assert sorted((r["k"], int(r["opened"].timestamp()), r["renewals"]) for r in out.collect()) == sorted(want)
