@@ -117,8 +117,8 @@ def _spill(spark: SparkSession, sf_dir: str) -> str:
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i, text in zip(ids, texts, strict=True):
+            for n in range(batch.num_rows):  # a text leaves Arrow when its turn comes
+                i, text = batch.column(0)[n].as_py(), batch.column(1)[n].as_py()
                 parts = [folder, f"d{i // 100}", *(["Node_Modules"] if i % 11 == 0 else []), f"{'.' if i % 5 == 0 else '_' if i % 5 == 1 else ''}f{i}.{'TXT' if i % 2 else 'pem' if i % 7 == 0 else 'md'}"]
                 os.makedirs(os.path.dirname(os.path.join(*parts)), exist_ok=True)
                 with open(os.path.join(*parts), "wb") as f:
