@@ -7,7 +7,7 @@ import os
 import zipfile
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +22,8 @@ PROJECT_IGNORED = ["node_modules", ".git", "dist", "build", "coverage", ".next",
 BLOCKED_NAMES = ["chat-history.json", "chat_history.json", "package-lock.json", "yarn.lock", "pnpm-lock.yaml"]
 MAX_PROJECT_BYTES = 500_000
 MAX_READ_BYTES = 250_000
+#: Characters of extracted texts that leave a task at once.
+PIECE_CHARS = 1 << 20
 
 
 def scan_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -98,17 +100,25 @@ def extract(files: DataFrame, extractors: dict[str, Callable[[bytes], str]] | No
     """SRC-9..11, UDF-4: (path, text, error) of rows (path, kind, content); a failing file is a row with its error."""
     chosen = EXTRACTORS | (extractors or {})
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for path, kind, raw in zip(frame["path"], frame["kind"], frame["content"], strict=True):
-                try:
-                    rows.append((path, chosen[kind](raw), None) if kind in chosen else (path, None, "unsupported"))
-                except Exception as e:  # the file's fault, whatever its parser raises
-                    rows.append((path, None, f"{kind}_extract_failed: {type(e).__name__}"))
-            yield pd.DataFrame(rows, columns=["path", "text", "error"])
-
-    found = files.select("path", "kind", "content").mapInPandas(run, "path string, text string, error string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths, kinds, raws = batch.columns
+            texts, errors, size, start = [], [], 0, 0
+            for i in range(batch.num_rows):  # a content leaves Arrow when its turn comes
+                kind, text, error = kinds[i].as_py(), None, "unsupported"
+                if kind in chosen:
+                    try:
+                        text, error = chosen[kind](raws[i].as_py()), None
+                        size += len(text)
+                    except Exception as e:  # the file's fault, whatever its parser raises
+                        error = f"{kind}_extract_failed: {type(e).__name__}"
+                texts.append(text)
+                errors.append(error)
+                if size >= PIECE_CHARS or i + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([paths.slice(start, len(texts)), pa.array(texts, pa.string()), pa.array(errors, pa.string())], names=["path", "text", "error"])
+                    texts, errors, size, start = [], [], 0, i + 1
+
+    found = files.select("path", "kind", "content").mapInArrow(run, "path string, text string, error string")
     return found.withColumn("text", normalize(F.col("text")))
 
 

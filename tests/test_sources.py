@@ -322,3 +322,26 @@ def test_archive(spark, tmp_path):
     assert held() == [("b", 1, "changed")]
     files.forget_conversations(target)
     assert held() == []
+
+
+def test_extracted_texts_leave_in_pieces(spark):
+    """A batch of large texts is not held as a whole."""
+    import weakref
+
+    class Text(str):
+        pass
+
+    alive = weakref.WeakSet()
+
+    def large(raw):
+        text = Text(raw.decode() + "x" * 600_000)
+        text.__class__.__hash__ = lambda t: id(t)
+        alive.add(text)
+        if len(alive) > 8:
+            raise MemoryError
+        return text
+
+    rows = spark.range(40).coalesce(1).select(F.col("id").cast("string").alias("path"), F.lit("large").alias("kind"), F.col("id").cast("string").cast("binary").alias("content"))
+    found = files.extract(rows.unionByName(rows.limit(1).select("path", F.lit("none").alias("kind"), "content")), {"large": large})
+    got = found.select("path", F.length("text").alias("n"), "error").collect()
+    assert len(got) == 41 and [r["error"] for r in got if r["error"]] == ["unsupported"] and {r["n"] - len(r["path"]) for r in got if r["n"]} == {600_000}
