@@ -1,5 +1,6 @@
 """Literal edge cases."""
 
+import math
 import datetime as dt
 
 import pytest
@@ -188,3 +189,32 @@ def test_batch_search_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(vector, "KNN_QUERIES", 7)
     assert found() == want and len(want) == 120
     assert "NestedLoop" not in vector.knn(rows, rows, 3, "vec_id")._jdf.queryExecution().toString()
+
+
+def test_batch_search_against_a_plain_loop(spark, monkeypatch):
+    """Copies, vectors without length, null ones and null components, in several blocks and shares; a matrix does the work."""
+    import random
+
+    rng = random.Random(8)
+    vectors = [[rng.choice([-1.0, 0.1, 0.3]) for _ in range(5)] for _ in range(40)]
+    rows = [(i, rng.choice(vectors)) for i in range(3000)] + [(3000, [0.0] * 5), (3001, None), (3002, [1.0, None, 1.0, 1.0, 1.0])]
+    monkeypatch.setattr(vector, "KNN_QUERIES", 2)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = [0, 7, 3000, 3001]
+    found = vector.knn(df.where(F.col("vec_id").isin(asked)), df, 4, "vec_id")
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().toString()
+    got = {}
+    for x in found.orderBy("query", "rank").collect():
+        got.setdefault(x["query"], []).append((x["vec_id"], x["similarity"]))
+
+    def cosine(a, b):
+        if a is None or b is None or None in a or None in b:
+            return None
+        dot, na, nb = 0.0, 0.0, 0.0
+        for x, y in zip(a, b, strict=True):
+            dot, na, nb = dot + x * y, na + x * x, nb + y * y
+        return 0.0 if na == 0 or nb == 0 else dot / (math.sqrt(na) * math.sqrt(nb))
+
+    for a in asked:
+        want = sorted(((-9 if (c := cosine(dict(rows)[a], v)) is None else c, i) for i, v in rows if i != a), key=lambda x: (-x[0], x[1]))[:4]
+        assert got[a] == [(i, None if c == -9 else c) for c, i in want], a
