@@ -83,9 +83,10 @@ def offload_plan(files: DataFrame, grants: DataFrame, volume: dict, folder: str,
     """
     keys = by or []
     mount = F.lit(volume["mount"].rstrip("/"))
-    granted = lookup.first_grant(files.withColumnRenamed("source_path", "path"), grants).where("grant_no is not null").withColumnRenamed("path", "source_path").drop("root")
+    large = files.where(F.col("size_bytes") >= least_bytes)
+    granted = lookup.first_grant(large.withColumnRenamed("source_path", "path"), grants).where("grant_no is not null").withColumnRenamed("path", "source_path").drop("root")
     w = Window.partitionBy(*keys)
-    kept = granted.where(F.col("size_bytes") >= least_bytes).withColumn("__rn", F.row_number().over(w.orderBy("entry_id"))).where(F.col("__rn") <= most + 1)
+    kept = granted.withColumn("__rn", F.row_number().over(w.orderBy("entry_id"))).where(F.col("__rn") <= most + 1)
     kept = kept.withColumn("truncated", F.max("__rn").over(w) > most).where(F.col("__rn") <= most).drop("__rn")
     safe = storage.candidate_safety(kept, now_ms, protected, own_root).withColumn("destination_path", F.concat_ws("/", mount, F.lit(folder), "relative_path"))
     same = Window.partitionBy(*keys, F.lower("destination_path"))
@@ -95,9 +96,7 @@ def offload_plan(files: DataFrame, grants: DataFrame, volume: dict, folder: str,
 
 def plan_summary(plan: DataFrame, by: list[str], free_bytes: float) -> DataFrame:
     """STO-4, AGG-6: the totals of each plan, its conflicts, and whether the destination is too small."""
-    totals = storage.plan_totals(plan, by, F.lit(free_bytes))
-    marks = plan.groupBy(*by).agg(F.count_if("destination_conflict").alias("conflicts"), F.bool_or("truncated").alias("truncated"))
-    return totals.join(marks, by)
+    return storage.plan_totals(plan, by, F.lit(free_bytes), F.count_if("destination_conflict").alias("conflicts"), F.bool_or("truncated").alias("truncated"))
 
 
 def transfer_preview(manifests: DataFrame, entries: DataFrame, volumes: DataFrame, key: str = "manifest_id") -> DataFrame:

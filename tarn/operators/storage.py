@@ -201,10 +201,10 @@ def destination_conflicts(entries: DataFrame, key: str, destination: str) -> Dat
     return found.withColumn("first_id", F.min(key).over(w)).withColumn("is_first", F.col(key) == F.min(key).over(w)).drop("__n")
 
 
-def plan_totals(entries: DataFrame, by: list[str], free: Column | None = None) -> DataFrame:
-    """AGG-6."""
+def plan_totals(entries: DataFrame, by: list[str], free: Column | None = None, *more: Column) -> DataFrame:
+    """AGG-6, with more aggregates of the same entries, so that these are read once."""
     out = entries.groupBy(*by).agg(
-        F.count("*").alias("candidate_count"), F.count_if("selectable").alias("selectable_count"), F.coalesce(F.sum(F.when(F.col("selectable"), F.col("size_bytes"))), F.lit(0.0)).alias("selectable_bytes")
+        F.count("*").alias("candidate_count"), F.count_if("selectable").alias("selectable_count"), F.coalesce(F.sum(F.when(F.col("selectable"), F.col("size_bytes"))), F.lit(0.0)).alias("selectable_bytes"), *more
     )
     return out if free is None else out.withColumn("capacity_warning", F.col("selectable_bytes") > free)
 

@@ -36,3 +36,9 @@ def test_symbols_are_looked_up(spark, sf):
 def test_spans_meet_pages_by_key(spark, sf):
     found = plan(QUERIES["chunk_page_ranges"](spark, sf))
     assert "NestedLoop" not in found and "CartesianProduct" not in found
+
+
+def test_an_offload_plan_is_made_once(spark, sf):
+    """Its totals and its conflicts come from one aggregation: each row is ranked and grouped by destination once."""
+    found = QUERIES["sto_offload_plan"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count("count_if") + found.count("row_number()") > 0 and found.count("row_number() windowspecdefinition") == 1
