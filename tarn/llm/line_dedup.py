@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tarn.llm.common import cut, fresh, join_counted
+from tarn.llm.common import cut, fresh, join_counted, slices
 
 MIN_WORDS = 8
 #: Later documents that one task aligns with the same earlier one.
@@ -239,7 +239,7 @@ def dedup_lines(
     joined = numbered.join(found, row, "left").select(*docs.columns, *names)
 
     def delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, text):
             out = []
             gone = batch.column(width + 1).to_pylist()
             for t, places in zip(batch.column(spot).to_pylist(), gone, strict=True):

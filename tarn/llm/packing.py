@@ -41,8 +41,8 @@ TIERS = (2048, 1024, 512, 256)
 END_ID = 1
 GROUP_TOKENS = 1 << 21
 STEP_TOKENS = 1 << 16
-#: Pre-tokens a worker keeps the ids of; beyond it the library is asked anew.
-KNOWN_WORDS = 1_000_000
+#: Pre-tokens a worker keeps the ids of, in some 60 MB; beyond it the library is asked anew.
+KNOWN_WORDS = 1 << 18
 
 Piece = tuple[int, int, int]  # document in the group, start, length
 

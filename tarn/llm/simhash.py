@@ -224,6 +224,12 @@ def block_links(distance: int):
 
 def link_edges(items: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """Edges (a, b) between distinct fingerprints whose components are those of all links."""
+    cold, hot = _links_and_forests(items, distance)
+    return cold.unionByName(hot)
+
+
+def _links_and_forests(items: DataFrame, distance: int) -> tuple[DataFrame, DataFrame]:
+    """Links under values that few fingerprints share, and spanning forests of the links under the others."""
     n, both = bit_counts(items)
     plan = allocate(n, both, distance)
     filed, probes = signatures(items, plan, False), signatures(items, plan, True)
@@ -238,7 +244,7 @@ def link_edges(items: DataFrame, distance: int = DISTANCE) -> DataFrame:
     one = filed.join(chunks, ["part", "value"]).select("part", "value", spot("rows").alias("i"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("j"), "fp", F.lit(1).alias("filed"))
     two = probes.join(chunks, ["part", "value"]).select("part", "value", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), spot("columns").alias("j"), "fp", F.lit(0).alias("filed"))
     hot = map_groups(one.unionByName(two), ["part", "value", "i", "j"], block_links(distance), "a long, b long")
-    return cold.unionByName(hot)
+    return cold, hot
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, key: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
@@ -253,7 +259,8 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SH
     rows = cut(fingerprints(source, shingle, "id", "text").select("key.*", "fp"))
     first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "row"))
     items = cut(rows.groupBy("fp").agg(first.alias("least"), F.count("*").alias("n")))
-    parts = components(link_edges(items, distance))
+    cold, hot = _links_and_forests(items, distance)
+    parts = components(cold, forests=hot)
     labelled = cut(items.join(parts, F.col("fp") == F.col("node"), "left").select("fp", "n", "least", F.coalesce("component", "fp").alias("component")))
     least = cut(labelled.groupBy("component").agg(F.min("least").alias("least"), F.count("*").alias("k")))
     by_fp = cut(join_counted(labelled.select("fp", "n", "component"), least, ["component"], "k", "fp").select("fp", "n", "least"))
